@@ -74,7 +74,7 @@ FRAMES: dict[str, str] = {
                CAST((s_suppkey * 13 + ((s_suppkey * 3 + b % 2 + k * 17) % 40 + 1) * 7) % 200
                     + CASE WHEN b % 12 = 0 THEN 1 ELSE 0 END AS INTEGER) AS sequence
         FROM supplier, range(1, 26) AS brands(b), range(0, 2) AS slots(k)
-        WHERE (s_suppkey + b + k) % 5 <> 0""",
+        WHERE (s_suppkey + b + k) % 5 <> 0 AND (s_suppkey * 3 + b) % 10 <> 0""",
     "manifests": """
         SELECT o_orderkey AS manifest_id, CAST(o_orderdate AS DATE) AS manifest_date, o_orderpriority AS mfst_code,
                o_custkey AS owner_id,

@@ -11,6 +11,7 @@ from pressroute.sources.frames import Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 
 def as_report(df: DataFrame) -> DataFrame:
@@ -38,6 +39,7 @@ def query(name: str, frames: str = "", sql: str | None = None):
             return as_report(fn(Frames(spark, sf_dir)))
 
         QUERIES[name] = run
+        MODULES[name] = fn.__module__
         if sql is not None:
             ORACLE[name] = compose(frames, sql)
         return fn

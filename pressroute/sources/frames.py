@@ -166,7 +166,7 @@ class Frames:
                  .withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1)))))
         a, b, k = F.col("account_id"), F.col("brand_no"), F.col("slot")
         template = ((a * 3 + b % 2 + k * 17) % 40 + 1).cast("int")
-        return items.where((a + b + k) % 5 != 0).select(
+        return items.where(((a + b + k) % 5 != 0) & ((a * 3 + b) % 10 != 0)).select(
             "account_id", "brand_no", F.concat(F.lit("Brand#"), b).alias("pub_short_name"),
             template.alias("template_id"), (template * 10 + k).alias("sequence_id"),
             F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), ((a + b) % 3 + 1).cast("int")).alias("manifest_type_id"),
