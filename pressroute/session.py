@@ -23,6 +23,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="pressroute-warehouse-"),
         **extra,
