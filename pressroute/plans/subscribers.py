@@ -18,7 +18,7 @@ def active_subs(subscriptions: DataFrame, keys: DataFrame, begin: str, end: str)
     bought = F.col("purchase_date").between(lo, hi)
     users = subscriptions.groupBy("user_id").agg(
         F.sum(F.when(live, 1).otherwise(0)).alias("live_plans"),
-        F.max_by(F.when(bought, F.col("plan_id")), F.struct("purchase_date", "subscriber_plan_id")).alias("last_plan"),
+        F.max_by("plan_id", F.when(bought, F.struct("purchase_date", "subscriber_plan_id"))).alias("last_plan"),
         F.max(F.when(bought, F.col("purchase_date"))).alias("last_purchase")).where("live_plans > 0")
     return users.join(pivot_dynamic(keys, ["user_id"], "field", [F.max("value")]), "user_id", "left")
 
