@@ -106,10 +106,10 @@ def dedupe_drop_latest(df: DataFrame, keys: list[str], by: str, eligible: Column
 
 
 def dedupe_prefer(df: DataFrame, keys: list[str], drop_when: Column) -> DataFrame:
-    """Of keys with several rows, drop the rows that meet the condition."""
+    """Of keys with several rows, drop the rows that meet the condition. Only those rows are joined."""
+    candidate = F.coalesce(drop_when, F.lit(False))
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    marked = df.join(repeated, keys, "left")
-    return marked.where(~(F.col("__n").isNotNull() & F.coalesce(drop_when, F.lit(False)))).drop("__n")
+    return df.where(~candidate).unionByName(anti(df.where(candidate), repeated, keys))
 
 
 def retention_split(df: DataFrame, date: str, low: str, high: str) -> tuple[DataFrame, DataFrame]:

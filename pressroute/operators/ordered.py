@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pressroute.operators.joins import match
-
 
 def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
     """Range number of a numeric, date or time column, from approximate quantiles of the whole column.
@@ -30,48 +28,52 @@ def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
     return out
 
 
+def _cell(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Adds keys and bucket as one struct. The struct is never null, and null fields compare equal in it,
+    so window, aggregate and join all use the same hash partitioning and the rows are shuffled once."""
+    return df.withColumn("__k", F.struct(*[F.col(k) for k in keys], bucket.alias("__b")))
+
+
+def _along(keys: list[str]):
+    return Window.partitionBy(*[F.col(f"__k.{k}") for k in keys]).orderBy("__k.__b")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "rn") -> DataFrame:
     """row_number() over (partition by keys order by order). With no keys, over the whole frame."""
-    df = df.withColumn("__b", bucket)
-    local = Window.partitionBy(*keys, "__b").orderBy(*order)
-    counts = df.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    rows = df.withColumn("__rn", F.row_number().over(local))
-    return (match(rows, offsets, [*keys, "__b"])
-            .withColumn(name, F.col("__rn") + F.col("__off")).drop("__rn", "__off", "__b"))
+    rows = _cell(df, keys, bucket)
+    counts = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    before = _along(keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__k", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    local = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
+    return (local.join(offsets, "__k").withColumn(name, F.col("__rn") + F.col("__off"))
+            .drop("__rn", "__off", "__k"))
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column,
              name: str = "prev") -> DataFrame:
     """lag(value) over (partition by keys order by order)."""
-    df = df.withColumn("__b", bucket)
-    local = Window.partitionBy(*keys, "__b").orderBy(*order)
-    edges = df.groupBy(*keys, "__b").agg(F.max_by(F.struct(F.col(value)), F.struct(*order)).alias("__last"))
-    carried = edges.select(*keys, "__b", F.lag("__last").over(
-        Window.partitionBy(*keys).orderBy("__b")).alias("__carry"))
-    rows = df.withColumn("__lag", F.lag(F.struct(F.col(value))).over(local))
-    return (match(rows, carried, [*keys, "__b"])
-            .withColumn(name, F.coalesce(F.col("__lag"), F.col("__carry"))[value])
-            .drop("__lag", "__carry", "__b"))
+    rows = _cell(df, keys, bucket)
+    edges = rows.groupBy("__k").agg(F.max_by(F.struct(F.col(value)), F.struct(*order)).alias("__last"))
+    carried = edges.select("__k", F.lag("__last").over(_along(keys)).alias("__carry"))
+    local = rows.withColumn("__lag", F.lag(F.struct(F.col(value))).over(Window.partitionBy("__k").orderBy(*order)))
+    return (local.join(carried, "__k").withColumn(name, F.coalesce(F.col("__lag"), F.col("__carry"))[value])
+            .drop("__lag", "__carry", "__k"))
 
 
 def next_event_after(starts: DataFrame, events: DataFrame, keys: list[str], ts: str,
                      unit: str = "hour", name: str = "next_ts") -> DataFrame:
     """For each start, the first event of the same keys strictly later; null if there is none."""
-    cols = starts.columns
-    marked = starts.select(F.struct(*cols).alias("__row"), *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__kind"))
+    marked = starts.select(F.struct(*starts.columns).alias("__row"), *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__kind"))
     ends = events.select(F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"), *keys,
                          F.col(ts).alias("__ts"), F.lit(0).alias("__kind"))
-    both = marked.unionByName(ends).withColumn("__b", F.date_trunc(unit, F.col("__ts")))
+    both = _cell(marked.unionByName(ends), keys, F.date_trunc(unit, F.col("__ts")))
     event_ts = F.when(F.col("__kind") == 0, F.col("__ts"))
-    later = Window.partitionBy(*keys, "__b").orderBy("__ts", "__kind").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("__k").orderBy("__ts", "__kind").rowsBetween(1, Window.unboundedFollowing)
     local = both.withColumn("__local", F.min(event_ts).over(later)).where("__kind = 1")
-    firsts = both.groupBy(*keys, "__b").agg(F.min(event_ts).alias("__first"))
-    following = Window.partitionBy(*keys).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
-    carried = firsts.select(*keys, "__b", F.min("__first").over(following).alias("__carry"))
-    return match(local, carried, [*keys, "__b"]).select(
-        "__row.*", F.coalesce("__local", "__carry").alias(name))
+    firsts = both.groupBy("__k").agg(F.min(event_ts).alias("__first"))
+    following = _along(keys).rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select("__k", F.min("__first").over(following).alias("__carry"))
+    return local.join(carried, "__k").select("__row.*", F.coalesce("__local", "__carry").alias(name))
 
 
 def pair_by_rank(starts: DataFrame, ends: DataFrame, keys: list[str], ts: str, tie: str, bucket: Column,
@@ -157,8 +159,9 @@ def weekly_history(df: DataFrame, keys: list[str], date: str, weekday: str, valu
     the weeks on file. The row k places back is k weeks old only when no week is missing.
     """
     w = Window.partitionBy(*keys, weekday).orderBy(date)
+    back = df.select("*", *[F.lag(F.struct(date, value), k).over(w).alias(f"__{k}") for k in range(1, weeks + 1)])
     for k in range(1, weeks + 1):
-        there = F.datediff(F.col(date), F.lag(date, k).over(w)) == 7 * k
-        df = df.withColumn(f"date_{k}", F.when(there, F.lag(date, k).over(w)))
-        df = df.withColumn(f"{value}_{k}", F.when(there, F.lag(value, k).over(w)))
-    return df
+        there = F.datediff(F.col(date), F.col(f"__{k}.{date}")) == 7 * k
+        back = back.withColumns({f"date_{k}": F.when(there, F.col(f"__{k}.{date}")),
+                                 f"{value}_{k}": F.when(there, F.col(f"__{k}.{value}"))})
+    return back.drop(*[f"__{k}" for k in range(1, weeks + 1)])

@@ -37,10 +37,10 @@ def history_with_last_change(sales: DataFrame, changes: DataFrame, keys: list[st
 def weekly_net(draws: DataFrame, accounts: DataFrame, publications: DataFrame, week_start: Column) -> DataFrame:
     """Net per postal code, publication and week in seven columns, column i being i days after the start.
 
-    Aggregates to (account, publication, date) before any join, so that joins see fewer rows.
+    One aggregate after the two dimension joins: its combine runs in the join's own tasks,
+    and each row lands in one of seven sums.
     """
-    small = with_net(draws).groupBy("account_id", "publication_id", "draw_date").agg(F.sum("net").alias("net"))
-    rows = (small.join(accounts.select("account_id", "postal_code"), "account_id")
+    rows = (with_net(draws).select("account_id", "publication_id", "draw_date", "net").join(accounts.select("account_id", "postal_code"), "account_id")
             .join(publications.select("publication_id", "pub_short_name"), "publication_id")
             .withColumn("week_start", week_start))
     day = F.datediff("draw_date", "week_start")

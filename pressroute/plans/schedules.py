@@ -30,33 +30,41 @@ def manifest_assignments(assignments: DataFrame, accounts: DataFrame, type_name:
 def draws_by_brand(lines: DataFrame, publications: DataFrame) -> DataFrame:
     """Draw and net per account, brand and date: aggregated before the schedule joins them.
 
-    First by publication, where map-side combine works on the scan order, then by brand.
+    The join to publications comes first: (account, publication, date) hardly repeats, so an
+    aggregate before it would only add a shuffle, and a hot publication is split by the
+    adaptive join. The combine then runs in the join's own tasks.
     """
-    per_pub = lines.withColumn("net", net_sales()).groupBy(
-        "account_id", "publication_id", "draw_date", "draw_weekday").agg(
-        F.sum("draw_amount").alias("draw_amount"), F.sum("net").alias("net"))
-    return (per_pub.join(publications.select("publication_id", "brand_no"), "publication_id")
+    return (lines.withColumn("net", net_sales()).select("account_id", "publication_id", "draw_date", "draw_weekday", "draw_amount", "net")
+            .join(publications.select("publication_id", "brand_no"), "publication_id")
             .groupBy("account_id", "brand_no", "draw_date", "draw_weekday").agg(
                 F.sum("draw_amount").alias("draw_amount"), F.sum("net").alias("net")))
 
 
 def net_by_manifest(lines: DataFrame, publications: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Draw and net of each template by date. The mask test is an equality on the weekday."""
-    rows = join_on_schedule(draws_by_brand(lines, publications), assignments, ["account_id", "brand_no"])
-    return rows.groupBy("template_id", "draw_date").agg(
+    """Draw and net of each template by date. The mask test is an equality on the weekday.
+
+    One aggregate at the end: templates and dates are few, so the combine before its shuffle
+    leaves little to move, and the fact rows are shuffled only where a join has to.
+    """
+    rows = (lines.select("account_id", "publication_id", "draw_date", "draw_weekday", "draw_amount", net_sales().alias("net"))
+            .join(publications.select("publication_id", "brand_no"), "publication_id"))
+    return join_on_schedule(rows, assignments, ["account_id", "brand_no"]).groupBy("template_id", "draw_date").agg(
         F.count(F.lit(1)).alias("drops"), F.sum("draw_amount").alias("draw_amount"), F.sum("net").alias("net"))
 
 
 def draw_by_manifest_day(facts: DataFrame, assignments: DataFrame, dated: DataFrame) -> DataFrame:
-    """Draws of a template by day, found through the schedule or through a dated manifest, each once."""
+    """Draws of a template by day, found through the schedule or through a dated manifest, each once.
+
+    Items are unique per template and account-brand, with their masks united, so one join and
+    one test give what a distinct union of two branches gives.
+    """
     keys = ["account_id", "brand_no"]
-    columns = ["template_id", *keys, "draw_date", "draw_amount", "net"]
-    by_template = join_on_schedule(facts, assignments, keys).select(*columns)
-    items = assignments.select("template_id", *keys).distinct()
-    by_date = (facts.join(items, keys)
-               .join(dated.select("template_id", F.col("manifest_date").alias("draw_date")), ["template_id", "draw_date"])
-               .select(*columns))
-    return by_template.unionByName(by_date).distinct()
+    items = assignments.groupBy("template_id", *keys).agg(F.bit_or("frequency").alias("frequency"))
+    days = dated.select("template_id", F.col("manifest_date").alias("draw_date"), F.lit(True).alias("__dated"))
+    rows = facts.join(items, keys).join(days, ["template_id", "draw_date"], "left")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("draw_weekday") - 1)
+    due = (F.col("frequency").bitwiseAND(bit) > 0) | F.col("__dated").isNotNull()
+    return rows.where(due).select("template_id", *keys, "draw_date", "draw_amount", "net")
 
 
 def finalize(assignments: DataFrame, dated: DataFrame, start: str, stop: str) -> DataFrame:

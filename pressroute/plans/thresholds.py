@@ -11,48 +11,57 @@ from pressroute.operators.joins import pair_all
 DEFAULT_DAYS = 7
 
 
+FIELDS = ["period_start_date", "period_length", "cutoff_day"]
+
+
+def with_rules(rows: DataFrame, type_rules: DataFrame, pub_rules: DataFrame, system: dict | None = None) -> DataFrame:
+    """Adds the rule of each row's account type and publication: type, publication, system, none."""
+    def tagged(df, key, tag):
+        return df.select(key, *[F.col(f).alias(f"{tag}_{f}") for f in FIELDS])
+
+    out = (rows.join(tagged(pub_rules, "publication_id", "__p"), "publication_id", "left")
+           .join(tagged(type_rules, "account_type_id", "__t"), "account_type_id", "left"))
+    for f, kind in zip(FIELDS, ("date", "int", "int")):
+        out = out.withColumn(f"__s_{f}", F.lit((system or {}).get(f)).cast(kind))
+    has = {tag: F.col(f"__{tag}_period_length").isNotNull() for tag in "tps"}
+    rule = F.when(has["t"], "Acct Type").when(has["p"], "Publication").when(has["s"], "System").otherwise("Default")
+    picked = [F.when(has["t"], F.col(f"__t_{f}")).when(has["p"], F.col(f"__p_{f}")).otherwise(F.col(f"__s_{f}")).alias(f)
+              for f in FIELDS]
+    return out.select(*rows.columns, rule.alias("rule_type"), *picked)
+
+
+def threshold_column(as_of: str):
+    """Return cutoff under the rule of the row; without one, ``DEFAULT_DAYS`` before the date."""
+    day = F.lit(as_of).cast("date")
+    return F.when(F.col("rule_type") != "Default", return_cutoff(day, *FIELDS)).otherwise(F.date_sub(day, DEFAULT_DAYS))
+
+
 def thresholds(types: DataFrame, publications: DataFrame, type_rules: DataFrame, pub_rules: DataFrame,
                as_of: str, system: dict | None = None) -> DataFrame:
-    """Return cutoff per account type and publication: type rule, publication rule, system rule, default.
+    """Return cutoff for every account type and publication.
 
-    Rules hold period_start_date, period_length and cutoff_day. Without any rule the
-    cutoff is ``DEFAULT_DAYS`` before the date.
+    Rules hold period_start_date, period_length and cutoff_day.
     """
     day = F.lit(as_of).cast("date")
-    fields = ["period_start_date", "period_length", "cutoff_day"]
-
-    def rules(df, key, tag):
-        return df.select(key, *[F.col(f).alias(f"{tag}_{f}") for f in fields])
-
-    rows = (pair_all(publications.select("publication_id"), types.select("account_type_id"))
-            .join(rules(type_rules, "account_type_id", "t"), "account_type_id", "left")
-            .join(rules(pub_rules, "publication_id", "p"), "publication_id", "left"))
-    system = system or {}
-    for f, kind in zip(fields, ("date", "int", "int")):
-        rows = rows.withColumn(f"s_{f}", F.lit(system.get(f)).cast(kind))
-    has = {tag: F.col(f"{tag}_period_length").isNotNull() for tag in "tps"}
-    rule = (F.when(has["t"], "Acct Type").when(has["p"], "Publication").when(has["s"], "System").otherwise("Default"))
-    picked = rows.select("account_type_id", "publication_id", rule.alias("rule_type"), *[
-        F.when(has["t"], F.col(f"t_{f}")).when(has["p"], F.col(f"p_{f}")).otherwise(F.col(f"s_{f}")).alias(f)
-        for f in fields])
+    pairs = pair_all(publications.select("publication_id"), types.select("account_type_id"))
+    picked = with_rules(pairs, type_rules, pub_rules, system)
     ruled = F.col("rule_type") != "Default"
     start = period_start(day, "period_start_date", "period_length")
     return picked.select(
-        "account_type_id", "publication_id", "rule_type", "period_start_date", "period_length", "cutoff_day",
+        "account_type_id", "publication_id", "rule_type", *FIELDS,
         F.when(ruled, start).alias("current_period_start"),
         F.when(ruled, F.datediff(day, start)).alias("day_in_period"),
         F.when(ruled, F.date_add(start, F.col("cutoff_day").cast("int"))).alias("cutoff_date"),
-        F.when(ruled, return_cutoff(day, "period_start_date", "period_length", "cutoff_day"))
-        .otherwise(F.date_sub(day, DEFAULT_DAYS)).alias("return_threshold"))
+        threshold_column(as_of).alias("return_threshold"))
 
 
 def draw_entry(lines: DataFrame, assignments: DataFrame, accounts: DataFrame, publications: DataFrame,
-               types: DataFrame, cutoffs: DataFrame, selected: str, first: str, last: str,
-               template: int | None = None) -> DataFrame:
+               types: DataFrame, type_rules: DataFrame, pub_rules: DataFrame, system: dict | None,
+               as_of: str, selected: str, first: str, last: str, template: int | None = None) -> DataFrame:
     """Entry sheet of a manifest: place, draw, net, and whether the draw is too old to change.
 
-    The place is the account's highest on the template for the selected weekday; facts are
-    filtered by date before any join.
+    The place is the account's highest on the template for the selected weekday. Facts are
+    filtered by date before any join, and the rules join the publications, not the facts.
     """
     bit = F.call_function("shiftleft", F.lit(1), F.dayofweek(F.lit(selected).cast("date")) - 1)
     todays = assignments.where(F.col("frequency").bitwiseAND(bit) > 0)
@@ -60,19 +69,18 @@ def draw_entry(lines: DataFrame, assignments: DataFrame, accounts: DataFrame, pu
         todays = todays.where(F.col("template_id") == template)
     places = todays.groupBy("template_id", "account_id").agg(F.max("sequence").alias("drop_sequence"))
     items = todays.select("template_id", "account_id", "brand_no").distinct().join(places, ["template_id", "account_id"])
+    typed = accounts.where("active = 1").join(types, "account_type_id").select(
+        "account_id", "acct_code", "account_type_id", "type_name")
     facts = lines.where(F.col("draw_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     rows = (facts.join(publications.select("publication_id", "brand_no", "pub_short_name", "print_sort_order"), "publication_id")
-            .join(accounts.where("active = 1").select("account_id", "acct_code", "account_type_id"), "account_id")
-            .join(items, ["account_id", "brand_no"])
-            .join(types, "account_type_id")
-            .join(cutoffs.select("account_type_id", "publication_id", "return_threshold"),
-                  ["account_type_id", "publication_id"], "left"))
-    return rows.select(
+            .join(typed, "account_id"))
+    ruled = with_rules(rows, type_rules, pub_rules, system).join(items, ["account_id", "brand_no"])
+    return ruled.select(
         "template_id", "drop_sequence", "acct_code", "type_name", "pub_short_name", "print_sort_order",
         "account_id", "publication_id", "draw_date", "draw_amount", zero("adj_amount").alias("adj_amount"),
         zero("adj_admin_amount").alias("adj_admin_amount"), zero("ret_amount").alias("ret_amount"),
         net_sales().alias("net"),
-        F.when(F.col("draw_date") < F.col("return_threshold"), 1).otherwise(0).alias("over_threshold"))
+        F.when(F.col("draw_date") < threshold_column(as_of), 1).otherwise(0).alias("over_threshold"))
 
 
 def resolve_rule(pairs: DataFrame, account_rules: DataFrame, category_rules: DataFrame, pub_rules: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def read_weblog(t):
     path = shared_folder(t.spark, "weblog")
     line = F.concat_ws(" ", F.date_format("logged_at", "yyyy-MM-dd"), F.date_format("logged_at", "HH:mm:ss"),
                        F.lit("GET"), "page", "query", F.lit("-"))
-    header = t.spark.createDataFrame([("#Fields: date time method page query user",)], "value string")
+    header = tables.inline_rows(t.spark, [("#Fields: date time method page query user",)], "value string")
     t.weblog.select(line.alias("value")).unionByName(header).write.text(path)
     log = files.read_weblog(t.spark, path, ["date", "time", "method", "page", "query", "user"])
     return log.where("user is null").groupBy("page", "query").agg(

@@ -31,8 +31,11 @@ def join_inner(t):
     JOIN accounts a ON a.account_id = d.account_id JOIN rollups r ON r.rollup_id = a.rollup_id
     GROUP BY rollup_code, s.template_id, s.manifest_type_id""")
 def join_star(t):
-    facts = schedules.draws_by_brand(t.draw_lines, t.publications).join(
-        t.accounts.select("account_id", "rollup_id"), "account_id").join(t.rollups, "rollup_id")
+    heads = t.accounts.select("account_id", "rollup_id").join(t.rollups.select("rollup_id", "rollup_code"), "rollup_id")
+    facts = (t.draw_lines.select("account_id", "publication_id", "draw_weekday", "draw_amount")
+             .join(t.publications.select("publication_id", "brand_no"), "publication_id")
+             .groupBy("account_id", "brand_no", "draw_weekday").agg(F.sum("draw_amount").alias("draw_amount"))
+             .join(heads, "account_id"))
     return joins.join_on_schedule(facts, t.assignments, ["account_id", "brand_no"]).groupBy(
         "rollup_code", "template_id", "manifest_type_id").agg(F.sum("draw_amount").alias("draw_amount"))
 

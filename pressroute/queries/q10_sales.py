@@ -106,9 +106,9 @@ def pct_change_average(t):
 def import_verify(t):
     """Loaded totals beside the totals of the file, by date and publication."""
     def totals(df, name):
-        per_pub = df.groupBy("draw_date", "publication_id").agg(F.sum("draw_amount").alias("s"))
-        return (per_pub.join(t.publications.select("publication_id", "pub_short_name"), "publication_id")
-                .groupBy("draw_date", "pub_short_name").agg(F.sum("s").alias(name)))
+        return (df.select("draw_date", "publication_id", "draw_amount")
+                .join(t.publications.select("publication_id", "pub_short_name"), "publication_id")
+                .groupBy("draw_date", "pub_short_name").agg(F.sum("draw_amount").alias(name)))
     return totals(t.draw_lines, "table_draw").join(totals(t.load, "file_draw"), ["draw_date", "pub_short_name"], "left")
 
 

@@ -16,10 +16,9 @@ DAYS = "days AS (SELECT a.*, CAST(d + 1 AS INTEGER) AS weekday FROM assignments
 
 
 @query("manifest_by_date", "draw_lines publications assignments", f"""
-    WITH {BY_BRAND}
     SELECT template_id, CAST(draw_date AS VARCHAR) AS draw_date, count(*) AS drops, CAST(sum(draw_amount) AS BIGINT) AS draw_amount,
-           CAST(sum(net) AS BIGINT) AS net
-    FROM facts f JOIN assignments s ON s.account_id = f.account_id AND s.brand_no = f.brand_no AND s.frequency & (1 << (draw_weekday - 1)) > 0
+           CAST(sum({NET}) AS BIGINT) AS net
+    FROM draw_lines f JOIN publications p USING (publication_id) JOIN assignments s ON s.account_id = f.account_id AND s.brand_no = p.brand_no AND s.frequency & (1 << (draw_weekday - 1)) > 0
     GROUP BY template_id, draw_date""")
 def manifest_by_date(t):
     return schedules.net_by_manifest(t.draw_lines, t.publications, t.assignments)
@@ -146,7 +145,11 @@ THRESHOLD_SQL = f"""tr AS ({TYPE_RULES}), pr AS ({PUB_RULES}),
     cut AS (SELECT *, CASE WHEN DATE '2001-06-15' - cps + 1 >= cutoff_day THEN cps ELSE cps - period_length END AS threshold FROM started)"""
 
 
-def _thresholds(t, as_of="2001-06-15"):
+AS_OF = "2001-06-15"
+SYSTEM = {"period_start_date": "2000-01-01", "period_length": 10, "cutoff_day": 4}
+
+
+def _rules(t):
     kind = F.col("account_type_id")
     type_rules = t.account_types.where(kind.isin(1, 2)).select(
         "account_type_id", F.date_add(F.lit("1999-12-26").cast("date"), kind).alias("period_start_date"),
@@ -154,8 +157,7 @@ def _thresholds(t, as_of="2001-06-15"):
     pub_rules = t.publications.where("brand_no < 10").select(
         "publication_id", F.lit("2000-01-02").cast("date").alias("period_start_date"), F.lit(14).alias("period_length"),
         (F.col("publication_id") % 14 + 1).cast("int").alias("cutoff_day"))
-    system = {"period_start_date": "2000-01-01", "period_length": 10, "cutoff_day": 4}
-    return thresholds.thresholds(t.account_types, t.publications, type_rules, pub_rules, as_of, system)
+    return type_rules, pub_rules
 
 
 @query("threshold_dates", "account_types publications", f"""
@@ -164,7 +166,7 @@ def _thresholds(t, as_of="2001-06-15"):
            CAST(cps AS VARCHAR) AS current_period_start, DATE '2001-06-15' - cps AS day_in_period, CAST(cps + cutoff_day AS VARCHAR) AS cutoff_date,
            CAST(threshold AS VARCHAR) AS return_threshold FROM cut""")
 def threshold_dates(t):
-    return _thresholds(t)
+    return thresholds.thresholds(t.account_types, t.publications, *_rules(t), AS_OF, SYSTEM)
 
 
 @query("draw_entry", "draw_lines publications accounts account_types assignments", f"""
@@ -182,8 +184,8 @@ def threshold_dates(t):
     WHERE draw_date BETWEEN DATE '2001-01-01' AND DATE '2001-06-14'""")
 def draw_entry(t):
     """Entry sheets of all manifests for half a year."""
-    return thresholds.draw_entry(t.draw_lines, t.assignments, t.accounts, t.publications, t.account_types, _thresholds(t),
-                                 "2001-06-14", "2001-01-01", "2001-06-14")
+    return thresholds.draw_entry(t.draw_lines, t.assignments, t.accounts, t.publications, t.account_types, *_rules(t), SYSTEM,
+                                 AS_OF, "2001-06-14", "2001-01-01", "2001-06-14")
 
 
 @query("rule_precedence", "account_pubs publications", """

@@ -37,10 +37,10 @@ def export_delimited(df: DataFrame, path: str, sep: str = "|", header: bool = Tr
 
 
 def export_partitioned(df: DataFrame, key: str, path: str, rows_per_file: int = 5_000_000) -> None:
-    """One folder per key value. A hot key is cut into files of bounded size by many tasks.
+    """One folder per key value.
 
-    Rows spread over all tasks first only by the adaptive rebalance, which also splits a
-    key that is larger than one partition.
+    The rebalance hint shuffles by key, and adaptive execution splits a key that is larger
+    than one partition, so a hot key is written by many tasks in files of bounded size.
     """
     (df.hint("rebalance", key).write.partitionBy(key)
      .option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path))

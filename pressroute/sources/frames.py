@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressroute.functions.values import case_map
+from pressroute.sources.tables import inline_rows
 
 # Account types and manifest types, id to name.
 ACCOUNT_TYPES = [(0, "Dealer"), (1, "Rack"), (2, "Hotel"), (3, "School")]
@@ -140,7 +141,7 @@ class Frames:
 
     @cached_property
     def account_types(self) -> DataFrame:
-        return self.spark.createDataFrame(ACCOUNT_TYPES, "account_type_id int, type_name string")
+        return inline_rows(self.spark, ACCOUNT_TYPES, "account_type_id int, type_name string")
 
     @cached_property
     def publications(self) -> DataFrame:
@@ -234,8 +235,8 @@ class Frames:
         return self.draw_lines.where("line_no % 4 <> 0").groupBy(*DRAW_KEY).agg(
             F.sum(F.col("draw_amount") + F.when(F.col("order_key") % 2 == 0, 1).otherwise(0)).alias("amount"),
             F.max("draw_rate").alias("rate")).select(
-            F.format_string("  A%06d ", F.col("account_id")).alias("acct_code"),
-            F.format_string("P%d", F.col("publication_id")).alias("pub_code"),
+            F.concat(F.lit("  A"), F.lpad(F.col("account_id").cast("string"), 6, "0"), F.lit(" ")).alias("acct_code"),
+            F.concat(F.lit("P"), "publication_id").alias("pub_code"),
             F.date_format("draw_date", "MM/dd/yyyy").alias("draw_date"),
             F.col("amount").cast("string").alias("draw_amount"),
             F.when(F.col("rate") != 0, F.col("rate").cast("string")).alias("draw_rate"))

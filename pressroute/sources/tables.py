@@ -20,7 +20,10 @@ def union_over(companies: dict[str, str], query: Callable[[str], DataFrame]) ->
 
 
 def inline_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A few literal rows as a relation inside the plan: no Python worker, size known to the optimizer."""
+    fields = [f.split() for f in schema.split(",")]
+    cells = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*cells)))
 
 
 def write_snapshot(df: DataFrame, base: str, taken: str) -> str:
