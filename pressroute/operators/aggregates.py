@@ -24,11 +24,13 @@ def nested_csv_agg(df: DataFrame, keys: list[str], outer: str, inner: str, name:
     return inner_lists.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(cell)), ", ").alias(name))
 
 
-def flatten_week(df: DataFrame, keys: list[str], weekday: str, values: dict[str, str], agg=F.max) -> DataFrame:
-    """Seven columns per value. ``values`` maps a column to the prefix of its seven names."""
+def flatten_week(df: DataFrame, keys: list[str], weekday: str, values: dict[str, str], agg=F.max,
+                 extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Seven columns per value. ``values`` maps a column to the prefix of its seven names;
+    ``extra`` aggregates come from the same pass."""
     cells = [agg(F.when(F.col(weekday) == i + 1, F.col(col))).alias(f"{prefix}{day.lower()}")
              for col, prefix in values.items() for i, day in enumerate(DAY_CODES)]
-    return df.groupBy(*keys).agg(*cells)
+    return df.groupBy(*keys).agg(*cells, *extra)
 
 
 def unpivot_week(df: DataFrame, keys: list[str], value: str = "amount", prefix: str = "") -> DataFrame:

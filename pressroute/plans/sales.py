@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressroute.functions.dates import diff
 from pressroute.functions.values import net_sales, ratio_percent, zero
-from pressroute.operators.aggregates import csv_agg
 from pressroute.operators.joins import anti, pair_with_dates
 from pressroute.operators.ordered import latest_with_ties, weekly_history
 
@@ -121,10 +119,3 @@ def pull_forward(facts: DataFrame, keys: list[str], days: int = 7) -> tuple[Data
     both = source.join(target, [*keys, "draw_date"], "left")
     return both.where("draw_amount is not null"), both.where("draw_amount is null").drop("draw_amount")
 
-
-def months_of_history(df: DataFrame, date: str, as_of: str) -> DataFrame:
-    return df.withColumn("months_back", diff("month", F.col(date), F.lit(as_of).cast("date")))
-
-
-def publications_of(df: DataFrame, key: str) -> DataFrame:
-    return csv_agg(df, [key], "pub_short_name", name="publications")

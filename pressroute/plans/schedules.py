@@ -79,10 +79,8 @@ def finalize(assignments: DataFrame, dated: DataFrame, start: str, stop: str) ->
 def sequence_matrix(assignments: DataFrame) -> DataFrame:
     """Sequence per weekday in seven columns, and whether the days differ."""
     days = on_weekday(assignments, "frequency", "weekday")
-    keys = ["template_id", "account_id"]
-    wide = flatten_week(days, keys, "weekday", {"sequence": "seq_"})
-    spread = days.groupBy(*keys).agg((F.min("sequence") != F.max("sequence")).cast("int").alias("differs"))
-    return wide.join(spread, keys)
+    differs = (F.min("sequence") != F.max("sequence")).cast("int").alias("differs")
+    return flatten_week(days, ["template_id", "account_id"], "weekday", {"sequence": "seq_"}, extra=(differs,))
 
 
 def unassigned(pairs: DataFrame, assignments: DataFrame, manifest_type: int | None = None) -> DataFrame:

@@ -14,20 +14,19 @@ DEFAULT_DAYS = 7
 FIELDS = ["period_start_date", "period_length", "cutoff_day"]
 
 
-def with_rules(rows: DataFrame, type_rules: DataFrame, pub_rules: DataFrame, system: dict | None = None) -> DataFrame:
-    """Adds the rule of each row's account type and publication: type, publication, system, none."""
-    def tagged(df, key, tag):
-        return df.select(key, *[F.col(f).alias(f"{tag}_{f}") for f in FIELDS])
-
-    out = (rows.join(tagged(pub_rules, "publication_id", "__p"), "publication_id", "left")
-           .join(tagged(type_rules, "account_type_id", "__t"), "account_type_id", "left"))
-    for f, kind in zip(FIELDS, ("date", "int", "int")):
-        out = out.withColumn(f"__s_{f}", F.lit((system or {}).get(f)).cast(kind))
-    has = {tag: F.col(f"__{tag}_period_length").isNotNull() for tag in "tps"}
-    rule = F.when(has["t"], "Acct Type").when(has["p"], "Publication").when(has["s"], "System").otherwise("Default")
-    picked = [F.when(has["t"], F.col(f"__t_{f}")).when(has["p"], F.col(f"__p_{f}")).otherwise(F.col(f"__s_{f}")).alias(f)
-              for f in FIELDS]
-    return out.select(*rows.columns, rule.alias("rule_type"), *picked)
+def with_rule(dimension: DataFrame, rules: DataFrame, key: str, tag: str) -> DataFrame:
+    """A dimension with its own rule in tagged columns, so that facts need no join of their own for it."""
+    return dimension.join(rules.select(key, *[F.col(f).alias(f"__{tag}_{f}") for f in FIELDS]), key, "left")
+
+
+def picked_rule(system: dict | None = None) -> list:
+    """Rule name and fields by precedence: account type, publication, system, none."""
+    s = {f: F.lit((system or {}).get(f)).cast(kind) for f, kind in zip(FIELDS, ("date", "int", "int"))}
+    by_type, by_pub = F.col("__t_period_length").isNotNull(), F.col("__p_period_length").isNotNull()
+    name = (F.when(by_type, "Acct Type").when(by_pub, "Publication")
+            .when(s["period_length"].isNotNull(), "System").otherwise("Default"))
+    return [name.alias("rule_type"), *[
+        F.when(by_type, F.col(f"__t_{f}")).when(by_pub, F.col(f"__p_{f}")).otherwise(s[f]).alias(f) for f in FIELDS]]
 
 
 def threshold_column(as_of: str):
@@ -43,8 +42,9 @@ def thresholds(types: DataFrame, publications: DataFrame, type_rules: DataFrame,
     Rules hold period_start_date, period_length and cutoff_day.
     """
     day = F.lit(as_of).cast("date")
-    pairs = pair_all(publications.select("publication_id"), types.select("account_type_id"))
-    picked = with_rules(pairs, type_rules, pub_rules, system)
+    pairs = pair_all(with_rule(publications.select("publication_id"), pub_rules, "publication_id", "p"),
+                     with_rule(types.select("account_type_id"), type_rules, "account_type_id", "t"))
+    picked = pairs.select("account_type_id", "publication_id", *picked_rule(system))
     ruled = F.col("rule_type") != "Default"
     start = period_start(day, "period_start_date", "period_length")
     return picked.select(
@@ -61,20 +61,23 @@ def draw_entry(lines: DataFrame, assignments: DataFrame, accounts: DataFrame, pu
     """Entry sheet of a manifest: place, draw, net, and whether the draw is too old to change.
 
     The place is the account's highest on the template for the selected weekday. Facts are
-    filtered by date before any join, and the rules join the publications, not the facts.
+    filtered by date first and joined twice: to the publications, and to the items with all
+    that hangs on the account.
     """
     bit = F.call_function("shiftleft", F.lit(1), F.dayofweek(F.lit(selected).cast("date")) - 1)
     todays = assignments.where(F.col("frequency").bitwiseAND(bit) > 0)
     if template is not None:
         todays = todays.where(F.col("template_id") == template)
     places = todays.groupBy("template_id", "account_id").agg(F.max("sequence").alias("drop_sequence"))
-    items = todays.select("template_id", "account_id", "brand_no").distinct().join(places, ["template_id", "account_id"])
     typed = accounts.where("active = 1").join(types, "account_type_id").select(
         "account_id", "acct_code", "account_type_id", "type_name")
+    items = (todays.select("template_id", "account_id", "brand_no").distinct().join(places, ["template_id", "account_id"])
+             .join(with_rule(typed, type_rules, "account_type_id", "t"), "account_id"))
+    titles = with_rule(publications.select("publication_id", "brand_no", "pub_short_name", "print_sort_order"),
+                       pub_rules, "publication_id", "p")
     facts = lines.where(F.col("draw_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    rows = (facts.join(publications.select("publication_id", "brand_no", "pub_short_name", "print_sort_order"), "publication_id")
-            .join(typed, "account_id"))
-    ruled = with_rules(rows, type_rules, pub_rules, system).join(items, ["account_id", "brand_no"])
+    rows = facts.join(titles, "publication_id").join(items, ["account_id", "brand_no"])
+    ruled = rows.select("*", *picked_rule(system))
     return ruled.select(
         "template_id", "drop_sequence", "acct_code", "type_name", "pub_short_name", "print_sort_order",
         "account_id", "publication_id", "draw_date", "draw_amount", zero("adj_amount").alias("adj_amount"),
@@ -85,9 +88,9 @@ def draw_entry(lines: DataFrame, assignments: DataFrame, accounts: DataFrame, pu
 
 def resolve_rule(pairs: DataFrame, account_rules: DataFrame, category_rules: DataFrame, pub_rules: DataFrame) -> DataFrame:
     """Forecast rule of each account and publication: the account's, else its category's, else the publication's."""
-    rows = (pairs.join(account_rules.withColumnRenamed("rule_id", "__a"), ["account_id", "publication_id"], "left")
+    rows = (pairs.join(pub_rules.withColumnRenamed("rule_id", "__p"), "publication_id", "left")
             .join(category_rules.withColumnRenamed("rule_id", "__c"), "category", "left")
-            .join(pub_rules.withColumnRenamed("rule_id", "__p"), "publication_id", "left"))
+            .join(account_rules.withColumnRenamed("rule_id", "__a"), ["account_id", "publication_id"], "left"))
     kind = (F.when(F.col("__a").isNotNull(), "Account Rule").when(F.col("__c").isNotNull(), "Category Rule")
             .when(F.col("__p").isNotNull(), "Publication Rule").otherwise("No Rule"))
     return rows.withColumn("rule_type", kind).withColumn("rule_id", F.coalesce("__a", "__c", "__p")).drop("__a", "__c", "__p")
