@@ -34,15 +34,15 @@ def null_aware_anti(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """``NOT IN (subquery)``: a null on the right empties the result, a null on the left is never kept
     unless the right side is empty.
 
-    Built from an ordinary anti join and two scalar counts, so that a large right
-    side is shuffled; Spark's own null-aware anti join would broadcast it.
+    Built from an ordinary anti join and one scalar, so that a large right side is shuffled;
+    Spark's own null-aware anti join would broadcast it. The scalar is 2 for an empty list,
+    1 for a list without nulls, 0 for one with; a row stays when that and its own
+    not-null (0 or 1) make 2.
     """
     listed = right.select(F.col(right_key).alias("__key"))
-    counts = listed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__key").isNull()).alias("nulls"))
+    verdict = listed.agg(F.when(F.count(F.lit(1)) == 0, 2).when(F.count_if(F.col("__key").isNull()) == 0, 1).otherwise(0)).scalar()
     found = left.join(listed.where("__key is not null").distinct(), F.col(left_key) == F.col("__key"), "left_anti")
-    empty = counts.select(F.col("n") == 0).scalar()
-    no_null = counts.select(F.col("nulls") == 0).scalar()
-    return found.where(empty | (no_null & F.col(left_key).isNotNull()))
+    return found.where(verdict + F.col(left_key).isNotNull().cast("int") >= 2)
 
 
 def pair_all(df: DataFrame, small: DataFrame, limit: int = 10_000, fragments: int = 64) -> DataFrame:

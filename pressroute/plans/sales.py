@@ -112,10 +112,10 @@ def densify(facts: DataFrame, keys: list[str], start: str, stop: str) -> DataFra
         *keys, "draw_date", F.dayofweek("draw_date").alias("draw_weekday"), F.lit(0).alias("draw_amount"))
 
 
-def pull_forward(facts: DataFrame, keys: list[str], days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Rows shifted ``days`` ahead: (updates where the target date exists, inserts where it does not)."""
+def pull_forward(facts: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
+    """Rows shifted ``days`` ahead, each an update where the target date exists and an insert where it does not."""
     source = facts.select(*keys, F.date_add("draw_date", days).alias("draw_date"), F.col("draw_amount").alias("source_draw"))
-    target = facts.select(*keys, "draw_date", "draw_amount")
-    both = source.join(target, [*keys, "draw_date"], "left")
-    return both.where("draw_amount is not null"), both.where("draw_amount is null").drop("draw_amount")
+    target = facts.select(*keys, "draw_date", F.col("draw_amount").alias("old_draw"))
+    return source.join(target, [*keys, "draw_date"], "left").withColumn(
+        "action", F.when(F.col("old_draw").isNull(), "insert").otherwise("update"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressroute.functions.values import net_sales as net_column
-from pressroute.operators import sets
 from pressroute.plans import sales
 from pressroute.queries.q02_filters import NET
 from pressroute.queries.registry import query
@@ -126,10 +125,7 @@ def densify_facts(t):
            CASE WHEN x.draw_date IS NULL THEN 'insert' ELSE 'update' END AS action, x.draw_amount AS old_draw
     FROM daily s LEFT JOIN daily x ON x.account_id = s.account_id AND x.publication = s.publication AND x.draw_date = s.draw_date + 7""")
 def pull_forward(t):
-    updates, inserts = sales.pull_forward(t.daily, PAIR)
-    return sets.stack([
-        updates.select(*DAILY_KEY, "source_draw", F.lit("update").alias("action"), F.col("draw_amount").alias("old_draw")),
-        inserts.select(*DAILY_KEY, "source_draw", F.lit("insert").alias("action"), F.lit(None).cast("bigint").alias("old_draw"))])
+    return sales.pull_forward(t.daily, PAIR)
 
 
 ZERO_SQL = ", ".join(
