@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pressroute.operators.ordered import first_last, latest, version_diff
+from pressroute.functions.values import net_sales, zero
+from pressroute.operators.ordered import first_last, latest, next_version, version_diff
 
 
 def with_amount(audits: DataFrame) -> DataFrame:
@@ -56,3 +57,29 @@ def decremented(audits: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(
         F.max(F.when(F.col("audit_id") == 1, F.col("amount"))).alias("first_amount"),
         F.max(F.when(F.col("audit_id") == 2, F.col("amount"))).alias("second_amount")).where("second_amount < first_amount")
+
+
+def write_off(draws: DataFrame, audits: DataFrame, keys: list[str], user: int) -> tuple[DataFrame, DataFrame]:
+    """Set the admin adjustment to minus the net, and one audit entry per draw numbered above those on file.
+
+    Returns (new draws, audit entries to append).
+    """
+    net = net_sales()
+    changed = draws.withColumn("adj_admin_amount", zero("adj_admin_amount") - net)
+    entries = next_version(changed, audits, keys, "audit_id", "audit_id").select(
+        *keys, "audit_id", F.lit(user).alias("audit_user_id"), F.lit("AdjAdminAmount").alias("audit_field"),
+        F.col("adj_admin_amount").cast("string").alias("audit_value"))
+    return changed, entries
+
+
+def returns_from_audit(draws: DataFrame, audits: DataFrame, keys: list[str]) -> DataFrame:
+    """Returns set to the value of the last audit entry, where there is one."""
+    last = latest(with_amount(audits).select(*keys, "audit_id", F.col("amount").alias("__last")), keys, "audit_id")
+    return (draws.join(last.drop("audit_id"), keys, "left")
+            .withColumn("ret_amount", F.coalesce(F.col("__last").cast("bigint"), F.col("ret_amount"))).drop("__last"))
+
+
+def multiple_changes(history: DataFrame, keys: list[str]) -> DataFrame:
+    """Change rows of draws that were changed more than once."""
+    often = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes")).where("changes > 1")
+    return history.join(often, keys)

@@ -97,3 +97,38 @@ def timeline(*parts: tuple[str, DataFrame]) -> DataFrame:
 
 def message_status(messages: DataFrame) -> DataFrame:
     return messages.groupBy(F.to_date("logged_at").alias("day"), "status").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def transfer_total(transfers: DataFrame) -> DataFrame:
+    """Per device, manifest code and day: time from the first upload started that day to the last download finished."""
+    up = transfers.where("ul_start is not null").select("device_id", "mfst_code", F.to_date("ul_start").alias("day"),
+                                                         F.col("ul_start").alias("up"), F.lit(None).cast("timestamp_ntz").alias("down"))
+    down = transfers.where("dl_end is not null").select("device_id", "mfst_code", F.col("mfst_date").alias("day"),
+                                                         F.lit(None).cast("timestamp_ntz").alias("up"), F.col("dl_end").alias("down"))
+    both = up.unionByName(down).groupBy("device_id", "mfst_code", "day").agg(
+        F.min("up").alias("upload_started"), F.max("down").alias("download_finished"))
+    seconds = F.timestamp_diff("SECOND", F.date_trunc("second", "upload_started"), F.date_trunc("second", "download_finished"))
+    return both.where("upload_started is not null and download_finished is not null").withColumn("total_seconds", seconds)
+
+
+def repeated_requests(log: DataFrame) -> DataFrame:
+    """Requests of which the same page and query came more than once."""
+    return log.groupBy("page", "query").agg(
+        F.count(F.lit(1)).alias("occurrences"), F.min("logged_at").alias("first_at"), F.max("logged_at").alias("last_at")).where(
+        "occurrences > 1")
+
+
+def export_parameters(lines: DataFrame, as_of: str) -> DataFrame:
+    """Export type, dates and their offsets from a run date, cut out of a setting such as
+    ``Returns "StartDate=01/02/2001;EndDate=01/09/2001"``."""
+    day = F.lit(as_of).cast("date")
+    out = lines.select("*", F.left("setting", F.locate('"', F.col("setting")) - 2).alias("export_type"),
+                       F.to_date(extract_between("setting", "StartDate=", ";"), "MM/dd/yyyy").alias("begin_date"),
+                       F.to_date(extract_between("setting", "EndDate=", '"'), "MM/dd/yyyy").alias("end_date"))
+    return out.withColumn("begin_offset", F.datediff("begin_date", day)).withColumn("end_offset", F.datediff("end_date", day))
+
+
+def per_minute(log: DataFrame, spine: DataFrame) -> DataFrame:
+    """Entries for every minute of a range, minutes without any included."""
+    counts = log.groupBy(F.date_trunc("minute", "logged_at").cast("timestamp_ntz").alias("minute")).agg(F.count(F.lit(1)).alias("entries"))
+    return spine.join(counts, "minute", "left").select("minute", F.coalesce("entries", F.lit(0)).alias("entries"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pressroute.functions.bits import day_flags, day_list
+from pressroute.functions.bits import day_flags, day_list, freq_matches
 from pressroute.functions.text import zero_pad
 from pressroute.functions.values import case_map, net_sales
 from pressroute.operators.aggregates import flatten_week
@@ -129,3 +129,59 @@ def replicate(assignments: DataFrame, source_type: int, target_type: int, old: s
             .select("template_id", "sequence_id", "account_id", "brand_no", "frequency", "sequence").distinct()
             .withColumn("mfst_code", F.replace(template_code(), F.lit(old), F.lit(new)))
             .withColumn("manifest_type_id", F.lit(target_type)))
+
+
+def report_by_account(assignments: DataFrame) -> DataFrame:
+    """Delivery manifests of an account on weekdays, Saturday and Sunday, and its collection or returns manifest."""
+    code, freq, kind = template_code(), F.col("frequency"), F.col("manifest_type_id")
+    delivery = kind == 1
+    return assignments.groupBy("account_id").agg(
+        F.max(F.when(delivery & freq_matches(freq, 62), code)).alias("daily"),
+        F.max(F.when(delivery & freq_matches(freq, 64), code)).alias("sat"),
+        F.max(F.when(delivery & freq_matches(freq, 1), code)).alias("sun"),
+        F.max(F.when(kind.isin(2, 4), code)).alias("returns"))
+
+
+def split_accounts(assignments: DataFrame) -> DataFrame:
+    """Accounts on several manifests of one type."""
+    return (assignments.groupBy("account_id", "manifest_type_id").agg(F.count_distinct("template_id").alias("manifests"))
+            .where("manifests > 1"))
+
+
+def drop_counts(assignments: DataFrame) -> DataFrame:
+    return assignments.groupBy("template_id", "sequence_id").agg(F.count(F.lit(1)).alias("drops"))
+
+
+def manifests_by_weekday(assignments: DataFrame) -> DataFrame:
+    days = on_weekday(assignments.withColumn("code", template_code()), "frequency", "weekday")
+    return flatten_week(days, ["account_id", "brand_no", "manifest_type_id"], "weekday", {"code": ""})
+
+
+def compare_days(assignments: DataFrame, first: int, second: int) -> DataFrame:
+    """Places on the manifest of two weekdays side by side; an item may be on one only."""
+    days = on_weekday(assignments, "frequency", "weekday").where(F.col("weekday").isin(first, second))
+    return days.groupBy("template_id", "account_id", "brand_no").agg(
+        F.max(F.when(F.col("weekday") == first, F.col("sequence"))).alias("first_place"),
+        F.max(F.when(F.col("weekday") == second, F.col("sequence"))).alias("second_place"))
+
+
+def not_all_assigned(assignments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Accounts with fewer publications on delivery manifests of a mask than they take."""
+    assigned = assignments.where("manifest_type_id = 1").groupBy("account_id", "frequency").agg(
+        F.count(F.lit(1)).alias("assigned"))
+    taken = pairs.select("account_id", "brand_no").distinct().groupBy("account_id").agg(F.count(F.lit(1)).alias("taken"))
+    return assigned.join(taken, "account_id").where("assigned < taken")
+
+
+def manifest_history(assignments: DataFrame, dated: DataFrame) -> DataFrame:
+    """First and last date and number of dated manifests that each account and publication was on.
+
+    Dates are summed per template and weekday before the items join.
+    """
+    runs = dated.groupBy("template_id", "draw_weekday").agg(
+        F.min("manifest_date").alias("lo"), F.max("manifest_date").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return (on_weekday(assignments.select("template_id", "account_id", "brand_no", "frequency").distinct())
+            .select("template_id", "account_id", "brand_no", "draw_weekday").distinct()
+            .join(runs, ["template_id", "draw_weekday"])
+            .groupBy("template_id", "account_id", "brand_no").agg(
+                F.min("lo").alias("first_date"), F.max("hi").alias("last_date"), F.sum("n").alias("manifests")))

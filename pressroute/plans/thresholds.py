@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressroute.functions.dates import period_start, return_cutoff
 from pressroute.functions.values import net_sales, zero
-from pressroute.operators.joins import pair_all
+from pressroute.operators.joins import pair_all, pair_with_dates
 
 DEFAULT_DAYS = 7
 
@@ -94,3 +94,18 @@ def resolve_rule(pairs: DataFrame, account_rules: DataFrame, category_rules: Dat
     kind = (F.when(F.col("__a").isNotNull(), "Account Rule").when(F.col("__c").isNotNull(), "Category Rule")
             .when(F.col("__p").isNotNull(), "Publication Rule").otherwise("No Rule"))
     return rows.withColumn("rule_type", kind).withColumn("rule_id", F.coalesce("__a", "__c", "__p")).drop("__a", "__c", "__p")
+
+
+def cutoffs_over_range(rules: DataFrame, key: str, as_of: str, days_back: int = 42) -> DataFrame:
+    """Return cutoff of each rule on the date and on each of the days before it, expanded in place."""
+    last = F.lit(as_of).cast("date")
+    rows = pair_with_dates(rules, F.date_sub(last, days_back - 1), last, "day")
+    return rows.select(key, "day", return_cutoff("day", *FIELDS).alias("min_date"))
+
+
+def forecast_floor(defaults: DataFrame, accounts: DataFrame, type_ids: list[int], floor: int) -> DataFrame:
+    """Smallest forecast raised to a floor for accounts of some types."""
+    hit = accounts.where(F.col("account_type_id").isin(type_ids)).select("account_id", F.lit(True).alias("__hit"))
+    return (defaults.join(hit, "account_id", "left")
+            .withColumn("forecast_min", F.when(F.col("__hit"), F.greatest("forecast_min", F.lit(floor))).otherwise(F.col("forecast_min")))
+            .drop("__hit"))
