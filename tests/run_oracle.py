@@ -1,5 +1,9 @@
-"""python -m tests.run_oracle [sf] [name or prefix ..]: compare queries with their SQL, print time and outcome."""
+"""python -m tests.run_oracle [sf or folder] [query or module ..]: compare queries with their SQL, print time and outcome.
 
+SHUFFLED=1 turns broadcast joins off.
+"""
+
+import os
 import sys
 import time
 import traceback
@@ -12,8 +16,9 @@ from tests.oracle import compare, connect
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     wanted = sys.argv[2:]
-    base = f"/root/testdata/sf{sf}"
-    spark, con = local_session(), connect(base)
+    base = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
+    extra = {"spark.sql.autoBroadcastJoinThreshold": "-1"} if os.environ.get("SHUFFLED") else {}
+    spark, con = local_session(**extra), connect(base)
     bad = 0
     for name, run in QUERIES.items():
         if wanted and not any(name == w or run.__module__.endswith(w) or QUERY_MODULES.get(name, "").endswith(w) for w in wanted):
