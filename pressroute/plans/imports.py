@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressroute.operators.changes import classify_load
-from pressroute.operators.joins import anti, match
 from pressroute.operators.aggregates import unpivot_week
+from pressroute.operators.joins import anti, match
+from pressroute.sources.tables import staged
 
 
 def normalise_load(raw: DataFrame) -> DataFrame:
@@ -31,16 +32,19 @@ def wide_to_long(load: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def import_draws(base: DataFrame, load: DataFrame, defaults: DataFrame, keys: list[str], changed_at: Column,
-                 change_type: int) -> dict[str, DataFrame]:
+                 change_type: int, folder: str | None = None) -> dict[str, DataFrame]:
     """Load a file into the dated draws.
 
     ``table``: the new table. ``history``: one audit row per update and insert.
     ``missing``: default amounts for pairs due on a date of the file that the file
     does not hold. One full join decides; the counts of table changes and history
-    rows agree because both come from it.
+    rows agree because both come from it. With a ``folder`` its result is written there
+    first, so that writing all three outputs runs the join once.
     """
     columns = ["draw_amount", "draw_rate"]
     classed = classify_load(base, load, keys, columns)
+    if folder is not None:
+        classed = staged(classed, folder)
     loaded = classed.select(*keys, *[
         F.when(F.col("action").isin("insert", "update"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
         for c in columns])

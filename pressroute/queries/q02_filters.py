@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressroute.functions.bits import day_bit, freq_matches, not_single_day
+from pressroute.functions.bits import freq_matches, not_single_day
 from pressroute.functions.values import case_map, net_sales, null_safe_ne
 from pressroute.operators import filters
 from pressroute.queries.registry import query

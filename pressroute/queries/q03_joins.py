@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pressroute.functions.text import zero_pad
 from pressroute.operators import joins, ordered
-from pressroute.plans import schedules
+from pressroute.plans import audits, schedules
 from pressroute.queries.registry import query
 from pressroute.sources.frames import DAILY_KEY
 
@@ -156,8 +156,7 @@ def join_self_offset(t):
     FROM audits a LEFT JOIN audits b ON a.account_id = b.account_id AND a.publication = b.publication
      AND a.draw_date = b.draw_date AND b.audit_id + 1 = a.audit_id""")
 def join_self_next_version(t):
-    rows = t.audits.withColumn("amount", F.col("audit_value").cast("int"))
-    return ordered.version_diff(rows, DAILY_KEY, "audit_id", "amount").select(*DAILY_KEY, "audit_id", "amount", "diff")
+    return audits.entry_amounts(t.audits, DAILY_KEY).select(*DAILY_KEY, "audit_id", "amount", "diff")
 
 
 @query("join_self_overlap", "assignments", """

@@ -97,8 +97,7 @@ def bit_union_sum(t):
     SELECT account_id, string_agg(DISTINCT pub_short_name, ', ' ORDER BY pub_short_name) AS csv
     FROM draw_lines JOIN publications USING (publication_id) GROUP BY account_id""")
 def csv_agg(t):
-    pairs = t.account_pubs.join(t.publications.select("publication_id", "pub_short_name"), "publication_id")
-    return agg.csv_agg(pairs, ["account_id"], "pub_short_name")
+    return agg.csv_agg(t.account_brands, ["account_id"], "pub_short_name")
 
 
 @query("nested_csv_agg", "load publications", """

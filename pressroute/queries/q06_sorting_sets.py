@@ -60,8 +60,7 @@ def union_all(t):
     SELECT account_id, brand_no FROM draw_lines JOIN publications USING (publication_id)
     UNION SELECT account_id, brand_no FROM assignments""")
 def union_distinct(t):
-    drawn = t.account_pubs.join(t.publications.select("publication_id", "brand_no"), "publication_id").select("account_id", "brand_no")
-    return drawn.unionByName(t.assignments.select("account_id", "brand_no")).distinct()
+    return t.account_brands.select("account_id", "brand_no").unionByName(t.assignments.select("account_id", "brand_no")).distinct()
 
 
 @query("set_difference", "assignments", """

@@ -33,10 +33,11 @@ def math_power_floor(t):
                                 F.floor(F.col("sequence") / 7).alias("row_no"))
 
 
-@query("math_rand", "draws")
+@query("math_rand", "draw_lines")
 def math_rand(t):
-    """Seeded random share of each draw: values depend on the partitioning, so only the rows can be checked."""
-    return t.draws.select("account_id", "publication_id", "draw_date", F.floor(F.rand(42) * F.col("draw_amount")).alias("returned"))
+    """Seeded random share of each draw line. Drawn at the scan, where a repeated task sees the same rows in the same
+    order; the values depend on the file splits, so only the rows can be checked."""
+    return t.draw_lines.select("account_id", "publication_id", "draw_date", F.floor(F.rand(42) * F.col("draw_amount")).alias("returned"))
 
 
 @query("bit_ops", "assignments", """

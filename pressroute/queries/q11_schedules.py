@@ -77,8 +77,7 @@ def account_list_rollups(t):
                FROM draw_lines JOIN publications USING (publication_id) GROUP BY 1) p USING (account_id)
     LEFT JOIN (SELECT account_id, {week_sql("sum", "draw_amount", "draw_")} FROM default_draws GROUP BY 1) w USING (account_id)""")
 def account_dump(t):
-    pairs = t.account_pubs.join(t.publications.select("publication_id", "pub_short_name"), "publication_id")
-    return accts.account_dump(t.accounts, t.assignments, pairs, t.default_draws)
+    return accts.account_dump(t.accounts, t.assignments, t.account_brands, t.default_draws)
 
 
 @query("unassigned", "account_pubs publications assignments", """
@@ -111,8 +110,7 @@ def unassigned_with_draw(t):
     SELECT sequence_id, account_id, sequence, brand_no FROM places JOIN brands USING (account_id)
     WHERE NOT EXISTS (SELECT 1 FROM assignments a WHERE a.sequence_id = places.sequence_id AND a.account_id = places.account_id AND a.brand_no = brands.brand_no)""")
 def fill_gaps(t):
-    brands = t.account_pubs.join(t.publications.select("publication_id", "brand_no"), "publication_id")
-    return schedules.fill_gaps(t.assignments, brands)
+    return schedules.fill_gaps(t.assignments, t.account_brands)
 
 
 @query("rollup_mismatch", "draws accounts", """

@@ -206,8 +206,7 @@ def retention_split(t):
     SELECT account_id, category FROM every e WHERE category <> 'Unknown'
        OR NOT EXISTS (SELECT 1 FROM every x WHERE x.account_id = e.account_id AND x.category <> 'Unknown')""")
 def category_sync(t):
-    wanted = (t.account_pubs.join(t.publications.select("publication_id", F.col("pub_short_name").alias("category")), "publication_id")
-              .where("account_id % 7 <> 0"))
+    wanted = t.account_brands.where("account_id % 7 <> 0").select("account_id", F.col("pub_short_name").alias("category"))
     own = t.accounts.select("account_id", F.lit("Unknown").alias("category")).unionByName(
         t.accounts.where("account_id % 14 = 0").select("account_id", F.lit("Special").alias("category")))
     return accts.sync_categories(own, wanted, "Unknown")

@@ -15,10 +15,6 @@ from pressroute.queries.registry import query
 from pressroute.sources.frames import DAILY_KEY, DRAW_KEY
 
 
-def _brands(t):
-    return t.account_pubs.join(t.publications.select("publication_id", "brand_no"), "publication_id")
-
-
 @query("manifest_report_by_account", "assignments", f"""
     SELECT account_id, max(CASE WHEN manifest_type_id = 1 AND frequency & 62 > 0 THEN {TEMPLATE} END) AS daily,
            max(CASE WHEN manifest_type_id = 1 AND frequency & 64 > 0 THEN {TEMPLATE} END) AS sat,
@@ -106,7 +102,7 @@ def manifests_by_weekday(t):
     p AS (SELECT account_id, count(DISTINCT brand_no) AS taken FROM draw_lines JOIN publications USING (publication_id) GROUP BY 1)
     SELECT account_id, frequency, assigned, taken FROM a JOIN p USING (account_id) WHERE assigned < taken""")
 def not_all_pubs_assigned(t):
-    return schedules.not_all_assigned(t.assignments, _brands(t))
+    return schedules.not_all_assigned(t.assignments, t.account_brands)
 
 
 @query("manifest_history", "assignments dated_manifests", f"""

@@ -159,6 +159,13 @@ class Frames:
             "account_id", "publication_id", (a * 100000000 + p).alias("account_pub_id"),
             F.when((a + p) % 11 != 0, 1).otherwise(0).alias("active"), (p % 25).alias("ap_owner_id"))
 
+    @cached_property
+    def account_brands(self) -> DataFrame:
+        """Brands each account takes. Joined before the distinct, whose combine then leaves few rows to shuffle."""
+        brands = self.publications.select("publication_id", "brand_no", "pub_short_name")
+        return (self.draw_lines.select("account_id", "publication_id").join(brands, "publication_id")
+                .select("account_id", "brand_no", "pub_short_name").distinct())
+
     @cached_property
     def assignments(self) -> DataFrame:
         """Sequence items: account and brand on a manifest template, with a weekday mask."""

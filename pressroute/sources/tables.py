@@ -42,3 +42,18 @@ def snapshots(spark: SparkSession, base: str) -> DataFrame:
     df = spark.read.option("basePath", base).parquet(f"{base}/snapshot=*")
     return df.withColumn("snapshot_taken", F.to_timestamp(F.col("snapshot").cast("string"), "yyyyMMddHHmmss")
                          .cast("timestamp_ntz")).drop("snapshot")
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> None:
+    """A catalogue table bucketed and sorted by its keys: later joins and aggregates on them need no shuffle.
+
+    For facts that many reports join on the same keys. Pick buckets so that one fits in
+    executor memory; a hot key still fills one bucket, so do not bucket by a skewed key alone.
+    """
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(table))
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write a result once and go on from the files: cuts the lineage, and several outputs share the work."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

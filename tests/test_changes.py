@@ -114,3 +114,13 @@ def test_placeholder_goes_when_another_category_exists(spark):
     own = spark.createDataFrame([(1, "Unknown"), (2, "Unknown")], "account_id int, category string")
     wanted = spark.createDataFrame([(1, "News")], "account_id int, category string")
     assert rows_of(accounts.sync_categories(own, wanted, "Unknown")) == [(1, "News"), (2, "Unknown")]
+
+
+def test_staged_import_gives_the_same(spark, base, load):
+    from pressroute.session import shared_folder
+    defaults = spark.createDataFrame([], "account_id long, publication_id long, draw_weekday int, draw_amount long, draw_rate double")
+    file = load.withColumn("delivery_date", F.col("draw_date"))
+    plain = imports.import_draws(base, file, defaults, KEYS, F.lit("t"), 1)
+    written = imports.import_draws(base, file, defaults, KEYS, F.lit("t"), 1, shared_folder(spark, "import"))
+    for part in ("table", "history", "missing"):
+        assert rows_of(plain[part]) == rows_of(written[part])
