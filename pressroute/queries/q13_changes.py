@@ -9,6 +9,8 @@ from pressroute.plans import accounts as accts, imports, schedules
 from pressroute.plans.fixtures import random_returns
 from pressroute.queries.q04_aggregates import TEMPLATE
 from pressroute.queries.registry import query
+from pressroute.session import shared_folder
+from pressroute.sources import tables
 from pressroute.sources.frames import DAILY_KEY, DRAW_KEY
 
 VALUES = ["draw_amount", "draw_rate"]
@@ -232,3 +234,46 @@ def category_insert(t):
     FROM draws""")
 def random_fixture(t):
     return random_returns(t.draws, DRAW_KEY, "draw_amount", 11).select(*DRAW_KEY, "draw_amount", "ret_amount")
+
+
+@query("retention_by_month", "draw_lines", """
+    SELECT strftime(draw_date, '%Y-%m') AS month, count(*) AS n, CAST(sum(draw_amount) AS BIGINT) AS draw_amount FROM draw_lines
+    WHERE draw_date >= DATE '1996-01-01' OR ret_amount > 0 GROUP BY 1""")
+def retention_by_month(t):
+    """Months before 1996 are rewritten with their returned draws only; the other months are not touched."""
+    path = shared_folder(t.spark, "months")
+    rows = t.draw_lines.select("account_id", "publication_id", "draw_date", "draw_amount", "ret_amount")
+    tables.write_by_month(rows, path, "draw_date")
+    tables.write_by_month(rows.where("draw_date < date'1996-01-01' and ret_amount > 0"), path, "draw_date", replace_only=True)
+    return t.spark.read.schema("account_id bigint, publication_id bigint, draw_date date, draw_amount int, ret_amount int, month string").parquet(
+        path).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("draw_amount").alias("draw_amount"))
+
+
+@query("reassign_children", "accounts draws", """
+    WITH moved AS (SELECT account_id, CASE WHEN rollup_id = 3 THEN 4 ELSE rollup_id END AS rollup_id FROM accounts WHERE rollup_id IS NOT NULL)
+    SELECT d.account_id, d.publication_id, CAST(d.draw_date AS VARCHAR) AS draw_date, coalesce(CAST(m.rollup_id AS BIGINT), d.rollup_id) AS rollup_id
+    FROM draws d LEFT JOIN moved m USING (account_id)""")
+def reassign_children(t):
+    """Children of one rollup move to another, and the rollup stored on their draws follows."""
+    moved = t.accounts.where("rollup_id is not null").select(
+        "account_id", F.when(F.col("rollup_id") == 3, 4).otherwise(F.col("rollup_id")).cast("bigint").alias("rollup_id"))
+    return changes.apply_updates(t.draws, moved, ["account_id"], ["rollup_id"]).select(*DRAW_KEY, "rollup_id")
+
+
+@query("move_between_sequences", "assignments", """
+    SELECT template_id, CASE WHEN sequence_id % 10 = 1 AND frequency & 1 > 0 THEN sequence_id - 1 ELSE sequence_id END AS sequence_id,
+           account_id, brand_no, sequence FROM assignments""")
+def move_between_sequences(t):
+    """Sunday items of a template's second sequence move to its first."""
+    target = F.when((F.col("sequence_id") % 10 == 1) & (F.col("frequency").bitwiseAND(1) > 0), F.col("sequence_id") - 1)
+    return t.assignments.withColumn("sequence_id", F.coalesce(target, F.col("sequence_id"))).select(
+        "template_id", "sequence_id", "account_id", "brand_no", "sequence")
+
+
+@query("returns_file_update", "draws load", """
+    SELECT d.account_id, d.publication_id, CAST(d.draw_date AS VARCHAR) AS draw_date, d.ret_amount AS old_ret_amount, l.draw_amount // 4 AS new_ret_amount
+    FROM draws d JOIN load l USING (account_id, publication_id, draw_date) WHERE d.ret_amount IS DISTINCT FROM l.draw_amount // 4""")
+def returns_file_update(t):
+    """Old and new returns of the draws that a returns file changes."""
+    file = t.load.select(*DRAW_KEY, F.expr("draw_amount div 4").alias("ret_amount"))
+    return changes.changed_rows(t.draws.select(*DRAW_KEY, "ret_amount"), file, DRAW_KEY, ["ret_amount"])

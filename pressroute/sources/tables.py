@@ -57,3 +57,15 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     """Write a result once and go on from the files: cuts the lineage, and several outputs share the work."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_by_month(df: DataFrame, path: str, date: str, replace_only: bool = False) -> None:
+    """Facts in one folder per month, so that date filters skip folders and retention works month by month.
+
+    With ``replace_only`` just the months present in ``df`` are replaced; all others stay. The
+    rebalance hint lets adaptive execution split a month that is larger than one partition.
+    """
+    rows = df.withColumn("month", F.date_format(date, "yyyy-MM"))
+    mode = "dynamic" if replace_only else "static"
+    (rows.hint("rebalance", "month").write.partitionBy("month").mode("overwrite")
+     .option("partitionOverwriteMode", mode).parquet(path))
