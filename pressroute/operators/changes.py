@@ -9,13 +9,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressroute.operators.joins import anti, semi
+from pressroute.operators.joins import anti, split_join
 
 
 def changed_rows(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Rows of ``df`` that the change set really alters, old values as ``old_x``, new ones as ``new_x``."""
     new = changes.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
-    joined = df.join(new, keys)
+    joined = split_join(df, new, keys)
     differs = reduce(Column.__or__, [~F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in columns])
     return joined.where(differs).select(
         *[c for c in df.columns if c not in columns],
@@ -38,7 +38,7 @@ def apply_updates(df: DataFrame, changes: DataFrame, keys: list[str], columns: l
     """
     new = assert_unique(changes.select(*keys, *columns), keys).select(
         *keys, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = df.join(new, keys, "left")
+    joined = split_join(df, new, keys, "left")
     for c in columns:
         value = F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) if keep_null \
             else F.coalesce(F.col(f"__{c}"), F.col(c))
@@ -80,7 +80,7 @@ def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame,
     """Remove the doomed keys from child to parent tables. ``relations`` lists (table, key columns)."""
     out = dict(tables)
     for name, keys in relations:
-        out[name] = anti(out[name], doomed.select(*keys).distinct(), keys)
+        out[name] = split_join(out[name], doomed.select(*keys).distinct(), keys, "left_anti")
     return out
 
 
@@ -101,7 +101,7 @@ def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
 def dedupe_drop_latest(df: DataFrame, keys: list[str], by: str, eligible: Column) -> DataFrame:
     """Of keys with several eligible rows, drop the row with the highest id."""
     repeated = df.where(eligible).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    newest = semi(df, repeated, keys).groupBy(*keys).agg(F.max(by).alias(by))
+    newest = split_join(df, repeated.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.max(by).alias(by))
     return anti(df, newest, [*keys, by])
 
 
@@ -109,7 +109,8 @@ def dedupe_prefer(df: DataFrame, keys: list[str], drop_when: Column) -> DataFram
     """Of keys with several rows, drop the rows that meet the condition. Only those rows are joined."""
     candidate = F.coalesce(drop_when, F.lit(False))
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    return df.where(~candidate).unionByName(anti(df.where(candidate), repeated, keys))
+    return df.where(~candidate).unionByName(
+        split_join(df.where(candidate), repeated.select(*keys), keys, "left_anti"))
 
 
 def retention_split(df: DataFrame, date: str, low: str, high: str) -> tuple[DataFrame, DataFrame]:

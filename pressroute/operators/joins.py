@@ -17,6 +17,18 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of a table with one row per key on the right, safe for a left side with a hot key.
+
+    An aggregate by the same keys hands its partitioning on to the join, and adaptive
+    execution splits only sides that come straight from a shuffle. Joining on the hash of
+    the keys as well makes Spark shuffle the (smaller) right side anew, and a hot
+    partition of the left side is then split over many tasks.
+    """
+    tag = F.xxhash64(*keys)
+    return left.withColumn("__tag", tag).join(right.withColumn("__tag", tag), [*keys, "__tag"], how).drop("__tag")
+
+
 def full_merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join, keys coalesced."""
     return left.join(right, keys, "full")
@@ -41,7 +53,8 @@ def null_aware_anti(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """
     listed = right.select(F.col(right_key).alias("__key"))
     verdict = listed.agg(F.when(F.count(F.lit(1)) == 0, 2).when(F.count_if(F.col("__key").isNull()) == 0, 1).otherwise(0)).scalar()
-    found = left.join(listed.where("__key is not null").distinct(), F.col(left_key) == F.col("__key"), "left_anti")
+    on = (F.col(left_key) == F.col("__key")) & (F.xxhash64(left_key) == F.xxhash64("__key"))  # as in split_join
+    found = left.join(listed.where("__key is not null").distinct(), on, "left_anti")
     return found.where(verdict + F.col(left_key).isNotNull().cast("int") >= 2)
 
 
@@ -82,6 +95,20 @@ def join_on_schedule(fact: DataFrame, schedule: DataFrame, keys: list[str],
     return fact.join(on_weekday(schedule, frequency, weekday), [*keys, weekday])
 
 
+def with_weekday_dates(df: DataFrame, dates: DataFrame, weekday: str = "draw_weekday", name: str = "draw_date",
+                       limit: int = 1_000) -> DataFrame:
+    """Each row with every listed date that falls on its weekday.
+
+    A join on seven weekdays would fill seven tasks. Up to ``limit`` dates (a load file holds
+    a few) become a literal list per weekday that rows expand in place; more are joined.
+    """
+    found = [r[0] for r in dates.select(F.col(name)).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        return df.join(dates.select(name, F.dayofweek(name).alias(weekday)).distinct(), weekday)
+    listed = F.array(*[F.lit(x) for x in sorted(found)]).cast("array<date>")
+    return df.withColumn(name, F.explode(F.filter(listed, lambda x: F.dayofweek(x) == F.col(weekday))))
+
+
 def join_minute(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, how: str = "inner") -> DataFrame:
     """Join on times cut to the minute."""
     return left.withColumn("minute", F.date_trunc("minute", left_ts)).join(
@@ -98,7 +125,7 @@ def overlapping_assignments(df: DataFrame, keys: list[str], owner: str, frequenc
     by_day = on_weekday(df, frequency, "__day")
     crowded = (by_day.groupBy(*keys, "__day").agg(F.count_distinct(owner).alias("__owners"))
                .where("__owners > 1"))
-    hits = by_day.join(crowded, [*keys, "__day"])
+    hits = split_join(by_day, crowded, [*keys, "__day"])
     return hits.groupBy(*df.columns).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("__day") - 1)).alias("overlap_mask"),
         F.max("__owners").alias("owners"))

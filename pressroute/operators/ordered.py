@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pressroute.operators.joins import split_join
+
 
 def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
     """Range number of a numeric, date or time column, from approximate quantiles of the whole column.
@@ -141,7 +143,7 @@ def assign_ids(new: DataFrame, existing_max: DataFrame, order: list[str], bucket
 def next_version(df: DataFrame, history: DataFrame, keys: list[str], version: str, name: str = "next_version") -> DataFrame:
     """isnull(max(version), 0) + 1 inside each key."""
     top = history.groupBy(*keys).agg(F.max(version).alias("__top"))
-    return df.join(top, keys, "left").withColumn(
+    return split_join(df, top, keys, "left").withColumn(
         name, F.coalesce(F.col("__top"), F.lit(0)) + 1).drop("__top")
 
 
@@ -149,7 +151,7 @@ def align_to_group(df: DataFrame, keys: list[str], column: str, how: str = "min"
     """Every row takes its group's lowest or highest value; only rows of uneven groups are returned changed."""
     agg = F.min if how == "min" else F.max
     edge = df.groupBy(*keys).agg(agg(column).alias("__edge"))
-    return df.join(edge, keys).withColumn(f"old_{column}", F.col(column)).withColumn(column, F.col("__edge")).drop("__edge")
+    return split_join(df, edge, keys).withColumn(f"old_{column}", F.col(column)).withColumn(column, F.col("__edge")).drop("__edge")
 
 
 def weekly_history(df: DataFrame, keys: list[str], date: str, weekday: str, value: str, weeks: int = 7) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pressroute.functions.values import net_sales, zero
+from pressroute.operators.joins import split_join
 from pressroute.operators.ordered import first_last, latest, next_version, version_diff
 
 
@@ -82,4 +83,4 @@ def returns_from_audit(draws: DataFrame, audits: DataFrame, keys: list[str]) ->
 def multiple_changes(history: DataFrame, keys: list[str]) -> DataFrame:
     """Change rows of draws that were changed more than once."""
     often = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes")).where("changes > 1")
-    return history.join(often, keys)
+    return split_join(history, often, keys)

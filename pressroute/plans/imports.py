@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressroute.operators.changes import classify_load
 from pressroute.operators.aggregates import unpivot_week
-from pressroute.operators.joins import anti, match
+from pressroute.operators.joins import anti, match, with_weekday_dates
 from pressroute.sources.tables import staged
 
 
@@ -57,8 +57,8 @@ def import_draws(base: DataFrame, load: DataFrame, defaults: DataFrame, keys: li
 
 def due_but_absent(table: DataFrame, load: DataFrame, defaults: DataFrame, keys: list[str]) -> DataFrame:
     """Default rows for each processing date of the load on which the pair has no dated row."""
-    dates = load.select(F.col("delivery_date").alias("draw_date"), F.dayofweek("delivery_date").alias("draw_weekday")).distinct()
-    due = defaults.select("account_id", "publication_id", "draw_weekday", "draw_amount", "draw_rate").join(dates, "draw_weekday")
+    due = with_weekday_dates(defaults.select("account_id", "publication_id", "draw_weekday", "draw_amount", "draw_rate"),
+                             load.select(F.col("delivery_date").alias("draw_date")))
     return anti(due, table, keys)
 
 

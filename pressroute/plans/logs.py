@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressroute.functions.dates import format_duration
 from pressroute.functions.text import extract_between, first_path_part, query_param
+from pressroute.operators.joins import split_join
 from pressroute.operators.ordered import next_event_after, pair_by_rank
 from pressroute.operators.sets import stack
 
@@ -85,7 +86,7 @@ def dup_requests(log: DataFrame) -> DataFrame:
     rows = log.withColumn("mfst_id", query_param("query", "mfstid")).withColumn("company", first_path_part("page"))
     acks = rows.where(F.col("page").endswith("/ack")).groupBy("mfst_id", "company").agg(F.min("logged_at").alias("acked_at"))
     drops = rows.where(F.col("page").endswith("/drop")).withColumn("drop_id", query_param("query", "dropid"))
-    before = drops.join(acks, ["mfst_id", "company"]).where("logged_at < acked_at")
+    before = split_join(drops, acks, ["mfst_id", "company"]).where("logged_at < acked_at")
     return before.groupBy("company", "mfst_id", "drop_id").agg(F.count(F.lit(1)).alias("requests")).where("requests > 1")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressroute.functions.values import net_sales, ratio_percent, zero
-from pressroute.operators.joins import anti, pair_with_dates
+from pressroute.operators.joins import anti, pair_with_dates, split_join
 from pressroute.operators.ordered import latest_with_ties, weekly_history
 
 
@@ -65,7 +65,7 @@ def rollup_totals(changes: DataFrame, accounts: DataFrame, rollups: DataFrame) -
             .join(rollups.select("rollup_id", "rollup_code"), "rollup_id"))
     keys = ["rollup_code", "publication", "draw_date"]
     totals = rows.groupBy(*keys).agg(F.sum("old_draw").alias("rollup_old"), F.sum("new_draw").alias("rollup_new"))
-    return rows.join(totals, keys)
+    return split_join(rows, totals, keys)
 
 
 def zero_draw_months(draws: DataFrame, keys: list[str], as_of: str, months: int = 12) -> DataFrame:
@@ -100,7 +100,7 @@ def export_delta(draws: DataFrame) -> DataFrame:
 def export_rollback(draws: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
     """Set the last exported returns to the current returns for the rows of an archived export file."""
     hit = archive.select(*keys).distinct().withColumn("__hit", F.lit(True))
-    return (draws.join(hit, keys, "left")
+    return (split_join(draws, hit, keys, "left")
             .withColumn("ret_export_last", F.when(F.col("__hit"), F.col("ret_amount")).otherwise(F.col("ret_export_last")))
             .drop("__hit"))
 

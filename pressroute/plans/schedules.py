@@ -9,7 +9,7 @@ from pressroute.functions.text import zero_pad
 from pressroute.functions.values import case_map, net_sales
 from pressroute.operators.aggregates import flatten_week
 from pressroute.operators.filters import optional_eq
-from pressroute.operators.joins import anti, join_on_schedule, on_weekday, pair_with_dates
+from pressroute.operators.joins import anti, join_on_schedule, on_weekday, pair_with_dates, split_join
 from pressroute.sources.frames import MANIFEST_TYPES
 
 
@@ -86,7 +86,8 @@ def sequence_matrix(assignments: DataFrame) -> DataFrame:
 def unassigned(pairs: DataFrame, assignments: DataFrame, manifest_type: int | None = None) -> DataFrame:
     """Account-publication pairs on no manifest, or on none of a type."""
     used = optional_eq(assignments, "manifest_type_id", manifest_type)
-    return anti(pairs, used.select("account_id", "brand_no").distinct(), ["account_id", "brand_no"])
+    keys = ["account_id", "brand_no"]
+    return split_join(pairs, used.select(*keys).distinct(), keys, "left_anti")
 
 
 def fill_gaps(assignments: DataFrame, brands: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def assignments_flat(assignments: DataFrame) -> DataFrame:
 def consolidate(assignments: DataFrame) -> DataFrame:
     """One seven-day sequence per template that has several; each account keeps its highest place."""
     several = assignments.groupBy("template_id").agg(F.count_distinct("sequence_id").alias("__n")).where("__n > 1")
-    items = assignments.join(several.select("template_id"), "template_id", "left_semi")
+    items = split_join(assignments, several.select("template_id"), ["template_id"], "left_semi")
     top = items.groupBy("template_id", "account_id").agg(F.max("sequence").alias("sequence"))
     return (items.select("template_id", "account_id", "brand_no").distinct()
             .join(top, ["template_id", "account_id"]).withColumn("frequency", F.lit(127)))

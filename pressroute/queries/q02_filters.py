@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pressroute.functions.bits import freq_matches, not_single_day
 from pressroute.functions.values import case_map, net_sales, null_safe_ne
 from pressroute.operators import filters
+from pressroute.operators.joins import split_join
 from pressroute.queries.registry import query
 from pressroute.sources.frames import MANIFEST_TYPES
 
@@ -55,7 +56,7 @@ def between_filter(t):
 def in_list(t):
     pubs = t.publications.where(F.col("pub_type").isin("ECONOMY", "STANDARD", "PROMO"))
     sunday = t.assignments.where(freq_matches("frequency", 1)).select("account_id").distinct()
-    rows = t.draw_lines.join(sunday, "account_id", "left_semi")
+    rows = split_join(t.draw_lines, sunday, ["account_id"], "left_semi")
     per_pub = rows.groupBy("publication_id").agg(F.count(F.lit(1)).alias("n"))
     return per_pub.join(pubs, "publication_id").groupBy("pub_type").agg(F.sum("n").alias("n"))
 

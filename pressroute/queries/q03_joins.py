@@ -68,8 +68,8 @@ def join_full(t):
     WHERE NOT EXISTS (SELECT 1 FROM assignments s WHERE s.account_id = account_pubs.account_id AND s.brand_no = publications.brand_no)""")
 def join_anti(t):
     pairs = t.account_pubs.join(t.publications.select("publication_id", "brand_no"), "publication_id")
-    return joins.anti(pairs, t.assignments.select("account_id", "brand_no").distinct(),
-                      ["account_id", "brand_no"]).select("account_id", "publication_id")
+    return joins.split_join(pairs, t.assignments.select("account_id", "brand_no").distinct(),
+                            ["account_id", "brand_no"], "left_anti").select("account_id", "publication_id")
 
 
 @query("join_not_in", "accounts rollups manifests", """

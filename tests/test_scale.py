@@ -65,10 +65,33 @@ def test_bucketed_tables_join_without_a_shuffle(shuffled):
 
 
 def test_pivot_columns_are_the_only_thing_collected():
-    """Library code collects bounded metadata in three places, each behind a limit or an aggregate."""
+    """Library code collects bounded metadata in four places, each behind a limit or an aggregate."""
     import pathlib
     import pressroute
     hits = []
     for path in pathlib.Path(pressroute.__file__).parent.rglob("*.py"):
         hits += [path.name for line in path.read_text().splitlines() if re.search(r"\.(collect|toPandas|first)\(\)", line)]
-    assert sorted(hits) == ["aggregates.py", "joins.py", "ordered.py"]
+    assert sorted(hits) == ["aggregates.py", "joins.py", "joins.py", "ordered.py"]
+
+
+def test_hot_key_is_split_beside_an_aggregate(shuffled):
+    """One key holds a third of the rows; the join with its group's total still spreads them."""
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: shuffled.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        shuffled.conf.set(k, v)
+    try:
+        rows = shuffled.range(0, 400000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("v"),
+            F.md5(F.col("id").cast("string")).alias("text"))
+        out = ordered.align_to_group(rows, ["k"], "v", "max")
+        assert out.count() == 400000
+        final = out.select(F.sum("v").alias("s"))
+        assert final.collect()[0].s > 0
+        assert "skew=true" in final._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            shuffled.conf.set(k, v)
