@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressroute.llm.bpe import bpe_decode, bpe_encode
 from pressroute.llm.exact_dedup import exact_dedup
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     return exact_dedup(docs, carry=["text_sha256"])
+
+
+@register("op6_bpe_prefix_dp")
+def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    digests = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                             F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = bpe_decode(digests, path, ["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
