@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressroute.llm.bpe import bpe_decode, bpe_encode
+from pressroute.llm.common import train_bucket
 from pressroute.llm.exact_dedup import exact_dedup
+from pressroute.llm.language_id import identify_language, train_language_model
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -26,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", train_bucket(F.col("doc_id")) == 0)
+    model = train_language_model(docs.where("not held_out"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return identify_language(docs, model, keep=["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
+
+
 @register("op4_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
            doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
