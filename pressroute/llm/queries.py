@@ -10,6 +10,7 @@ from pressroute.llm.bpe import bpe_decode, bpe_encode
 from pressroute.llm.common import train_bucket
 from pressroute.llm.exact_dedup import exact_dedup
 from pressroute.llm.language_id import identify_language, train_language_model
+from pressroute.llm.simhash import simhash_groups
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -57,3 +58,9 @@ def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.sha2("ids", 256).alias("ids_sha256"), "ids")
     decoded = bpe_decode(digests, path, ["doc_id", "n_tokens", "ids_sha256"])
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op7_simhash_pivots")
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
