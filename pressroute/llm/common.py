@@ -35,3 +35,28 @@ def alnum_words(text: Column) -> Column:
 def train_bucket(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: the contract's fold. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+#: Bits of a key map: 256 rows of 4 KB, so its broadcast is 1 MB at any input size.
+MAP_BITS = 1 << 23
+
+
+def _bit_number(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS)) + 1
+
+
+def key_map(df: DataFrame, keys: list[str], purpose: str) -> DataFrame:
+    """Bitmap of the hashes of a table's keys, written out: ``bucket, bits``, at most MAP_BITS / 32768 rows."""
+    number = _bit_number(keys)
+    return stage(df.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")), purpose)
+
+
+def with_key_flag(df: DataFrame, mapped: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """The rows with ``flag``: false only if the row's keys are not in the map. A full map flags more rows than need be."""
+    number = _bit_number(keys)
+    probed = df.withColumns({"__bucket": F.bitmap_bucket_number(number), "__bit": F.bitmap_bit_position(number)}).join(
+        F.broadcast(mapped.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("__bit") % 8).cast("int"))) != 0
+    return probed.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop("__bucket", "__bit", "__bits")

@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pressroute.llm.common import stage
+from pressroute.llm.common import key_map, stage, with_key_flag
 from pressroute.operators.joins import split_join
 
-#: Bits of the survivor map: 256 rows of 4 KB, so its broadcast is 1 MB at any input size.
-MAP_BITS = 1 << 23
-
-
-def _bit_number(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS)) + 1
-
-
-def _survivor_map(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Bitmap of the key hashes: (bucket, bits), at most MAP_BITS / 32768 rows."""
-    number = _bit_number(*[F.col(k) for k in keys])
-    return groups.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-
-
-def _is_set(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))) != 0, F.lit(False))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
                 carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept`` and the ``carry`` columns.
@@ -52,13 +32,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lengths = profile.groupBy("__bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     same_length = split_join(profile, lengths, ["__bytes"], "left_semi")
     prefixes = same_length.groupBy("__bytes", "__prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bitmap = stage(_survivor_map(prefixes, ["__bytes", "__prefix"]), "dedup-survivors")
-
-    number = _bit_number(F.col("__bytes"), F.col("__prefix"))
-    probed = rows.withColumns({"bucket": F.bitmap_bucket_number(number), "__bit": F.bitmap_bit_position(number)}).join(
-        F.broadcast(bitmap), "bucket", "left")
+    survivors = key_map(prefixes, ["__bytes", "__prefix"], "dedup-survivors")
+    probed = with_key_flag(rows, survivors, ["__bytes", "__prefix"], "__again")
     tagged = stage(probed.select("doc_id", *[f"__carry{i}" for i in range(len(carry))], F.when(
-        _is_set(F.col("bits"), F.col("__bit")), F.unhex(F.sha2("__text", 256))).alias("__full")), "dedup-tagged")
+        F.col("__again"), F.unhex(F.sha2("__text", 256))).alias("__full")), "dedup-tagged")
 
     hashed = tagged.where("__full is not null")
     groups = stage(hashed.groupBy("__full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressroute.llm.bpe import bpe_decode, bpe_encode
 from pressroute.llm.common import train_bucket
+from pressroute.llm.decontaminate import contamination, is_contaminated, words_hit
 from pressroute.llm.exact_dedup import exact_dedup
 from pressroute.llm.language_id import identify_language, train_language_model
 from pressroute.llm.simhash import simhash_groups
@@ -64,3 +65,28 @@ def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+ALNUM_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op9_positional_decontamination", f"""
+    WITH d AS (SELECT doc_id, {ALNUM_SQL} AS w FROM documents),
+    i AS (SELECT item_id, {ALNUM_SQL} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS win
+                FROM i, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS t(s) WHERE len(w) > 0),
+    places AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+               FROM d, (SELECT DISTINCT n FROM windows), unnest(generate_series(1, len(w) - n + 1)) AS t(s)),
+    met AS (SELECT doc_id, s, n, item_id FROM places JOIN windows USING (n, win)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM met, unnest(generate_series(s, s + n - 1)) AS t(p) GROUP BY doc_id),
+    owners AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+               FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)""")
+def op9_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_hit", words_hit(F.col("spans"))).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
