@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressroute.session import shared_folder
 
@@ -60,3 +60,20 @@ def with_key_flag(df: DataFrame, mapped: DataFrame, keys: list[str], flag: str)
     byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("__bit") % 8).cast("int"))) != 0
     return probed.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop("__bucket", "__bit", "__bits")
+
+
+def dense_index(df: DataFrame, rows: int, within: list[str], order: list[str], name: str, bucket_rows: int = 100_000) -> DataFrame:
+    """The rows numbered from 0 without gaps inside ``within``, in buckets of a hash of ``order``.
+
+    A window numbers the rows of a bucket; the buckets' sizes, added up, give where each begins. The
+    number of buckets follows ``rows``, so no task holds more than a bucket (and copies of one row).
+    Read the input from a table: it is used twice, and its rows must be the same both times.
+    """
+    buckets = max(16, -(-rows // bucket_rows))
+    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    before = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
+        *within, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    place = F.row_number().over(Window.partitionBy(*within, "__bucket").orderBy(F.xxhash64(*order), *order))
+    return dealt.withColumn("__place", place).join(starts, [*within, "__bucket"]).withColumn(
+        name, F.col("__from") + F.col("__place") - 1).drop("__bucket", "__from", "__place")

@@ -11,6 +11,8 @@ from pressroute.llm.common import train_bucket
 from pressroute.llm.decontaminate import contamination, is_contaminated, words_hit
 from pressroute.llm.exact_dedup import exact_dedup
 from pressroute.llm.language_id import identify_language, train_language_model
+from pressroute.llm.license_scan import scan_licenses
+from pressroute.llm.sharding import shard_documents
 from pressroute.llm.simhash import simhash_groups
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +92,19 @@ def op9_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+@register("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("base_places", lambda p: p["start"].cast("long"))
+    return found.select("doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), F.concat_ws(",", "base_labels").alias("base_labels"),
+                        F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+@register("op2_balanced_sharding")
+def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
