@@ -12,6 +12,7 @@ from pressroute.llm.decontaminate import contamination, is_contaminated, words_h
 from pressroute.llm.exact_dedup import exact_dedup
 from pressroute.llm.language_id import identify_language, train_language_model
 from pressroute.llm.license_scan import scan_licenses
+from pressroute.llm.lm_scoring import score_documents
 from pressroute.llm.sharding import shard_documents
 from pressroute.llm.simhash import simhash_groups
 
@@ -108,3 +109,9 @@ def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op10_bloom_lm")
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", train_bucket(F.col("doc_id")) == 1)
+    return score_documents(docs, docs.where("not held_out"), keep=["held_out"])
