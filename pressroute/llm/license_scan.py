@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressroute.llm.common import alnum_words, key_map, stage, with_key_flag
+from pressroute.llm.common import alnum_words, key_map, once, stage, with_key_flag
 from pressroute.operators.joins import split_join
 
 # Phrases, labels and wordings that public licences use.
@@ -147,10 +147,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = best.join(F.broadcast(templates.drop("base")), "template").join(files.select(*KEY, "text"), KEY)
     after = F.greatest(F.col("start") - SLACK, F.lit(0))
     near = F.slice(alnum_words(F.col("text")), after + 1, F.col("start") + F.col("size") + SLACK - after)
-    spoken = F.concat(F.lit(" "), F.concat_ws(" ", "near"), F.lit(" "))
-    cover = F.aggregate(F.array_intersect("words", "near"), F.lit(0.0), lambda x, w: x + F.col("idf")[w]) / F.col("total")
-    checked = found.withColumn("near", near).withColumn("spoken", spoken).where(
-        F.forall("phrases", lambda p: F.contains(F.col("spoken"), p))).select(*KEY, "label", F.least(cover, F.lit(1.0)).alias("cover"))
+    spoken = lambda words: F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" "))
+    cover = lambda words: F.aggregate(F.array_intersect("words", words), F.lit(0.0), lambda x, w: x + F.col("idf")[w]) / F.col("total")
+    share = once(near, lambda words: F.when(once(spoken(words), lambda s: F.forall("phrases", lambda p: F.contains(s, p))),
+                                            F.least(cover(words), F.lit(1.0))))
+    checked = found.select(*KEY, "label", share.alias("cover")).where("cover is not null")
     told = checked.groupBy(*KEY).agg(F.collect_set(F.when(F.col("cover") >= COVER, F.col("label"))).alias("own"), F.max("cover").alias("score"))
 
     texts = stage(base.join(told, KEY, "full"), "license-found")
