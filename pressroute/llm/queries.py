@@ -10,6 +10,7 @@ from pressroute.llm.bpe import bpe_decode, bpe_encode
 from pressroute.llm.common import train_bucket
 from pressroute.llm.decontaminate import contamination, is_contaminated, words_hit
 from pressroute.llm.exact_dedup import exact_dedup
+from pressroute.llm.html_crf import extract_main_text, labelled_pages, train_extractor
 from pressroute.llm.language_id import identify_language, train_language_model
 from pressroute.llm.license_scan import scan_licenses
 from pressroute.llm.lm_scoring import score_documents
@@ -33,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_html_crf")
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"), train_extractor(labelled_pages()), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @register("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
