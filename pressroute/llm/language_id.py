@@ -208,8 +208,9 @@ def train_language_model(labelled: DataFrame, path: str, text_col: str = "text",
 _names: list[str] = []
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` with ``lang_pred`` and ``lang_score`` (0 to 1), from the whole text alone.
+def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None,
+                      names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns of ``keep`` with the language and its score (0 to 1) under ``names``, from the whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or if the model knows no language. Of
     equally likely languages the first by name. Repeated rows and null ids pass through; columns that
@@ -225,8 +226,8 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
                 part = batch.slice(at, ROWS_PER_BATCH)
                 found = [model.predict(t.as_py()) for t in part.column(len(keep))]
                 yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array([f[0] for f in found], pa.string()),
-                                       pa.array([f[1] for f in found], pa.float64())], [*keep, "lang_pred", "lang_score"])
+                                       pa.array([f[1] for f in found], pa.float64())], [*keep, *names])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
-    return rows.mapInArrow(predict, f"{fields}lang_pred string, lang_score double")
+    return rows.mapInArrow(predict, f"{fields}`{names[0]}` string, `{names[1]}` double")

@@ -16,6 +16,7 @@ from pressroute.llm.license_scan import scan_licenses
 from pressroute.llm.lm_scoring import score_documents
 from pressroute.llm.sharding import shard_documents
 from pressroute.llm.simhash import simhash_groups
+from pressroute.llm.suffix_dedup import repeated_passages
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -122,3 +123,9 @@ def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", train_bucket(F.col("doc_id")) == 1)
     return score_documents(docs, docs.where("not held_out"), keep=["held_out"])
+
+
+@register("op5_sparse_suffix_dedup")
+def op5_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("first_word").cast("long").alias("first_word"), F.col("n_words").cast("long").alias("n_words"), "other_doc_id")
