@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pressroute.llm.common import alnum_words, key_map, stage, with_key_flag
+from pressroute.llm.common import alnum_words, count_alnum_words, key_map, once, stage, with_key_flag
 from pressroute.operators.joins import split_join
 
 #: Words of a window; an item of fewer words is one window.
@@ -35,12 +35,13 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 def rarest_terms(windows: DataFrame, texts: DataFrame) -> DataFrame:
     """``window, term, offset, need``: each distinct window's rarest words in the corpus, ``need`` of them.
 
-    Word counts are summed map-side over all texts before they meet the windows' words. A window
-    with a word that no text has is left out: it cannot occur.
+    Word counts are summed map-side over all texts before they meet the windows' words (an inner join,
+    since the optimizer would move a semi join below the sum). A window with a word that no text has is
+    left out: it cannot occur.
     """
     terms = windows.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("offset", "term"))
     counts = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts.join(terms.select("term").distinct(), "term", "left_semi"), "decontaminate-counts")
+    counts = stage(counts.join(terms.select("term").distinct(), "term"), "decontaminate-counts")
     ranked = split_join(terms, counts, ["term"], "left").withColumns({
         "place": F.row_number().over(Window.partitionBy("window").orderBy(F.col("n").asc_nulls_first(), "offset")),
         "least": F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("window"))})
@@ -81,11 +82,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     wanted = stage(places.groupBy(*KEY).agg(F.collect_list(F.struct("start", "window")).alias("places")), "decontaminate-places")
 
     again = with_key_flag(rows, key_map(wanted, KEY, "decontaminate-texts"), KEY, "again").where("again")
-    once = split_join(again.select(*KEY, "text"), wanted.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
-    read = once.join(wanted, KEY).withColumn("words", alnum_words(F.col("text")))
-    checked = read.select(*KEY, F.filter(F.transform("places", lambda p: F.struct(
+    distinct = split_join(again.select(*KEY, "text"), wanted.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+    stands = lambda words: F.filter(F.transform("places", lambda p: F.struct(
         p["start"].alias("start"), p["window"].alias("window"), F.size(F.split(p["window"], " ")).alias("n"))), lambda p: F.concat_ws(
-            " ", F.slice(F.col("words"), p["start"] + 1, p["n"])) == p["window"]).alias("places")).where(F.size("places") > 0)
+            " ", F.slice(words, p["start"] + 1, p["n"])) == p["window"])
+    checked = distinct.join(wanted, KEY).select(*KEY, once(alnum_words(F.col("text")), stands).alias("places")).where(F.size("places") > 0)
     verified = stage(checked, "decontaminate-verified")
 
     found = verified.select(*KEY, F.explode(F.array_distinct(F.transform("places", lambda p: p["window"]))).alias("window"))
@@ -94,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spans = verified.select(*KEY, F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"))).alias("spans"))
     hits = stage(spans.join(owners, KEY), "decontaminate-hits")
 
-    sized = stage(rows.select("doc_id", *KEY, F.size(alnum_words(F.col("text"))).cast("long").alias("n_words")), "decontaminate-sizes")
+    sized = stage(rows.select("doc_id", *KEY, count_alnum_words(F.col("text")).alias("n_words")), "decontaminate-sizes")
     none = "array<struct<start:int,n:int>>"
     return split_join(sized, hits, KEY, "left").select(
         "doc_id", "n_words", F.coalesce(F.array_distinct("spans"), F.array().cast(none)).alias("spans"),
