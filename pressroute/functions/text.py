@@ -39,7 +39,9 @@ def stuff(text, start: int, length: int, insert: str) -> Column:
 
 
 def zero_pad(number, width: int) -> Column:
-    return F.lpad(_col(number).cast("string"), width, "0")
+    """Zeros in front up to ``width``; a longer number keeps all its digits."""
+    text = _col(number).cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
 
 
 def collapse_spaces(text) -> Column:

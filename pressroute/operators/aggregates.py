@@ -45,8 +45,23 @@ def pivot(df: DataFrame, keys: list[str], column: str, values: list, aggs: list[
     return df.groupBy(*keys).pivot(column, values).agg(*aggs)
 
 
+def pivot_rest(df: DataFrame, keys: list[str], column: str, values: list, measures: dict[str, str]) -> DataFrame:
+    """A column per value and measure, named by the value and the measure's suffix, and ``rest``: the rows of all
+    other values as text, ``value=measure/measure`` in order, null if there are none. Nothing is lost without a column."""
+    cells = [F.max(F.when(F.col(column) == v, F.col(c))).alias(f"{v}{suffix}") for v in values for c, suffix in measures.items()]
+    line = F.concat(F.col(column).cast("string"), F.lit("="), F.concat_ws("/", *[F.col(c).cast("string") for c in measures]))
+    others = F.sort_array(F.collect_list(F.when(~F.col(column).isin(values), F.struct(F.col(column).alias("at"), line.alias("line")))))
+    rest = F.nullif(F.array_join(F.transform(others, lambda x: x["line"]), ", "), F.lit(""))
+    return df.groupBy(*keys).agg(*cells, rest.alias("rest"))
+
+
+def pivot_long(df: DataFrame, keys: list[str], column: str, aggs: list[Column]) -> DataFrame:
+    """One row per key and value in place of columns: the form for any number of values."""
+    return df.groupBy(*keys, column).agg(*aggs)
+
+
 def distinct_values(df: DataFrame, column: str, limit: int = 1_000) -> list:
-    """Column names for a pivot, found at run time. More than ``limit`` is an error, not a cut."""
+    """Column names for a pivot, found at run time. More than ``limit`` is an error, not a cut: ``pivot_long`` has no such end."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} values; too many for columns")

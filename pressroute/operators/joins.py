@@ -1,4 +1,4 @@
-"""Joins. No broadcast hints: the optimizer and adaptive execution broadcast a side only when its
+"""Joins. No broadcast hints but one on seven rows: the optimizer and adaptive execution broadcast a side only when its
 measured size is under ``spark.sql.autoBroadcastJoinThreshold``, and split skewed partitions otherwise."""
 
 from __future__ import annotations
@@ -58,21 +58,13 @@ def null_aware_anti(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return found.where(verdict + F.col(left_key).isNotNull().cast("int") >= 2)
 
 
-def pair_all(df: DataFrame, small: DataFrame, limit: int = 10_000, fragments: int = 64) -> DataFrame:
+def pair_all(df: DataFrame, small: DataFrame, fragments: int | None = None) -> DataFrame:
     """Every row of ``df`` with every row of ``small`` (a join written ``on 1 = 1``).
 
-    A side of at most ``limit`` rows becomes a literal array that each row expands
-    in place: no shuffle. A larger one is copied once per fragment and joined on the
-    fragment number, so neither side has to fit in one task.
+    ``small`` is copied once per fragment and joined on the fragment number, so neither side has to
+    fit in one task, whatever its size. There are as many fragments as shuffle partitions.
     """
-    rows = small.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        if not rows:
-            return df.join(small, F.lit(False))
-        cells = F.array(*[F.struct(*[F.lit(r[c]).cast(small.schema[c].dataType).alias(c) for c in small.columns])
-                          for r in rows])
-        return df.withColumn("__pair", F.explode(cells)).select(
-            *df.columns, *[F.col(f"__pair.{c}").alias(c) for c in small.columns])
+    fragments = fragments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(fragments)))
     right = small.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(fragments - 1).cast("bigint"))))
     return left.join(right, "__part").drop("__part")
@@ -95,18 +87,16 @@ def join_on_schedule(fact: DataFrame, schedule: DataFrame, keys: list[str],
     return fact.join(on_weekday(schedule, frequency, weekday), [*keys, weekday])
 
 
-def with_weekday_dates(df: DataFrame, dates: DataFrame, weekday: str = "draw_weekday", name: str = "draw_date",
-                       limit: int = 1_000) -> DataFrame:
-    """Each row with every listed date that falls on its weekday.
+def with_weekday_dates(df: DataFrame, dates: DataFrame, weekday: str = "draw_weekday", name: str = "draw_date") -> DataFrame:
+    """Each row with every listed date that falls on its weekday. Null dates and null weekdays match nothing.
 
-    A join on seven weekdays would fill seven tasks. Up to ``limit`` dates (a load file holds
-    a few) become a literal list per weekday that rows expand in place; more are joined.
+    A shuffle on seven weekdays would fill seven tasks. The dates are grouped into one list per weekday
+    instead: seven rows that hold no more than the calendar's days (a century has 36,525), which is why they
+    may be broadcast at any size of the tables. Rows expand in place.
     """
-    found = [r[0] for r in dates.select(F.col(name)).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        return df.join(dates.select(name, F.dayofweek(name).alias(weekday)).distinct(), weekday)
-    listed = F.array(*[F.lit(x) for x in sorted(found)]).cast("array<date>")
-    return df.withColumn(name, F.explode(F.filter(listed, lambda x: F.dayofweek(x) == F.col(weekday))))
+    lists = (dates.where(F.col(name).isNotNull()).groupBy(F.dayofweek(name).alias(weekday))
+             .agg(F.sort_array(F.collect_set(name)).alias("__dates")))
+    return df.join(F.broadcast(lists), weekday).withColumn(name, F.explode("__dates")).drop("__dates").select(*df.columns, name)
 
 
 def join_minute(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, how: str = "inner") -> DataFrame:

@@ -12,17 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressroute.operators.joins import split_join
+from pressroute.session import shared_folder
+from pressroute.sources.tables import staged
 
 
-def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
+def ranges(df: DataFrame, column: str, rows_per_range: int = 1_000_000, least: int = 64) -> Column:
     """Range number of a numeric, date or time column, from approximate quantiles of the whole column.
 
-    The split points only balance the work: the result does not depend on them.
+    The number of ranges follows the row count, and busy stretches get more of them, so a day that holds
+    a third of all rows is spread over a third of the ranges. The split points only balance the work: the
+    result does not depend on them.
     """
+    parts = max(least, -(-df.count() // rows_per_range))
     is_time = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
     value = F.unix_micros(F.col(column).cast("timestamp")) if is_time else F.col(column)
     points = [i / parts for i in range(1, parts)]
-    row = df.select(value.alias("v")).agg(F.percentile_approx("v", points, 10_000).alias("p")).first()
+    row = df.select(value.alias("v")).agg(F.percentile_approx("v", points, max(10_000, 10 * parts)).alias("p")).first()
     splits = sorted(set(row.p or []))
     out = F.lit(0)
     if splits:
@@ -41,7 +46,7 @@ def _along(keys: list[str]):
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "rn") -> DataFrame:
-    """row_number() over (partition by keys order by order). With no keys, over the whole frame."""
+    """row_number() over (partition by keys order by order)."""
     rows = _cell(df, keys, bucket)
     counts = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
     before = _along(keys).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,9 +56,28 @@ def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name:
             .drop("__rn", "__off", "__k"))
 
 
+def numbered_overall(df: DataFrame, order: list[str], name: str = "rn", rows_per_range: int = 1_000_000) -> DataFrame:
+    """row_number() over (order by order) of the whole frame.
+
+    Rows are dealt out by ranges of the full sort key, so equal values of its first column do not share a task,
+    and written once with the number of their range: what is counted and what is numbered are then the same.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_range))
+    dealt = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
+    rows = staged(dealt, shared_folder(spark, "ranges"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    local = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return local.join(offsets, "__range").withColumn(name, F.col("__rn") + F.col("__off")).drop("__rn", "__off", "__range")
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column,
              name: str = "prev") -> DataFrame:
-    """lag(value) over (partition by keys order by order)."""
+    """lag(value) over (partition by keys order by order). ``order`` is column names, ascending."""
+    if not all(isinstance(c, str) for c in order):
+        raise TypeError("previous() takes column names, in ascending order")
     rows = _cell(df, keys, bucket)
     edges = rows.groupBy("__k").agg(F.max_by(F.struct(F.col(value)), F.struct(*order)).alias("__last"))
     carried = edges.select("__k", F.lag("__last").over(_along(keys)).alias("__carry"))
@@ -62,13 +86,15 @@ def previous(df: DataFrame, keys: list[str], order: list[str], value: str, bucke
             .drop("__lag", "__carry", "__k"))
 
 
-def next_event_after(starts: DataFrame, events: DataFrame, keys: list[str], ts: str,
-                     unit: str = "hour", name: str = "next_ts") -> DataFrame:
-    """For each start, the first event of the same keys strictly later; null if there is none."""
+def next_event_after(starts: DataFrame, events: DataFrame, keys: list[str], ts: str, name: str = "next_ts") -> DataFrame:
+    """For each start, the first event of the same keys strictly later; null if there is none.
+
+    Times are split into ranges by the events' own distribution.
+    """
     marked = starts.select(F.struct(*starts.columns).alias("__row"), *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__kind"))
     ends = events.select(F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"), *keys,
                          F.col(ts).alias("__ts"), F.lit(0).alias("__kind"))
-    both = _cell(marked.unionByName(ends), keys, F.date_trunc(unit, F.col("__ts")))
+    both = _cell(marked.unionByName(ends), keys, ranges(ends, "__ts"))
     event_ts = F.when(F.col("__kind") == 0, F.col("__ts"))
     later = Window.partitionBy("__k").orderBy("__ts", "__kind").rowsBetween(1, Window.unboundedFollowing)
     local = both.withColumn("__local", F.min(event_ts).over(later)).where("__kind = 1")
@@ -119,13 +145,14 @@ def last_nonzero(df: DataFrame, keys: list[str], measure: str, date: str) -> Dat
 def version_diff(df: DataFrame, keys: list[str], version: str, value: str, name: str = "diff") -> DataFrame:
     """Value less the value of version - 1; the first version counts from zero.
 
-    Joins on key and version number, which spreads a key with many versions. A version
-    whose predecessor is missing is not reached from version 1 and is left out.
+    Joins on key and version number, which spreads a key with many versions. Versions from the
+    first gap on are not reached from version 1 and are left out.
     """
-    before = df.select(*keys, (F.col(version) + 1).alias(version), F.col(value).alias("__before"))
+    before = df.select(*keys, (F.col(version) + 1).alias(version), F.struct(F.col(value)).alias("__before"))
     joined = df.join(before, [*keys, version], "left")
-    return (joined.where((F.col(version) == 1) | F.col("__before").isNotNull())
-            .withColumn(name, F.col(value) - F.coalesce(F.col("__before"), F.lit(0))).drop("__before"))
+    gaps = joined.where((F.col(version) != 1) & F.col("__before").isNull()).groupBy(*keys).agg(F.min(version).alias("__gap"))
+    return (split_join(joined, gaps, keys, "left").where(F.col("__gap").isNull() | (F.col(version) < F.col("__gap")))
+            .withColumn(name, F.col(value) - F.when(F.col(version) == 1, 0).otherwise(F.col("__before")[value])).drop("__before", "__gap"))
 
 
 def resequence(df: DataFrame, keys: list[str], order: list[str], bucket: Column, start: int = 0, step: int = 10,
@@ -134,9 +161,9 @@ def resequence(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
         name, F.lit(start) + F.col("__pos") * step).drop("__pos")
 
 
-def assign_ids(new: DataFrame, existing_max: DataFrame, order: list[str], bucket: Column, name: str = "id") -> DataFrame:
+def assign_ids(new: DataFrame, existing_max: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """Highest existing id plus 1, 2, 3 .. in the given order. ``existing_max`` is a one-cell frame."""
-    return numbered(new, [], order, bucket, "__pos").withColumn(
+    return numbered_overall(new, order, "__pos").withColumn(
         name, F.coalesce(existing_max.scalar(), F.lit(0)) + F.col("__pos")).drop("__pos")
 
 

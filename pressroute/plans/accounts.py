@@ -51,10 +51,10 @@ def owner_audit(assignments: DataFrame, accounts: DataFrame, pairs: DataFrame, t
     return rows.where(null_safe_ne("template_owner", "account_owner") | null_safe_ne("template_owner", "ap_owner_id"))
 
 
-def new_categories(categories: DataFrame, names: DataFrame, bucket: Column) -> DataFrame:
+def new_categories(categories: DataFrame, names: DataFrame) -> DataFrame:
     """Categories for names that have none yet, numbered on from the highest id."""
     fresh = anti(names.select("category").distinct(), categories, ["category"])
-    return assign_ids(fresh, categories.agg(F.max("category_id")), ["category"], bucket, "category_id")
+    return assign_ids(fresh, categories.agg(F.max("category_id")), ["category"], "category_id")
 
 
 def sync_categories(account_categories: DataFrame, wanted: DataFrame, placeholder: str) -> DataFrame:

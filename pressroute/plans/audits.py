@@ -18,18 +18,25 @@ def entry_amounts(audits: DataFrame, keys: list[str]) -> DataFrame:
     return version_diff(with_amount(audits), keys, "audit_id", "amount")
 
 
-def returns_audit(audits: DataFrame, draws: DataFrame, keys: list[str], versions: int = 4,
-                  negative_net_only: bool = False) -> DataFrame:
-    """All entries of a draw in one row: user, value and time per version, one shuffle for all three."""
-    wide = with_amount(audits).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("entries"),
-        *[F.max(F.when(F.col("audit_id") == v, F.col(c))).alias(f"{name}{v}")
-          for v in range(1, versions + 1)
-          for c, name in (("audit_user_id", "user"), ("amount", "value"), ("audit_time", "time"))])
-    out = wide.join(draws.select(*keys, "draw_amount", "net"), keys)
+def returns_audit(audits: DataFrame, draws: DataFrame, keys: list[str], negative_net_only: bool = False) -> DataFrame:
+    """All entries of each draw that has more than one, in one row: ``entry`` is an array of user, value, difference to
+    the entry before and time, in order. One shuffle; an array holds as many entries as a draw has."""
+    one = F.struct(F.col("audit_id"), F.col("audit_user_id").alias("user"), F.col("amount").alias("value"), F.col("audit_time").alias("time"))
+    lists = with_amount(audits).groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("e")).where(F.size("e") > 1)
+    entries = F.transform("e", lambda x, i: F.struct(
+        x["user"].alias("user"), x["value"].alias("value"),
+        (x["value"] - F.coalesce(F.get(F.col("e"), i - 1)["value"], F.lit(0))).alias("difference"), x["time"].alias("time")))
+    out = lists.select(*keys, F.size("e").alias("entries"), entries.alias("entry")).join(draws.select(*keys, "draw_amount", "net"), keys)
     return out.where("net < 0") if negative_net_only else out
 
 
+def entry_columns(report: DataFrame) -> DataFrame:
+    """``returns_audit`` with columns user1, value1, difference1, time1, user2 ..: as many as the longest list has."""
+    most = report.agg(F.max("entries")).first()[0] or 0
+    return report.select("*", *[F.get("entry", F.lit(v - 1))[name].alias(f"{name}{v}")
+                                for v in range(1, most + 1) for name in ("user", "value", "difference", "time")]).drop("entry")
+
+
 def returns_by_owner(audits: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame:
     """Returns entered by the owner and by others per draw, side by side; either may be missing.
 

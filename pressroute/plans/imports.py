@@ -19,8 +19,8 @@ def normalise_load(raw: DataFrame) -> DataFrame:
     pub = F.trim(F.coalesce("pub_code", F.lit("")))
     date = F.to_date("draw_date", "MM/dd/yyyy")
     return raw.select(
-        F.substring(code, 2, 20).cast("bigint").alias("account_id"),
-        F.substring(pub, 2, 20).cast("bigint").alias("publication_id"),
+        F.substr(code, F.lit(2)).cast("bigint").alias("account_id"),
+        F.substr(pub, F.lit(2)).cast("bigint").alias("publication_id"),
         date.alias("draw_date"), date.alias("delivery_date"), F.dayofweek(date).alias("draw_weekday"),
         F.coalesce(F.trim("draw_amount").cast("bigint"), F.lit(0)).alias("draw_amount"),
         F.coalesce(F.col("draw_rate").cast("decimal(8,5)"), F.lit(0).cast("decimal(8,5)")).alias("draw_rate"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pressroute.functions.dates import format_duration
 from pressroute.functions.text import extract_between, first_path_part, query_param
 from pressroute.operators.joins import split_join
-from pressroute.operators.ordered import next_event_after, pair_by_rank
+from pressroute.operators.ordered import next_event_after, pair_by_rank, ranges
 from pressroute.operators.sets import stack
 
 
@@ -15,7 +15,7 @@ def run_durations(log: DataFrame, start_like: str, end_like: str, keys: list[str
     """The nth start message with the nth end message of each group, with the time between."""
     starts = log.where(F.col("message").like(start_like))
     ends = log.where(F.col("message").like(end_like))
-    runs = pair_by_rank(starts, ends, keys, "logged_at", "log_id", F.date_trunc("day", "logged_at"))
+    runs = pair_by_rank(starts, ends, keys, "logged_at", "log_id", ranges(log, "logged_at"))
     seconds = F.timestamp_diff("SECOND", F.date_trunc("second", "started"), F.date_trunc("second", "ended"))
     return runs.withColumn("seconds", seconds).withColumn(
         "duration", F.when(seconds >= 0, format_duration(seconds)))
@@ -26,7 +26,7 @@ def process_summary(log: DataFrame, processes: dict[str, tuple[str, str]], keys:
     parts = []
     for name, (start_like, end_like) in processes.items():
         runs = next_event_after(log.where(F.col("message").like(start_like)).select(*keys, "log_id", "logged_at"),
-                                log.where(F.col("message").like(end_like)), keys, "logged_at", "day", "stopped")
+                                log.where(F.col("message").like(end_like)), keys, "logged_at", "stopped")
         parts.append(runs.select(F.lit(name).alias("process"), *keys, "log_id", F.col("logged_at").alias("started"), "stopped",
                                  F.when(F.col("stopped").isNull(), "Incomplete").otherwise("Complete").alias("status")))
     return stack(parts)

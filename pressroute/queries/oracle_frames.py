@@ -49,7 +49,7 @@ FRAMES: dict[str, str] = {
         SELECT s_suppkey AS account_id, s_name AS acct_code, s_nationkey AS owner_id,
                CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS rollup_id,
                CAST(s_suppkey % 4 AS INTEGER) AS account_type_id,
-               lpad(CAST(s_nationkey * 397 AS VARCHAR), 5, '0') AS postal_code,
+               lpad(CAST(s_nationkey * 397 AS VARCHAR), CAST(greatest(5, length(CAST(s_nationkey * 397 AS VARCHAR))) AS INTEGER), '0') AS postal_code,
                CAST(s_acctbal >= 1000 AS INTEGER) AS active, CAST(s_suppkey % 3 = 0 AS INTEGER) AS imported
         FROM supplier""",
     "rollups": "SELECT n_nationkey AS rollup_id, n_name AS rollup_code, n_regionkey AS region_id FROM nation",
@@ -61,7 +61,7 @@ FRAMES: dict[str, str] = {
                p_size AS print_sort_order, CAST(substr(p_brand, 7) AS INTEGER) AS brand_no
         FROM part""",
     "account_pubs": """
-        SELECT DISTINCT account_id, publication_id, account_id * 100000000 + publication_id AS account_pub_id,
+        SELECT DISTINCT account_id, publication_id,
                CASE WHEN (account_id + publication_id) % 11 <> 0 THEN 1 ELSE 0 END AS active,
                publication_id % 25 AS ap_owner_id
         FROM draw_lines""",

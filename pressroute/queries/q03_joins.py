@@ -10,7 +10,7 @@ from pressroute.plans import audits, schedules
 from pressroute.queries.registry import query
 from pressroute.sources.frames import DAILY_KEY
 
-TEMPLATE = "'MT' || lpad(CAST(template_id AS VARCHAR), 3, '0')"
+TEMPLATE = "'MT' || lpad(CAST(template_id AS VARCHAR), CAST(greatest(3, length(CAST(template_id AS VARCHAR))) AS INTEGER), '0')"
 
 
 @query("join_inner", "draw_lines accounts publications", """
@@ -120,7 +120,7 @@ def join_comma_range(t):
     m = F.col("message")
     out = ordered.next_event_after(
         t.system_log.where(m.like("signup%")).select("group_id", "log_id", "logged_at"),
-        t.system_log.where(m.like("purchase%")), ["group_id"], "logged_at", "day", "completed")
+        t.system_log.where(m.like("purchase%")), ["group_id"], "logged_at", "completed")
     return out.select("log_id", F.col("logged_at").alias("started"), "completed")
 
 
@@ -175,18 +175,17 @@ def join_self_overlap(t):
 
 @query("join_bitmask_date", "daily assignments", """
     SELECT d.account_id, d.publication, CAST(d.draw_date AS VARCHAR) AS draw_date, s.template_id, s.brand_no
-    FROM daily d JOIN assignments s ON s.account_id = d.account_id AND s.frequency & (1 << (d.draw_weekday - 1)) > 0
-    WHERE s.sequence_id % 10 = 0""")
+    FROM daily d JOIN assignments s ON s.account_id = d.account_id AND s.frequency & (1 << (d.draw_weekday - 1)) > 0""")
 def join_bitmask_date(t):
-    first = t.assignments.where("sequence_id % 10 = 0").select("account_id", "brand_no", "template_id", "frequency")
-    return joins.join_on_schedule(t.daily, first, ["account_id"]).select(*DAILY_KEY, "template_id", "brand_no")
+    items = t.assignments.select("account_id", "brand_no", "template_id", "frequency")
+    return joins.join_on_schedule(t.daily, items, ["account_id"]).select(*DAILY_KEY, "template_id", "brand_no")
 
 
 @query("join_expression_key", "load accounts", """
     SELECT acct_code, count(*) AS n, CAST(sum(draw_amount) AS BIGINT) AS draw_amount FROM load JOIN accounts USING (account_id) GROUP BY acct_code""")
 def join_expression_key(t):
     """The file's code and the account's code meet in a padded form."""
-    file = t.load_raw.withColumn("key", F.concat(F.lit("Supplier#"), zero_pad(F.substring(F.trim("acct_code"), 2, 20), 9)))
+    file = t.load_raw.withColumn("key", F.concat(F.lit("Supplier#"), zero_pad(F.expr("ltrim('0', substring(trim(acct_code), 2))"), 9)))
     sums = file.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("draw_amount").cast("bigint")).alias("draw_amount"))
     return sums.join(t.accounts.select("acct_code"), F.col("key") == F.col("acct_code")).select("acct_code", "n", "draw_amount")
 
@@ -214,7 +213,7 @@ def join_truncated_time(t):
 def join_rank_zip(t):
     m = F.col("message")
     return ordered.pair_by_rank(t.system_log.where(m.like("signup%")), t.system_log.where(m.like("purchase%")),
-                                ["group_id"], "logged_at", "log_id", F.date_trunc("day", "logged_at"))
+                                ["group_id"], "logged_at", "log_id", ordered.ranges(t.system_log, "logged_at"))
 
 
 @query("lateral_apply", "accounts assignments", f"""

@@ -10,7 +10,7 @@ from pressroute.plans import imports, schedules
 from pressroute.queries.registry import query
 from pressroute.sources.frames import DAILY_KEY
 
-TEMPLATE = "'MT' || lpad(CAST(template_id AS VARCHAR), 3, '0')"
+TEMPLATE = "'MT' || lpad(CAST(template_id AS VARCHAR), CAST(greatest(3, length(CAST(template_id AS VARCHAR))) AS INTEGER), '0')"
 
 
 def week_sql(fn: str, column: str, prefix: str, day: str = "draw_weekday") -> str:
@@ -121,10 +121,23 @@ def running_concat(t):
     SELECT account_id, publication, CAST(draw_date AS VARCHAR) AS draw_date,
            max(CASE WHEN audit_id = 1 THEN CAST(audit_value AS INTEGER) END) AS "1",
            max(CASE WHEN audit_id = 2 THEN CAST(audit_value AS INTEGER) END) AS "2",
-           max(CASE WHEN audit_id = 3 THEN CAST(audit_value AS INTEGER) END) AS "3"
+           max(CASE WHEN audit_id = 3 THEN CAST(audit_value AS INTEGER) END) AS "3",
+           max(CASE WHEN audit_id = 4 THEN CAST(audit_value AS INTEGER) END) AS "4",
+           max(CASE WHEN audit_id = 5 THEN CAST(audit_value AS INTEGER) END) AS "5",
+           string_agg(CASE WHEN audit_id > 5 THEN audit_id || '=' || audit_value END, ', ' ORDER BY audit_id) AS rest
     FROM audits GROUP BY 1, 2, 3""")
 def pivot_static(t):
-    return agg.pivot(t.audits, DAILY_KEY, "audit_id", [1, 2, 3], [F.max(F.col("audit_value").cast("int"))])
+    """Five columns as the report prints them; what has no column is listed beside them."""
+    rows = t.audits.withColumn("amount", F.col("audit_value").cast("int"))
+    return agg.pivot_rest(rows, DAILY_KEY, "audit_id", [1, 2, 3, 4, 5], {"amount": ""})
+
+
+@query("pivot_long", "audits", """
+    SELECT account_id, publication, CAST(draw_date AS VARCHAR) AS draw_date, audit_id, CAST(sum(CAST(audit_value AS BIGINT)) AS BIGINT) AS amount
+    FROM audits GROUP BY 1, 2, 3, 4""")
+def pivot_long(t):
+    """The form without columns, for any number of values."""
+    return agg.pivot_long(t.audits, DAILY_KEY, "audit_id", [F.sum(F.col("audit_value").cast("bigint")).alias("amount")])
 
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -151,16 +164,16 @@ def pivot_case_weekday(t):
     return agg.flatten_week(rows, ["account_id", "publication_id"], "draw_weekday", {"draw_amount": "draw_", "rate": "rate_"})
 
 
-@query("pivot_multi_measure", "audits", """
+@query("pivot_multi_measure", "audits", f"""
     SELECT account_id, publication, CAST(draw_date AS VARCHAR) AS draw_date,
-           max(CASE WHEN audit_id = 1 THEN audit_user_id END) AS "1_user", max(CASE WHEN audit_id = 1 THEN audit_value END) AS "1_value",
-           CAST(max(CASE WHEN audit_id = 1 THEN audit_time END) AS VARCHAR) AS "1_time",
-           max(CASE WHEN audit_id = 2 THEN audit_user_id END) AS "2_user", max(CASE WHEN audit_id = 2 THEN audit_value END) AS "2_value",
-           CAST(max(CASE WHEN audit_id = 2 THEN audit_time END) AS VARCHAR) AS "2_time"
+           {", ".join(f"""max(CASE WHEN audit_id = {v} THEN audit_user_id END) AS "{v}_user", max(CASE WHEN audit_id = {v} THEN audit_value END) AS "{v}_value",
+           CAST(max(CASE WHEN audit_id = {v} THEN audit_time END) AS VARCHAR) AS "{v}_time" """ for v in range(1, 6))},
+           string_agg(CASE WHEN audit_id > 5 THEN audit_id || '=' || audit_user_id || '/' || audit_value || '/' || CAST(audit_time AS VARCHAR) END,
+                      ', ' ORDER BY audit_id) AS rest
     FROM audits GROUP BY 1, 2, 3""")
 def pivot_multi_measure(t):
-    return agg.pivot(t.audits, DAILY_KEY, "audit_id", [1, 2], [
-        F.max("audit_user_id").alias("user"), F.max("audit_value").alias("value"), F.max("audit_time").alias("time")])
+    return agg.pivot_rest(t.audits, DAILY_KEY, "audit_id", [1, 2, 3, 4, 5],
+                          {"audit_user_id": "_user", "audit_value": "_value", "audit_time": "_time"})
 
 
 @query("unpivot_weekday", "default_draws", """

@@ -13,16 +13,16 @@ from pressroute.sources.frames import DAILY_KEY
 @query("row_number_global", "", """
     SELECT p_partkey AS publication_id, row_number() OVER (ORDER BY p_size, p_partkey) AS position FROM part""")
 def row_number_global(t):
-    """One numbering of the whole table, made in ranges of the sort column."""
-    rows = t.publications
-    return ordered.numbered(rows, [], ["print_sort_order", "publication_id"],
-                            ordered.ranges(rows, "print_sort_order"), "position").select("publication_id", "position")
+    """One numbering of the whole table, made in ranges of the full sort key."""
+    rows = t.publications.select("print_sort_order", "publication_id")
+    return ordered.numbered_overall(rows, ["print_sort_order", "publication_id"], "position").select("publication_id", "position")
 
 
 @query("row_number_partition", "", """
     SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events""")
 def row_number_partition(t):
-    return ordered.numbered(t.table("events"), ["user_id"], ["ts", "event_id"], F.to_date("ts"), "position").select(
+    rows = t.table("events").select("user_id", "ts", "event_id")
+    return ordered.numbered(rows, ["user_id"], ["ts", "event_id"], ordered.ranges(rows, "ts"), "position").select(
         "event_id", "position")
 
 
@@ -31,7 +31,7 @@ def row_number_partition(t):
            100 + 10 * row_number() OVER (PARTITION BY sequence_id ORDER BY sequence, account_id, brand_no) AS new_sequence FROM assignments""")
 def resequence(t):
     return ordered.resequence(t.assignments, ["sequence_id"], ["sequence", "account_id", "brand_no"],
-                              F.floor(F.col("sequence") / 20), 100, 10).select("sequence_id", "account_id", "brand_no", "new_sequence")
+                              ordered.ranges(t.assignments, "sequence"), 100, 10).select("sequence_id", "account_id", "brand_no", "new_sequence")
 
 
 @query("id_from_max", "publications accounts", """
@@ -40,7 +40,7 @@ def resequence(t):
     FROM (SELECT DISTINCT pub_type, pub_short_name FROM publications)""")
 def id_from_max(t):
     new = t.publications.select(F.concat("pub_type", F.lit(" "), "pub_short_name").alias("category")).distinct()
-    return ordered.assign_ids(new, t.accounts.agg(F.max("account_id")), ["category"], F.substring("category", 1, 3), "category_id")
+    return ordered.assign_ids(new, t.accounts.agg(F.max("account_id")), ["category"], "category_id")
 
 
 @query("per_group_next_id", "audits daily", """
@@ -100,14 +100,15 @@ def last_nonzero(t):
 def version_delta(t):
     """Difference to the entry before, across days, for accounts with any number of entries."""
     rows = t.audit_events.withColumn("amount", F.col("audit_value").cast("int"))
-    out = ordered.previous(rows, ["account_id", "publication"], ["audit_time", "event_id"], "amount", F.to_date("audit_time"))
+    out = ordered.previous(rows, ["account_id", "publication"], ["audit_time", "event_id"], "amount", ordered.ranges(rows, "audit_time"))
     return out.select("event_id", (F.col("amount") - F.col("prev")).alias("delta"))
 
 
 @query("gap_between_rows", "", """
     SELECT event_id, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS seconds FROM events""")
 def gap_between_rows(t):
-    out = ordered.previous(t.table("events"), ["user_id"], ["ts", "event_id"], "ts", F.to_date("ts"), "before")
+    rows = t.table("events").select("user_id", "ts", "event_id")
+    out = ordered.previous(rows, ["user_id"], ["ts", "event_id"], "ts", ordered.ranges(rows, "ts"), "before")
     return out.select("event_id", F.timestamp_diff(
         "SECOND", F.date_trunc("second", "before"), F.date_trunc("second", "ts")).alias("seconds"))
 
@@ -123,5 +124,5 @@ def group_spread_fix(t):
 @query("identity_rank", "system_log", """
     SELECT log_id, row_number() OVER (ORDER BY logged_at, log_id) AS run FROM system_log WHERE message LIKE 'signup%'""")
 def identity_rank(t):
-    return ordered.numbered(t.system_log.where(F.col("message").like("signup%")), [], ["logged_at", "log_id"],
-                            F.to_date("logged_at"), "run").select("log_id", "run")
+    rows = t.system_log.where(F.col("message").like("signup%")).select("logged_at", "log_id")
+    return ordered.numbered_overall(rows, ["logged_at", "log_id"], "run").select("log_id", "run")

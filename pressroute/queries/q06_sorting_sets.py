@@ -31,10 +31,14 @@ def top_n(t):
     return sorting.top_n(sums, [F.desc("draw_amount"), "account_id", "publication_id"], 25)
 
 
-@query("top_unordered", "draw_lines")
+@query("top_unordered", "draw_lines", """
+    SELECT CAST(least(count(*), 1) AS BIGINT) AS picked, CAST(least(count(*), 1) AS BIGINT) AS qualifying FROM draw_lines WHERE ret_amount > 0""")
 def top_unordered(t):
-    """Any one row that qualifies: the choice is open, so only the row count can be checked."""
-    return t.draw_lines.where("ret_amount > 0").select("account_id", "publication_id", "ret_amount").limit(1)
+    """Any one row that qualifies: the choice is open, so the report counts the picked row and finds it among those on file."""
+    keys = ["order_key", "line_no"]
+    one = t.draw_lines.where("ret_amount > 0").select(*keys).limit(1)
+    found = one.join(t.draw_lines.where("ret_amount > 0").select(*keys, F.lit(1).alias("there")).distinct(), keys, "left")
+    return found.agg(F.count(F.lit(1)).alias("picked"), F.count("there").alias("qualifying"))
 
 
 @query("min_or_max_row", "manifests", """

@@ -46,7 +46,7 @@ def str_len(t):
 
 
 @query("str_trim", "draws", """
-    SELECT 'A' || lpad(CAST(account_id AS VARCHAR), 6, '0') AS code, count(*) AS n FROM (
+    SELECT 'A' || lpad(CAST(account_id AS VARCHAR), CAST(greatest(6, length(CAST(account_id AS VARCHAR))) AS INTEGER), '0') AS code, count(*) AS n FROM (
         SELECT account_id, publication_id, draw_date FROM draw_lines WHERE line_no % 4 <> 0 GROUP BY 1, 2, 3) GROUP BY 1""")
 def str_trim(t):
     return t.load_raw.groupBy(F.trim("acct_code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -68,7 +68,7 @@ def str_stuff(t):
 
 
 @query("str_replicate", "accounts", """
-    SELECT account_id, repeat('*', account_type_id + 1) AS stars, lpad(CAST(account_id AS VARCHAR), 8, '0') AS code FROM accounts""")
+    SELECT account_id, repeat('*', account_type_id + 1) AS stars, lpad(CAST(account_id AS VARCHAR), CAST(greatest(8, length(CAST(account_id AS VARCHAR))) AS INTEGER), '0') AS code FROM accounts""")
 def str_replicate(t):
     return t.accounts.select("account_id", F.repeat(F.lit("*"), F.col("account_type_id") + 1).alias("stars"),
                              x.zero_pad("account_id", 8).alias("code"))

@@ -8,13 +8,14 @@ from pressroute.functions import bits, dates as d, text as x, values as v
 from pressroute.operators import changes
 from pressroute.operators.aggregates import csv_agg
 from pressroute.plans import sales, schedules
+from pressroute.plans.fixtures import random_returns
 from pressroute.queries.registry import query
 from pressroute.queries.q02_filters import NET
 from pressroute.queries.q08_dates import DAY_LIST
 from pressroute.sources import tables
 from pressroute.session import shared_folder
 
-TEMPLATE = "'MT' || lpad(CAST(template_id AS VARCHAR), 3, '0')"
+TEMPLATE = "'MT' || lpad(CAST(template_id AS VARCHAR), CAST(greatest(3, length(CAST(template_id AS VARCHAR))) AS INTEGER), '0')"
 
 
 @query("arith", "draw_lines", """
@@ -33,11 +34,13 @@ def math_power_floor(t):
                                 F.floor(F.col("sequence") / 7).alias("row_no"))
 
 
-@query("math_rand", "draw_lines")
+@query("math_rand", "draw_lines", """
+    SELECT account_id, publication_id, CAST(draw_date AS VARCHAR) AS draw_date, line_no, order_key,
+           CAST('0x' || substr(md5('42|' || order_key || '|' || line_no), 1, 8) AS BIGINT) % (draw_amount + 1) AS returned FROM draw_lines""")
 def math_rand(t):
-    """Seeded random share of each draw line. Drawn at the scan, where a repeated task sees the same rows in the same
-    order; the values depend on the file splits, so only the rows can be checked."""
-    return t.draw_lines.select("account_id", "publication_id", "draw_date", F.floor(F.rand(42) * F.col("draw_amount")).alias("returned"))
+    """Seeded random share of each draw line, from a hash of seed and key: the same on any partitioning."""
+    rows = random_returns(t.draw_lines, ["order_key", "line_no"], "draw_amount", 42, "returned")
+    return rows.select("account_id", "publication_id", "draw_date", "line_no", "order_key", "returned")
 
 
 @query("bit_ops", "assignments", """

@@ -13,18 +13,20 @@ DURATION = """CASE WHEN s >= 0 THEN (s // 3600) || 'h ' || lpad(CAST(s % 3600 //
         || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' END"""
 
 
-def _audit_columns():
-    return ", ".join(f"""max(CASE WHEN audit_id = {v} THEN audit_user_id END) AS user{v},
-        max(CASE WHEN audit_id = {v} THEN CAST(audit_value AS INTEGER) END) AS value{v},
-        CAST(max(CASE WHEN audit_id = {v} THEN audit_time END) AS VARCHAR) AS time{v}""" for v in range(1, 5))
-
-
 @query("returns_audit_wide", "audits daily", f"""
-    WITH w AS (SELECT account_id, publication, draw_date, count(*) AS entries, {_audit_columns()} FROM audits GROUP BY 1, 2, 3)
+    WITH e AS (SELECT *, CAST(audit_value AS INTEGER) AS v, CAST(audit_value AS INTEGER) - coalesce(lag(CAST(audit_value AS INTEGER)) OVER (
+                   PARTITION BY account_id, publication, draw_date ORDER BY audit_id), 0) AS d FROM audits),
+    w AS (SELECT account_id, publication, draw_date, count(*) AS entries, string_agg(audit_user_id, ', ' ORDER BY audit_id) AS users,
+                 string_agg(v, ', ' ORDER BY audit_id) AS amounts, string_agg(d, ', ' ORDER BY audit_id) AS differences,
+                 string_agg(CAST(audit_time AS VARCHAR), ', ' ORDER BY audit_id) AS times FROM e GROUP BY 1, 2, 3 HAVING count(*) > 1)
     SELECT w.* REPLACE (CAST(draw_date AS VARCHAR) AS draw_date), draw_amount, {NET} AS net
     FROM w JOIN daily USING (account_id, publication, draw_date)""")
 def returns_audit_wide(t):
-    return audits.returns_audit(t.audits, sales.with_net(t.daily), DAILY_KEY)
+    """The entries of a draw side by side, as lists of any length."""
+    report = audits.returns_audit(t.audits, sales.with_net(t.daily), DAILY_KEY)
+    cells = [F.array_join(F.col("entry")[one].cast("array<string>"), ", ").alias(many)
+             for one, many in (("user", "users"), ("value", "amounts"), ("difference", "differences"), ("time", "times"))]
+    return report.select(*DAILY_KEY, F.col("entries").cast("bigint").alias("entries"), *cells, "draw_amount", "net")
 
 
 @query("returns_by_owner", "audits accounts", """

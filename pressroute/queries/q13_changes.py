@@ -223,9 +223,9 @@ def category_sync(t):
 def category_insert(t):
     """A category for each publication name without one, numbered on."""
     own = t.publications.where("pub_type <> 'PROMO'").select(F.col("pub_type").alias("category")).distinct()
-    ids = accts.new_categories(own.where("false").withColumn("category_id", F.lit(0)), own, F.substring("category", 1, 1))
+    ids = accts.new_categories(own.where("false").withColumn("category_id", F.lit(0)), own)
     names = t.publications.select(F.explode(F.array("pub_short_name", "pub_type")).alias("category"))
-    return accts.new_categories(ids, names, F.substring("category", 1, 1))
+    return accts.new_categories(ids, names)
 
 
 @query("random_fixture", "draws", """

@@ -21,13 +21,12 @@ def _streams(t) -> StreamFrames:
 
 
 @query("tumbling_counts", "", """
-    WITH mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS closed FROM events)
-    SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS VARCHAR) AS slot, event_type, count(*) AS entries FROM events, mark
-    GROUP BY time_bucket(INTERVAL 15 MINUTE, ts), event_type, closed HAVING time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE <= closed""")
+    SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS VARCHAR) AS slot, event_type, count(*) AS entries FROM events
+    GROUP BY time_bucket(INTERVAL 15 MINUTE, ts), event_type""")
 def tumbling_counts(t):
-    """Entries per quarter hour and kind, for the slots the watermark has closed."""
+    """Entries per quarter hour and kind: the slots that the watermark has closed, and those still open at the end."""
     counts = jobs.stream_counts(_streams(t).table("events"), "ts", "15 minutes", "10 minutes", ["event_type"])
-    return jobs.run_once(counts, t.spark, "tumbling")
+    return jobs.with_open_slots(jobs.run_once(counts, t.spark, "tumbling"), t.table("events"), "ts", "15 minutes", ["event_type"])
 
 
 @query("stream_dedupe", "", """
@@ -58,14 +57,16 @@ def late_rows(t):
 @query("run_sessions", "", """
     SELECT event_id AS run, CAST(ts AS VARCHAR) AS started,
            CASE WHEN event_id % 7 <> 0 THEN CAST(ts + to_seconds(CAST(floor(value) AS BIGINT)) AS VARCHAR) END AS ended
-    FROM events WHERE ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+    FROM events""")
 def run_sessions(t):
-    """Runs started a day or more before the last message; younger ones may still wait for their end."""
+    """All runs: with their end, without one since it was lost, and those that still wait for it."""
     events = _streams(t).table("events")
     ended = F.col("ts") + F.make_dt_interval(secs=F.floor("value").cast("decimal(18,6)"))
-    starts = events.select(F.col("event_id").alias("run"), F.col("ts").alias("started"))
+
+    def starts(rows):
+        return rows.select(F.col("event_id").alias("run"), F.col("ts").cast("timestamp").alias("started"))
+
     ends = events.where("event_id % 7 <> 0").select(F.col("event_id").alias("run"), ended.alias("ended"))
-    runs = jobs.run_once(jobs.stream_runs(starts, ends, "run", "10 minutes", "1 hour"), t.spark, "runs")
-    last = t.table("events").agg((F.max("ts") - F.expr("interval 1 day")).cast("timestamp")).scalar()
-    return runs.where(F.col("started") < last).select(
+    runs = jobs.run_once(jobs.stream_runs(starts(events), ends, "run", "10 minutes", "1 hour"), t.spark, "runs")
+    return jobs.with_open_runs(runs, starts(t.table("events")), "run").select(
         "run", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))

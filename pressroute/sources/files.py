@@ -21,7 +21,13 @@ def read_fixed(spark: SparkSession, path: str, layout: list[tuple[str, int, int]
 
 
 def write_fixed(df: DataFrame, path: str, layout: list[tuple[str, int, int]]) -> None:
-    cells = [F.rpad(F.coalesce(F.col(name).cast("string"), F.lit("")), length, " ") for name, _, length in layout]
+    """Values padded to their field. One that is wider than its field fails the job and names the column."""
+    def cell(name: str, length: int):
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        wide = F.raise_error(F.concat(F.lit(f"{name}: a value is wider than its {length} characters: "), text)).cast("string")
+        return F.when(F.length(text) > length, wide).otherwise(F.rpad(text, length, " "))
+
+    cells = [cell(name, length) for name, _, length in layout]
     df.select(F.concat(*cells).alias("value")).write.text(path)
 
 

@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressroute.functions.text import zero_pad
 from pressroute.functions.values import case_map
 from pressroute.sources.tables import inline_rows
 
@@ -102,9 +103,8 @@ class Frames:
     @cached_property
     def audits(self) -> DataFrame:
         """Audit entries of a daily draw, numbered 1, 2, 3 .. by time."""
-        from pressroute.operators.ordered import numbered
-        return numbered(self.audit_events, DAILY_KEY, ["audit_time", "event_id"],
-                        F.date_trunc("hour", "audit_time"), "audit_id")
+        from pressroute.operators.ordered import numbered, ranges
+        return numbered(self.audit_events, DAILY_KEY, ["audit_time", "event_id"], ranges(self.audit_events, "audit_time"), "audit_id")
 
     @cached_property
     def history(self) -> DataFrame:
@@ -124,7 +124,7 @@ class Frames:
             F.col("s_nationkey").alias("owner_id"),
             F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("rollup_id"),
             (F.col("s_suppkey") % 4).cast("int").alias("account_type_id"),
-            F.lpad((F.col("s_nationkey") * 397).cast("string"), 5, "0").alias("postal_code"),
+            zero_pad(F.col("s_nationkey") * 397, 5).alias("postal_code"),
             (F.col("s_acctbal") >= 1000).cast("int").alias("active"),
             (F.col("s_suppkey") % 3 == 0).cast("int").alias("imported"))
 
@@ -149,14 +149,14 @@ class Frames:
             F.col("p_partkey").alias("publication_id"), F.col("p_brand").alias("pub_short_name"),
             F.col("p_name").alias("pub_name"), F.col("p_type").alias("pub_type"),
             F.col("p_size").alias("print_sort_order"),
-            F.substring("p_brand", 7, 4).cast("int").alias("brand_no"))
+            F.expr("substring(p_brand, 7)").cast("int").alias("brand_no"))
 
     @cached_property
     def account_pubs(self) -> DataFrame:
-        """Account-publication pairs. The id is computed from both parts, so no ranking is needed."""
+        """Account-publication pairs, known by both ids."""
         a, p = F.col("account_id"), F.col("publication_id")
         return self.draw_lines.select("account_id", "publication_id").distinct().select(
-            "account_id", "publication_id", (a * 100000000 + p).alias("account_pub_id"),
+            "account_id", "publication_id",
             F.when((a + p) % 11 != 0, 1).otherwise(0).alias("active"), (p % 25).alias("ap_owner_id"))
 
     @cached_property
@@ -242,7 +242,7 @@ class Frames:
         return self.draw_lines.where("line_no % 4 <> 0").groupBy(*DRAW_KEY).agg(
             F.sum(F.col("draw_amount") + F.when(F.col("order_key") % 2 == 0, 1).otherwise(0)).alias("amount"),
             F.max("draw_rate").alias("rate")).select(
-            F.concat(F.lit("  A"), F.lpad(F.col("account_id").cast("string"), 6, "0"), F.lit(" ")).alias("acct_code"),
+            F.concat(F.lit("  A"), zero_pad("account_id", 6), F.lit(" ")).alias("acct_code"),
             F.concat(F.lit("P"), "publication_id").alias("pub_code"),
             F.date_format("draw_date", "MM/dd/yyyy").alias("draw_date"),
             F.col("amount").cast("string").alias("draw_amount"),

@@ -14,12 +14,15 @@ from pressroute.session import shared_folder
 
 
 def read_stream(spark: SparkSession, base: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of one table as a stream; the schema is that of the files present."""
-    schema = spark.read.option("pathGlobFilter", f"{table}*.parquet").parquet(base).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    """One table as a stream, be it a file or a folder of part files; the schema is that of what is present."""
+    path = f"{base.rstrip('/')}/{table}.parquet"
+    now = spark.read.parquet(path)
+    reader = spark.readStream.schema(now.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(base)
+    if any(f.rsplit("/", 1)[-1] == f"{table}.parquet" for f in now.inputFiles()):  # one file: a stream needs its folder
+        return reader.option("pathGlobFilter", f"{table}.parquet").parquet(base)
+    return reader.parquet(path)
 
 
 def event_time(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -68,11 +71,26 @@ def capture(sdf: DataFrame, path: str, checkpoint: str):
     return sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def run_once(sdf: DataFrame, spark: SparkSession, purpose: str, timeout: int = 3600) -> DataFrame:
-    """Drive a job over all files present and read back what it wrote."""
+def with_open_slots(closed: DataFrame, rows: DataFrame, ts: str, width: str, keys: list[str]) -> DataFrame:
+    """The slots that a stream has closed and, from the table, those after its last one, which stay open."""
+    slots = rows.select(F.window(F.col(ts).cast("timestamp"), width)["start"].cast("timestamp_ntz").alias("slot"), *keys)
+    later = slots.where(F.coalesce(F.col("slot") > closed.agg(F.max("slot")).scalar(), F.lit(True)))
+    return closed.unionByName(later.groupBy("slot", *keys).agg(F.count(F.lit(1)).alias("entries")))
+
+
+def with_open_runs(runs: DataFrame, starts: DataFrame, run: str) -> DataFrame:
+    """The runs that a stream has let go and, from the table, those that still wait for their end."""
+    waiting = starts.join(runs.select(run), run, "left_anti")
+    return runs.unionByName(waiting.withColumn("ended", F.lit(None).cast(runs.schema["ended"].dataType)).select(runs.columns))
+
+
+def run_once(sdf: DataFrame, spark: SparkSession, purpose: str, timeout: int | None = None) -> DataFrame:
+    """Drive a job over all files present and read back what it wrote. Waits without end unless ``timeout`` (seconds) is given."""
     path, checkpoint = shared_folder(spark, purpose), shared_folder(spark, f"{purpose}-state")
     job = sdf.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    if not job.awaitTermination(timeout):
+    if timeout is None:
+        job.awaitTermination()
+    elif not job.awaitTermination(timeout):
         job.stop()
         raise TimeoutError(f"{purpose} did not finish in {timeout} s")
     return spark.read.schema(sdf.schema).parquet(path)

@@ -6,9 +6,11 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from pressroute.operators import changes
-from pressroute.plans import accounts, imports
+from pressroute.operators import aggregates as agg, changes
+from pressroute.plans import accounts, audits, imports
 from pressroute.plans.fixtures import random_returns
+from pressroute.session import shared_folder
+from pressroute.sources import files
 
 KEYS = ["account_id", "publication_id", "draw_date"]
 D = dt.date(2024, 1, 8)
@@ -124,3 +126,30 @@ def test_staged_import_gives_the_same(spark, base, load):
     written = imports.import_draws(base, file, defaults, KEYS, F.lit("t"), 1, shared_folder(spark, "import"))
     for part in ("table", "history", "missing"):
         assert rows_of(plain[part]) == rows_of(written[part])
+
+
+def test_all_entries_of_a_draw_are_reported(spark):
+    rows = [("a", v, v % 3, str(10 * v)) for v in range(1, 7)] + [("b", 1, 1, "5"), ("c", 1, 2, "9"), ("c", 2, 2, "4")]
+    log = spark.createDataFrame(rows, "k string, audit_id int, audit_user_id int, audit_value string").withColumn(
+        "audit_time", F.lit("2024-01-01").cast("timestamp_ntz"))
+    draws = spark.createDataFrame([("a", 60, -1), ("b", 5, 5), ("c", 4, 4)], "k string, draw_amount int, net int")
+    got = {r.k: r for r in audits.returns_audit(log, draws, ["k"]).collect()}
+    assert set(got) == {"a", "c"} and got["a"].entries == 6
+    assert [(e.user, e.value, e.difference) for e in got["a"].entry] == [(v % 3, 10 * v, 10) for v in range(1, 7)]
+    assert [e.difference for e in got["c"].entry] == [9, -5]
+    assert [r.k for r in audits.returns_audit(log, draws, ["k"], negative_net_only=True).collect()] == ["a"]
+    wide = audits.entry_columns(audits.returns_audit(log, draws, ["k"]))
+    assert "value6" in wide.columns and "value7" not in wide.columns
+    assert {r.k: (r.value1, r.value6) for r in wide.collect()} == {"a": (10, 60), "c": (9, None)}
+    flat = {r.k: r for r in agg.pivot_rest(log, ["k"], "audit_id", [1, 2], {"audit_value": "v", "audit_user_id": "u"}).collect()}
+    assert flat["a"]["2v"] == "20" and flat["a"].rest == "3=30/0, 4=40/1, 5=50/2, 6=60/0" and flat["b"].rest is None
+
+
+def test_a_value_wider_than_its_field_fails(spark):
+    layout = [("code", 1, 4), ("amount", 5, 10)]
+    fits = spark.createDataFrame([("ab", 1234567890), (None, 1)], "code string, amount long")
+    path = shared_folder(spark, "fixed")
+    files.write_fixed(fits, path, layout)
+    assert sorted(map(tuple, files.read_fixed(spark, path, layout).collect()), key=repr) == [("ab", "1234567890"), (None, "1")]
+    with pytest.raises(Exception, match="amount: a value is wider"):
+        files.write_fixed(spark.createDataFrame([("ab", 123456789012)], "code string, amount long"), shared_folder(spark, "fixed"), layout)

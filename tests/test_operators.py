@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pressroute.functions.text import zero_pad
 from pressroute.operators import aggregates as agg, joins, ordered, sets, sorting
 from pressroute.plans import audits, logs, sales, schedules
 
@@ -59,7 +60,7 @@ def test_previous_equals_lag(skewed):
 
 def test_next_event_is_strictly_later(skewed):
     data, df = skewed
-    out = ordered.next_event_after(df.where("kind = 's'").select("k", "id", "ts"), df.where("kind = 'e'"), ["k"], "ts", "day")
+    out = ordered.next_event_after(df.where("kind = 's'").select("k", "id", "ts"), df.where("kind = 'e'"), ["k"], "ts")
     got = {r.id: r.next_ts for r in out.collect()}
     ends = {}
     for r in data:
@@ -92,8 +93,10 @@ def test_weekly_history_stops_at_a_missing_week(spark):
 
 
 def test_version_diff_needs_the_version_before(spark):
-    df = spark.createDataFrame([("d", 1, 5), ("d", 2, 9), ("d", 4, 1), ("e", 1, 3)], "k string, ver int, val int")
-    assert rows_of(ordered.version_diff(df, ["k"], "ver", "val").select("k", "ver", "diff")) == [("d", 1, 5), ("d", 2, 4), ("e", 1, 3)]
+    rows = [("d", 1, 5), ("d", 2, 9), ("d", 4, 1), ("d", 5, 8), ("e", 1, 3), ("f", 2, 7), ("f", 3, 8), ("g", 1, None), ("g", 2, 6)]
+    df = spark.createDataFrame(rows, "k string, ver int, val int")
+    got = rows_of(ordered.version_diff(df, ["k"], "ver", "val").select("k", "ver", "diff"))
+    assert got == [("d", 1, 5), ("d", 2, 4), ("e", 1, 3), ("g", 1, None), ("g", 2, None)]
 
 
 def test_first_last_only_for_two_versions(spark):
@@ -109,11 +112,11 @@ def test_not_in_with_nulls(spark):
     assert len(rows_of(joins.null_aware_anti(left, empty, "a", "b"))) == 3
 
 
-@pytest.mark.parametrize("limit", [100, 2])
-def test_pair_all_beyond_the_limit_gives_the_same(spark, limit):
+@pytest.mark.parametrize("fragments", [1, 3, None])
+def test_pair_all_gives_every_pair(spark, fragments):
     left = spark.createDataFrame([(i,) for i in range(20)], "a int")
     right = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "b int, name string")
-    got = rows_of(joins.pair_all(left, right, limit=limit, fragments=3))
+    got = rows_of(joins.pair_all(left, right, fragments))
     assert got == sorted([(a, b, f"n{b}") for a in range(20) for b in range(5)], key=repr)
 
 
@@ -184,3 +187,31 @@ def test_transfer_states(spark):
 def test_decremented(spark):
     df = spark.createDataFrame([("a", 1, "5"), ("a", 2, "3"), ("b", 1, "1"), ("b", 2, "4")], "k string, audit_id int, audit_value string")
     assert rows_of(audits.decremented(df, ["k"])) == [("a", 5, 3)]
+
+
+def test_weekday_dates_ignore_nulls(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, None)], "k int, draw_weekday int")
+    days = [(dt.date(2024, 1, 1) + dt.timedelta(i),) for i in range(3_000)] + [(None,)]
+    got = joins.with_weekday_dates(df, spark.createDataFrame(days + days[:5], "draw_date date"))
+    assert got.columns == ["k", "draw_weekday", "draw_date"]
+    assert got.groupBy("k").count().orderBy("k").collect() == [(1, 429), (2, 429)]
+
+
+def test_ids_wider_than_the_padding_stay_whole(spark):
+    df = spark.createDataFrame([(1234567,), (7,), (None,)], "a long")
+    assert [r[0] for r in df.select(zero_pad("a", 6)).collect()] == ["1234567", "000007", None]
+
+
+def test_overall_numbers_split_equal_first_values(spark):
+    df = spark.range(5000).select(F.lit(1).alias("a"), F.col("id").alias("b"))
+    got = ordered.numbered_overall(df, ["a", "b"], "rn", rows_per_range=500)
+    assert got.where("rn != b + 1").count() == 0 and got.count() == 5000
+    assert ordered.numbered_overall(df.where("false"), ["a", "b"]).count() == 0
+
+
+def test_a_busy_day_is_spread_over_many_ranges(spark):
+    quiet = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 86_400).alias("ts"))
+    busy = spark.range(1000).select(F.timestamp_seconds(F.lit(500 * 86_400) + F.col("id") * 60).alias("ts"))
+    rows = quiet.unionByName(busy)
+    ranges = ordered.ranges(rows, "ts")
+    assert busy.select(ranges.alias("r")).distinct().count() > 20

@@ -35,6 +35,25 @@ def test_counts_equal_batch_for_closed_slots(spark, files):
     assert {(r.slot, r.user): r.entries for r in out.collect()} == want
 
 
+def test_open_slots_complete_the_counts(spark, files):
+    batch = spark.read.parquet(f"{files}/tmp*")
+    closed = jobs.run_once(jobs.stream_counts(stream(spark, files), "ts", "15 minutes", "10 minutes", ["user"]), spark, "counts")
+    got = jobs.with_open_slots(closed, batch, "ts", "15 minutes", ["user"])
+    want = batch.groupBy(F.window("ts", "15 minutes").start.alias("slot"), "user").agg(F.count(F.lit(1)).alias("entries"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, jobs.with_open_slots(closed.where("false"), batch, "ts", "15 minutes", ["user"]).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_table_folder_is_streamed_by_its_exact_name(spark):
+    base = shared_folder(spark, "tables")
+    spark.range(40).repartition(4).write.parquet(f"{base}/events.parquet")
+    spark.range(7).write.parquet(f"{base}/events_old.parquet")
+    spark.range(9).coalesce(1).write.parquet(f"{base}/single")
+    assert jobs.run_once(jobs.read_stream(spark, base, "events", 1), spark, "folder").count() == 40
+    file = [f for f in spark.read.parquet(f"{base}/single").inputFiles()][0].rsplit("/", 1)
+    assert jobs.run_once(jobs.read_stream(spark, file[0], file[1].removesuffix(".parquet")), spark, "file").count() == 9
+
+
 def test_dedupe_lets_one_through_per_horizon(spark, files):
     out = jobs.run_once(jobs.stream_dedupe(stream(spark, files), "ts", ["user", "message"], "2 days"), spark, "dedupe")
     assert sorted(r.user for r in out.collect()) == ["u0", "u1", "u2"]
