@@ -229,7 +229,8 @@ class _Words(dict):
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         if len(self) > CACHED_WORDS:
-            self.__init__(self.owners, self.common)
+            self.clear()
+            self.hash, self.estimate, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
         fresh = [w for w in set(words) if w not in self]
         if fresh:
             hashes = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))

@@ -87,3 +87,13 @@ def test_odd_rows(spark):
     assert lm.score_documents(docs.where("false"), training).count() == 0
     untrained = lm.score_documents(docs, docs.where("false")).collect()
     assert all(r.base_score == 0 and r.n_known == 0 for r in untrained)
+
+
+def test_a_full_word_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(lm, "CACHED_WORDS", 5)
+    words = lm._Words(lm.Filter(1, {}), {b"a3": 9})
+    for k in range(4):
+        own = [b"a%d" % i for i in range(k, k + 8)]
+        rows = words.rows(own)
+        assert words.hash[rows].tolist() == [lm.word_hash(w) for w in own]
+        assert words.exact[rows].tolist() == [9 if w == b"a3" else -1 for w in own]
