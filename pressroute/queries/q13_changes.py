@@ -56,6 +56,85 @@ def upsert_import_history(t):
     return imports.import_draws(t.load_base, t.load, t.default_draws, DRAW_KEY, _at(), 1)["history"]
 
 
+DEFAULTS_SQL = """newest AS (SELECT account_id, publication_id, draw_weekday, arg_max(draw_amount, draw_date) AS new_amount, arg_max(draw_rate, draw_date) AS new_rate
+        FROM load GROUP BY 1, 2, 3),
+    template AS (SELECT * FROM default_draws WHERE allow_forecasting = 1)"""
+
+
+@query("import_defaults", "load default_draws", f"""
+    WITH {DEFAULTS_SQL}
+    SELECT account_id, publication_id, draw_weekday, CAST(coalesce(new_amount, draw_amount) AS BIGINT) AS draw_amount,
+           CAST(coalesce(new_rate, draw_rate) AS DOUBLE) AS draw_rate
+    FROM template FULL JOIN newest USING (account_id, publication_id, draw_weekday)""")
+def import_defaults(t):
+    """The weekday template after the load; rows that may not be forecast stand for pairs the template lacks."""
+    return _import_defaults(t)["table"]
+
+
+def _import_defaults(t):
+    template = t.default_draws.where("allow_forecasting = 1").withColumn("draw_amount", F.col("draw_amount").cast("bigint"))
+    existing = template.where("draw_amount % 4 = 0").select(
+        "account_id", "publication_id", "draw_weekday", F.expr("draw_amount div 4").alias("version"))
+    return imports.import_defaults(template, t.load, existing, _at())
+
+
+@query("import_defaults_history", "load default_draws", f"""
+    WITH {DEFAULTS_SQL}
+    SELECT account_id, publication_id, draw_weekday, CASE WHEN draw_amount IS NULL THEN 'insert' ELSE 'update' END AS action,
+           '{AT}' AS changed_at, 1 AS change_type_id, CAST(coalesce(draw_amount, 0) AS BIGINT) AS old_draw_amount, new_amount AS new_draw_amount,
+           CAST(coalesce(draw_rate, 0) AS DOUBLE) AS old_draw_rate, CAST(new_rate AS DOUBLE) AS new_draw_rate,
+           CAST(1 + CASE WHEN draw_amount % 4 = 0 THEN draw_amount // 4 ELSE 0 END AS BIGINT) AS version
+    FROM newest LEFT JOIN template USING (account_id, publication_id, draw_weekday)
+    WHERE draw_amount IS NULL OR draw_amount <> new_amount OR draw_rate <> new_rate""")
+def import_defaults_history(t):
+    return _import_defaults(t)["history"]
+
+
+@query("import_duplicates", "draw_lines", """
+    SELECT account_id, publication_id, CAST(draw_date AS VARCHAR) AS draw_date, count(*) - 1 AS removed FROM draw_lines
+    GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def import_duplicates(t):
+    """Keys that a file holds more than once, with the number of rows that are not loaded."""
+    rows = t.draw_lines.select(*DRAW_KEY, "draw_amount", "draw_rate", "order_key", "line_no")
+    return imports.split_repeated(rows, DRAW_KEY)[1]
+
+
+@query("import_filled", "daily", """
+    WITH base AS (SELECT account_id, publication, draw_date, draw_weekday, draw_amount FROM daily WHERE account_id % 3 <> 0),
+    file AS (SELECT account_id, publication, draw_date, draw_amount + 1 AS draw_amount FROM daily WHERE account_id % 3 <> 1 AND draw_weekday IN (1, 2)),
+    defaults AS (SELECT account_id, publication, draw_weekday, max(draw_amount) AS draw_amount FROM daily GROUP BY 1, 2, 3),
+    loaded AS (SELECT account_id, publication, draw_date, coalesce(f.draw_amount, b.draw_amount) AS draw_amount
+               FROM base b FULL JOIN file f USING (account_id, publication, draw_date)),
+    due AS (SELECT account_id, publication, draw_date, d.draw_amount FROM defaults d
+            JOIN (SELECT DISTINCT draw_date, CAST(extract(dow FROM draw_date) + 1 AS INTEGER) AS draw_weekday FROM file) USING (draw_weekday))
+    SELECT account_id, publication, CAST(draw_date AS VARCHAR) AS draw_date, CAST(draw_amount AS BIGINT) AS draw_amount FROM loaded
+    UNION ALL SELECT account_id, publication, CAST(draw_date AS VARCHAR), CAST(draw_amount AS BIGINT) FROM due
+    WHERE NOT EXISTS (SELECT 1 FROM loaded l WHERE l.account_id = due.account_id AND l.publication = due.publication AND l.draw_date = due.draw_date)""")
+def import_filled(t):
+    """A load of two weekdays into a table, with the pairs that are due on its dates and absent filled in."""
+    daily = t.daily.withColumnRenamed("publication", "publication_id").withColumn("draw_rate", F.lit(0).cast("decimal(8,5)"))
+    file = daily.where("account_id % 3 <> 1 and draw_weekday in (1, 2)").withColumn("draw_amount", F.col("draw_amount") + 1).withColumn(
+        "delivery_date", F.col("draw_date"))
+    defaults = daily.groupBy("account_id", "publication_id", "draw_weekday").agg(
+        F.max("draw_amount").alias("draw_amount"), F.max("draw_rate").alias("draw_rate"))
+    out = imports.import_draws(daily.where("account_id % 3 <> 0"), file, defaults, DRAW_KEY, _at(), 1, fill=True)["table"]
+    return out.select("account_id", F.col("publication_id").alias("publication"), "draw_date", "draw_amount")
+
+
+@query("load_rejects", "load", """
+    SELECT DISTINCT 'A' || lpad(CAST(account_id AS VARCHAR), CAST(greatest(6, length(CAST(account_id AS VARCHAR))) AS INTEGER), '0') AS code,
+           CASE account_id % 3 WHEN 0 THEN 'draw_date' WHEN 1 THEN 'draw_amount' ELSE 'acct_code' END AS faults
+    FROM load WHERE account_id % 10 = 0""")
+def load_rejects(t):
+    """Rows that cannot be read, here made from good ones, with the column at fault."""
+    number = F.substr(F.trim("acct_code"), F.lit(2)).cast("bigint")
+    raw = t.load_raw.where(number % 10 == 0).withColumn("kind", number % 3)
+    bad = raw.withColumns({"draw_date": F.when(F.col("kind") == 0, "13/45/1999").otherwise(F.col("draw_date")),
+                           "draw_amount": F.when(F.col("kind") == 1, "many").otherwise(F.col("draw_amount")),
+                           "acct_code": F.when(F.col("kind") == 2, F.concat(F.trim("acct_code"), F.lit("x"))).otherwise(F.trim("acct_code"))})
+    return imports.load_rejects(bad).select(F.rtrim("acct_code", F.lit("x")).alias("code"), "faults").distinct()
+
+
 @query("upsert_import_missing", "daily", """
     WITH defaults AS (SELECT account_id, publication, draw_weekday, max(draw_amount) AS draw_amount FROM daily GROUP BY 1, 2, 3),
     dates AS (SELECT DISTINCT draw_date, draw_weekday FROM daily)

@@ -10,7 +10,7 @@ from pressroute.operators import aggregates as agg, changes
 from pressroute.plans import accounts, audits, imports
 from pressroute.plans.fixtures import random_returns
 from pressroute.session import shared_folder
-from pressroute.sources import files
+from pressroute.sources import files, tables
 
 KEYS = ["account_id", "publication_id", "draw_date"]
 D = dt.date(2024, 1, 8)
@@ -49,6 +49,73 @@ def test_history_holds_the_changed_rows(base, load):
     assert changed == history.count()
 
 
+def test_import_leaves_other_dates_alone_and_reports_repeats(spark, base, load):
+    other = spark.createDataFrame([(1, 1, dt.date(2023, 1, 1), 3, 1.0), (9, 9, dt.date(2024, 1, 9), 4, 1.0)], base.schema)
+    again = spark.createDataFrame([(1, 2, D, 24, 1.0), (1, 2, D, 25, 1.0)], load.schema)
+    file = load.unionByName(again).withColumn("delivery_date", F.col("draw_date"))
+    defaults = spark.createDataFrame([(4, 4, 2, 8, 1.0)], "account_id long, publication_id long, draw_weekday int, draw_amount long, draw_rate double")
+    out = imports.import_draws(base.unionByName(other), file, defaults, KEYS, F.lit("t"), 1, fill=True)
+    assert rows_of(out["untouched"]) == rows_of(other)
+    assert rows_of(out["duplicates"]) == [(1, 2, D, 2)]
+    assert [r.draw_amount for r in out["table"].orderBy("draw_date", "account_id", "publication_id").collect()] == [3, 10, 25, 30, 7, 8, 4]
+    assert sorted(r.action for r in out["history"].collect()) == ["fill", "insert", "update"]
+
+
+def test_import_reads_the_months_of_the_file_only(spark):
+    path = shared_folder(spark, "months")
+    days = spark.sql("select explode(sequence(date'2023-01-01', date'2023-12-31')) as draw_date").select(
+        F.lit(1).cast("long").alias("account_id"), F.lit(1).cast("long").alias("publication_id"), "draw_date",
+        F.lit(5).cast("long").alias("draw_amount"), F.lit(1.0).alias("draw_rate"))
+    tables.write_by_month(days, path, "draw_date")
+    file = spark.createDataFrame([(1, 1, dt.date(2023, 6, 3), 6, 1.0)], days.schema)
+    touched, rest = imports.on_file_dates(spark.read.parquet(path), file)
+    assert touched.count() == 1 and rest.count() == 364
+    rows = touched.select("draw_amount")
+    rows.collect()
+    scan = next(x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x and "month" in x)
+    assert "subquery" in scan.split("PartitionFilters:")[1].split("]")[0]
+    read = rows._jdf.queryExecution().executedPlan()
+    metrics = [m for m in _metrics(read) if m[0] == "number of files read"]
+    assert metrics and metrics[0][1] == 1  # of twelve
+
+
+def _metrics(plan):
+    """(name, value) of the metrics of all nodes of an executed plan."""
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    found = [(m._2().name().get(), m._2().value()) for m in _items(plan.metrics()) if m._2().name().isDefined()]
+    for child in _items(plan.children()):
+        found += _metrics(child)
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        found += _metrics(plan.plan())
+    return found
+
+
+def _items(scala):
+    it = scala.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def test_template_load_numbers_its_history(spark):
+    kind = "account_id long, publication_id long, draw_weekday int, draw_amount long, draw_rate double"
+    template = spark.createDataFrame([(1, 1, 2, 5, 1.0), (1, 2, 2, 6, 1.0), (1, 3, 3, 7, 1.0)], kind)
+    load = spark.createDataFrame([(1, 1, D, 9, 1.0), (1, 1, D - dt.timedelta(7), 8, 1.0), (1, 2, D, 6, 1.0), (2, 2, D, 4, 2.0)],
+                                 "account_id long, publication_id long, draw_date date, draw_amount long, draw_rate double")
+    existing = spark.createDataFrame([(1, 1, 2, 1), (1, 1, 2, 2)], "account_id long, publication_id long, draw_weekday int, version int")
+    out = imports.import_defaults(template, load, existing, F.lit("t"))
+    assert rows_of(out["table"]) == [(1, 1, 2, 9, 1.0), (1, 2, 2, 6, 1.0), (1, 3, 3, 7, 1.0), (2, 2, 2, 4, 2.0)]
+    assert sorted((r.account_id, r.action, r.old_draw_amount, r.new_draw_amount, r.version) for r in out["history"].collect()) == [
+        (1, "update", 5, 9, 3), (2, "insert", 0, 4, 1)]
+
+
+def test_rows_that_cannot_be_read_are_reported(spark):
+    raw = spark.createDataFrame([(" A000001 ", "P2", "01/02/2024", "5", None), ("A1x", "P2", "13/02/2024", "5", "1.5"), (None, "P2", "01/02/2024", "many", "")],
+                                "acct_code string, pub_code string, draw_date string, draw_amount string, draw_rate string")
+    assert sorted(r.faults for r in imports.load_rejects(raw).collect()) == ["acct_code, draw_amount", "acct_code, draw_date"]
+    good = imports.normalise_load(raw).first()
+    assert (good.account_id, good.publication_id, good.draw_date, good.draw_amount, good.draw_rate) == (1, 2, dt.date(2024, 1, 2), 5, 0)
+
+
 def test_import(spark, base, load):
     defaults = spark.createDataFrame([(1, 1, 2, 5, 1.0), (4, 4, 2, 8, 1.0), (4, 4, 3, 9, 1.0)],
                                      "account_id long, publication_id long, draw_weekday int, draw_amount long, draw_rate double")
