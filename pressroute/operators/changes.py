@@ -106,11 +106,9 @@ def dedupe_drop_latest(df: DataFrame, keys: list[str], by: str, eligible: Column
 
 
 def dedupe_prefer(df: DataFrame, keys: list[str], drop_when: Column) -> DataFrame:
-    """Of keys with several rows, drop the rows that meet the condition. Only those rows are joined."""
-    candidate = F.coalesce(drop_when, F.lit(False))
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    return df.where(~candidate).unionByName(
-        split_join(df.where(candidate), repeated.select(*keys), keys, "left_anti"))
+    """Of keys with several rows, drop the rows that meet the condition. Keys must not be null."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return split_join(df, sizes, keys).where(~(F.coalesce(drop_when, F.lit(False)) & (F.col("__n") > 1))).select(df.columns)
 
 
 def retention_split(df: DataFrame, date: str, low: str, high: str) -> tuple[DataFrame, DataFrame]:

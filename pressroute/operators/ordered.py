@@ -23,11 +23,16 @@ def ranges(df: DataFrame, column: str, rows_per_range: int = 1_000_000, least: i
     a third of all rows is spread over a third of the ranges. The split points only balance the work: the
     result does not depend on them.
     """
-    parts = max(least, -(-df.count() // rows_per_range))
     is_time = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
     value = F.unix_micros(F.col(column).cast("timestamp")) if is_time else F.col(column)
-    points = [i / parts for i in range(1, parts)]
-    row = df.select(value.alias("v")).agg(F.percentile_approx("v", points, max(10_000, 10 * parts)).alias("p")).first()
+
+    def split_points(parts: int):
+        points = [i / parts for i in range(1, parts)]
+        return df.select(value.alias("v")).agg(F.percentile_approx("v", points, max(10_000, 10 * parts)).alias("p"), F.count(F.lit(1)).alias("n")).first()
+
+    row = split_points(least)
+    if row.n > least * rows_per_range:  # a second pass, for large tables only
+        row = split_points(-(-row.n // rows_per_range))
     splits = sorted(set(row.p or []))
     out = F.lit(0)
     if splits:
@@ -94,7 +99,18 @@ def next_event_after(starts: DataFrame, events: DataFrame, keys: list[str], ts:
     marked = starts.select(F.struct(*starts.columns).alias("__row"), *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__kind"))
     ends = events.select(F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"), *keys,
                          F.col(ts).alias("__ts"), F.lit(0).alias("__kind"))
-    both = _cell(marked.unionByName(ends), keys, ranges(ends, "__ts"))
+    return _next_after(marked.unionByName(ends), ranges(ends, "__ts"), keys, name)
+
+
+def next_marked_after(marked: DataFrame, keys: list[str], ts: str, is_start: str, name: str = "next_ts") -> DataFrame:
+    """The same for starts (``is_start``) and events in one frame, which is read once for both. A row may stand in it twice."""
+    rest = [c for c in marked.columns if c != is_start]
+    rows = marked.select(F.when(F.col(is_start), F.struct(*rest)).alias("__row"), *keys, F.col(ts).alias("__ts"), F.col(is_start).cast("int").alias("__kind"))
+    return _next_after(rows, ranges(rows, "__ts"), keys, name)
+
+
+def _next_after(rows: DataFrame, bucket: Column, keys: list[str], name: str) -> DataFrame:
+    both = _cell(rows, keys, bucket)
     event_ts = F.when(F.col("__kind") == 0, F.col("__ts"))
     later = Window.partitionBy("__k").orderBy("__ts", "__kind").rowsBetween(1, Window.unboundedFollowing)
     local = both.withColumn("__local", F.min(event_ts).over(later)).where("__kind = 1")

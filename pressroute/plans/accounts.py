@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressroute.functions.values import null_safe_ne
 from pressroute.operators.aggregates import csv_agg, flatten_week
-from pressroute.operators.joins import anti
+from pressroute.operators.joins import anti, split_join
 from pressroute.operators.ordered import assign_ids
 from pressroute.plans.schedules import template_code
 
@@ -27,13 +27,19 @@ def rollup_children(accounts: DataFrame, rollups: DataFrame) -> DataFrame:
         "rollup_code", F.coalesce("n", F.lit(0)).alias("children"))
 
 
-def account_dump(accounts: DataFrame, assignments: DataFrame, pairs: DataFrame, defaults: DataFrame) -> DataFrame:
-    """One row per account: manifests and publications as lists, default draw by weekday."""
+def account_dump(accounts: DataFrame, rollups: DataFrame, categories: DataFrame, assignments: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Active accounts by publication: class, rollup, category, manifests as a list, highest default draw by weekday.
+
+    ``defaults`` has the publication's short name. The week is laid out per account and publication in one
+    grouping before the account's columns, a row per account, join.
+    """
     manifests = csv_agg(assignments.withColumn("mfst_code", template_code()), ["account_id"], "mfst_code", name="manifests")
-    pubs = csv_agg(pairs, ["account_id"], "pub_short_name", name="publications")
-    week = flatten_week(defaults, ["account_id"], "draw_weekday", {"draw_amount": "draw_"}, F.sum)
-    return (accounts.select("account_id", "acct_code", "postal_code", "active")
-            .join(manifests, "account_id", "left").join(pubs, "account_id", "left").join(week, "account_id", "left"))
+    week = flatten_week(defaults, ["account_id", "pub_short_name"], "draw_weekday", {"draw_amount": "draw_"}, F.max)
+    kind = F.when(F.col("rollup_id").isNotNull(), "Child Account").otherwise("Stand-Alone")
+    heads = (accounts.where("active = 1").join(rollups.select("rollup_id", "rollup_code"), "rollup_id", "left")
+             .join(categories, "account_type_id", "left").join(manifests, "account_id", "left")
+             .select("account_id", "acct_code", "postal_code", kind.alias("account_kind"), "rollup_code", F.col("type_name").alias("category"), "manifests"))
+    return split_join(week, heads, ["account_id"])
 
 
 def rollup_mismatch(draws: DataFrame, accounts: DataFrame) -> DataFrame:

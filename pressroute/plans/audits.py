@@ -37,14 +37,18 @@ def entry_columns(report: DataFrame) -> DataFrame:
                                 for v in range(1, most + 1) for name in ("user", "value", "difference", "time")]).drop("entry")
 
 
-def returns_by_owner(audits: DataFrame, keys: list[str], owners: DataFrame) -> DataFrame:
-    """Returns entered by the owner and by others per draw, side by side; either may be missing.
+def returns_by_owner(audits: DataFrame, draws: DataFrame, keys: list[str], manifests: DataFrame) -> DataFrame:
+    """Returns entered by a manifest's owner and by others, per manifest and draw, side by side; either may be missing.
 
-    One grouping with two conditional sums gives what a full join of two aggregates gives.
+    ``draws`` has the weekday and the draw amount, ``manifests`` a row per account, weekday and manifest with
+    its owner. Entries are summed by draw and user first, so a hot account meets the manifests as few rows, and
+    ``split_join`` lets its partition be split. One grouping with two conditional sums gives what a full join
+    of two aggregates gives.
     """
-    rows = with_amount(audits).join(owners, "account_id")
+    by_user = with_amount(audits).groupBy(*keys, "audit_user_id").agg(F.sum("amount").alias("amount"))
+    rows = split_join(split_join(by_user, draws, keys), manifests, ["account_id", "draw_weekday"])
     mine = F.col("audit_user_id") == F.col("owner_id")
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy("mfst_code", *keys, "draw_amount").agg(
         F.sum(F.when(mine, F.col("amount"))).alias("owner_returns"),
         F.sum(F.when(~mine, F.col("amount"))).alias("admin_returns"))
 

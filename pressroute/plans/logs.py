@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pressroute.functions.dates import format_duration
+from pressroute.functions.dates import format_duration, slot_start
 from pressroute.functions.text import extract_between, first_path_part, query_param
 from pressroute.operators.joins import split_join
-from pressroute.operators.ordered import next_event_after, pair_by_rank, ranges
+from pressroute.operators.ordered import next_marked_after, pair_by_rank, ranges
 from pressroute.operators.sets import stack
 
 
@@ -21,31 +21,45 @@ def run_durations(log: DataFrame, start_like: str, end_like: str, keys: list[str
         "duration", F.when(seconds >= 0, format_duration(seconds)))
 
 
-def process_summary(log: DataFrame, processes: dict[str, tuple[str, str]], keys: list[str]) -> DataFrame:
-    """Runs of several processes on one timeline: each start with the first end after it."""
-    parts = []
-    for name, (start_like, end_like) in processes.items():
-        runs = next_event_after(log.where(F.col("message").like(start_like)).select(*keys, "log_id", "logged_at"),
-                                log.where(F.col("message").like(end_like)), keys, "logged_at", "stopped")
-        parts.append(runs.select(F.lit(name).alias("process"), *keys, "log_id", F.col("logged_at").alias("started"), "stopped",
-                                 F.when(F.col("stopped").isNull(), "Incomplete").otherwise("Complete").alias("status")))
+def process_summary(log: DataFrame, processes: dict[str, tuple[str, str]], keys: list[str], entries: list[DataFrame] = ()) -> DataFrame:
+    """Runs of several processes on one timeline: each start with the first end after it, and data entry by quarter hours.
+
+    Every message is marked as start or end of each process in one pass. ``entries`` are frames of one
+    time column, the audit entries; a slot's row says how many there were.
+    """
+    marks = F.array_compact(F.array(*[F.when(F.col("message").like(like), F.struct(F.lit(name).alias("process"), F.lit(start).alias("is_start")))
+                                      for name, pair in processes.items() for like, start in zip(pair, (True, False))]))
+    marked = log.select(*keys, "log_id", "logged_at", F.explode(marks).alias("mark")).select(*keys, "log_id", "logged_at", "mark.*")
+    runs = next_marked_after(marked, [*keys, "process"], "logged_at", "is_start", "stopped")
+    parts = [runs.select("process", *keys, "log_id", F.col("logged_at").alias("started"), "stopped",
+                         F.when(F.col("stopped").isNull(), "Incomplete").otherwise("Complete").alias("status"))]
+    if entries:
+        times = stack([e.select(F.col(e.columns[0]).alias("at")) for e in entries])
+        slots = times.where("at is not null").groupBy(slot_start("at", 15).alias("stopped")).agg(F.count(F.lit(1)).alias("n"))
+        blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in parts[0].schema if f.name in (*keys, "log_id")}
+        parts.append(slots.select(F.lit("DataEntry").alias("process"), *[blank[k] for k in keys], blank["log_id"],
+                                  (F.col("stopped") - F.expr("interval 14 minutes")).alias("started"), "stopped",
+                                  F.concat(F.col("n").cast("string"), F.lit(" Ret/Adj Audit Records")).alias("status")))
     return stack(parts)
 
 
 def export_status(controls: DataFrame, log: DataFrame) -> DataFrame:
-    """Export runs by group: first start, last end, file line found in the log, and the time taken.
+    """Export runs by group: first start, last end, whether that end is a success or a failure, file line found in the
+    log, and the time taken.
 
     One grouping of the log by group and kind of message in place of three joins.
     """
     kind = (F.when(F.col("message").startswith("signup"), "start").when(F.col("message").startswith("purchase"), "end")
-            .when(F.col("message").startswith("view"), "file"))
+            .when(F.col("message").startswith("click"), "failed").when(F.col("message").startswith("view"), "file"))
+    ended = F.when(F.col("kind").isin("end", "failed"), F.struct("logged_at", "log_id"))
     marks = log.withColumn("kind", kind).where("kind is not null").groupBy("group_id").agg(
         F.min(F.when(F.col("kind") == "start", F.col("logged_at"))).alias("export_start"),
-        F.max(F.when(F.col("kind") == "end", F.col("logged_at"))).alias("export_end"),
+        F.max(ended)["logged_at"].alias("export_end"),
+        F.when(F.max_by("kind", ended) == "end", "SUCCESS").when(F.max_by("kind", ended) == "failed", "FAILURE").alias("status"),
         F.max_by("message", F.when(F.col("kind") == "file", F.col("logged_at"))).alias("file_line"))
     seconds = F.timestamp_diff("SECOND", F.date_trunc("second", "export_start"), F.date_trunc("second", "export_end"))
     return controls.join(marks, "group_id", "left").select(
-        *controls.columns, "export_start", "export_end", F.when(seconds >= 0, format_duration(seconds)).alias("duration"),
+        *controls.columns, "export_start", "export_end", "status", F.when(seconds >= 0, format_duration(seconds)).alias("duration"),
         extract_between("file_line", ': ', "}").alias("file_no"))
 
 

@@ -69,15 +69,17 @@ def account_list_rollups(t):
     return accts.rollup_children(t.accounts, t.rollups)
 
 
-@query("account_dump", "accounts assignments draw_lines default_draws publications", f"""
-    SELECT account_id, acct_code, postal_code, active, m.manifests, p.publications,
-           {", ".join(f"w.draw_{d}" for d in "sun mon tue wed thu fri sat".split())}
-    FROM accounts LEFT JOIN (SELECT account_id, string_agg(DISTINCT {TEMPLATE}, ', ' ORDER BY {TEMPLATE}) AS manifests FROM assignments GROUP BY 1) m USING (account_id)
-    LEFT JOIN (SELECT account_id, string_agg(DISTINCT pub_short_name, ', ' ORDER BY pub_short_name) AS publications
-               FROM draw_lines JOIN publications USING (publication_id) GROUP BY 1) p USING (account_id)
-    LEFT JOIN (SELECT account_id, {week_sql("sum", "draw_amount", "draw_")} FROM default_draws GROUP BY 1) w USING (account_id)""")
+@query("account_dump", "accounts account_types rollups assignments default_draws publications", f"""
+    SELECT account_id, acct_code, postal_code, CASE WHEN rollup_id IS NULL THEN 'Stand-Alone' ELSE 'Child Account' END AS account_kind, rollup_code,
+           type_name AS category, m.manifests, pub_short_name, {", ".join(f"w.draw_{d}" for d in "sun mon tue wed thu fri sat".split())}
+    FROM accounts JOIN (SELECT account_id, pub_short_name, {week_sql("max", "draw_amount", "draw_")}
+                        FROM default_draws JOIN publications USING (publication_id) GROUP BY 1, 2) w USING (account_id)
+    LEFT JOIN (SELECT account_id, string_agg(DISTINCT {TEMPLATE}, ', ' ORDER BY {TEMPLATE}) AS manifests FROM assignments GROUP BY 1) m USING (account_id)
+    LEFT JOIN rollups USING (rollup_id) LEFT JOIN account_types USING (account_type_id) WHERE active = 1""")
 def account_dump(t):
-    return accts.account_dump(t.accounts, t.assignments, t.account_brands, t.default_draws)
+    rows = t.default_draws.select("account_id", "publication_id", "draw_weekday", F.col("draw_amount").cast("bigint").alias("draw_amount")).join(
+        t.publications.select("publication_id", "pub_short_name"), "publication_id")
+    return accts.account_dump(t.accounts, t.rollups, t.account_types, t.assignments, rows)
 
 
 @query("unassigned", "account_pubs publications assignments", """

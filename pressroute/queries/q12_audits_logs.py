@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pressroute.operators import joins
 from pressroute.plans import audits, logs, sales, subscribers
+from pressroute.plans.schedules import template_code
 from pressroute.queries.q02_filters import NET
+from pressroute.queries.q04_aggregates import TEMPLATE
 from pressroute.queries.registry import query
 from pressroute.sources.frames import DAILY_KEY
 
@@ -29,14 +32,17 @@ def returns_audit_wide(t):
     return report.select(*DAILY_KEY, F.col("entries").cast("bigint").alias("entries"), *cells, "draw_amount", "net")
 
 
-@query("returns_by_owner", "audits accounts", """
-    SELECT account_id, publication, CAST(draw_date AS VARCHAR) AS draw_date,
-           CAST(sum(CASE WHEN audit_user_id = owner_id % 6 THEN CAST(audit_value AS INTEGER) END) AS BIGINT) AS owner_returns,
-           CAST(sum(CASE WHEN audit_user_id <> owner_id % 6 THEN CAST(audit_value AS INTEGER) END) AS BIGINT) AS admin_returns
-    FROM audits JOIN accounts USING (account_id) GROUP BY 1, 2, 3""")
+@query("returns_by_owner", "audits daily assignments", f"""
+    WITH m AS (SELECT DISTINCT account_id, template_id, d + 1 AS draw_weekday FROM assignments, range(0, 7) AS r(d) WHERE frequency & (1 << CAST(d AS INTEGER)) > 0)
+    SELECT {TEMPLATE} AS mfst_code, account_id, publication, CAST(a.draw_date AS VARCHAR) AS draw_date, draw_amount,
+           CAST(sum(CASE WHEN audit_user_id = template_id % 6 THEN CAST(audit_value AS INTEGER) END) AS BIGINT) AS owner_returns,
+           CAST(sum(CASE WHEN audit_user_id <> template_id % 6 THEN CAST(audit_value AS INTEGER) END) AS BIGINT) AS admin_returns
+    FROM audits a JOIN daily USING (account_id, publication, draw_date) JOIN m USING (account_id, draw_weekday) GROUP BY 1, 2, 3, 4, 5""")
 def returns_by_owner(t):
-    owners = t.accounts.select("account_id", (F.col("owner_id") % 6).alias("owner_id"))
-    return audits.returns_by_owner(t.audit_events, DAILY_KEY, owners)
+    """The owner is the manifest's, found through the weekday mask."""
+    items = joins.on_weekday(t.assignments).select("account_id", "draw_weekday", "template_id").distinct()
+    manifests = items.withColumns({"mfst_code": template_code(), "owner_id": F.col("template_id") % 6})
+    return audits.returns_by_owner(t.audit_events, t.daily.select(*DAILY_KEY, "draw_weekday", "draw_amount"), DAILY_KEY, manifests)
 
 
 @query("audit_mismatch", "audits daily", """
@@ -71,20 +77,27 @@ PROCESS_SQL = """SELECT '{name}' AS process, s.group_id, s.log_id, CAST(s.logged
     CAST((SELECT min(e.logged_at) FROM system_log e WHERE e.group_id = s.group_id AND e.message LIKE '{stop}%' AND e.logged_at > s.logged_at) AS VARCHAR) AS stopped
     FROM system_log s WHERE s.message LIKE '{start}%'"""
 PARTS = " UNION ALL ".join(PROCESS_SQL.format(name=n, start=a, stop=b)
-                           for n, a, b in (("Import", "signup", "purchase"), ("Forecast", "view", "click")))
+                           for n, a, b in (("Import", "signup", "purchase"), ("Forecast", "view", "click"), ("IndexMaint", "purchase", "view")))
 
 
-@query("process_summary", "system_log", f"""
-    SELECT *, CASE WHEN stopped IS NULL THEN 'Incomplete' ELSE 'Complete' END AS status FROM ({PARTS})""")
+@query("process_summary", "system_log audits history", f"""
+    SELECT *, CASE WHEN stopped IS NULL THEN 'Incomplete' ELSE 'Complete' END AS status FROM ({PARTS})
+    UNION ALL SELECT 'DataEntry', NULL, NULL, CAST(slot - INTERVAL 14 MINUTE AS VARCHAR), CAST(slot AS VARCHAR), count(*) || ' Ret/Adj Audit Records'
+    FROM (SELECT time_bucket(INTERVAL 15 MINUTE, audit_time) AS slot FROM audits UNION ALL SELECT time_bucket(INTERVAL 15 MINUTE, changed_at) FROM history)
+    GROUP BY slot""")
 def process_summary(t):
-    return logs.process_summary(t.system_log, {"Import": ("signup%", "purchase%"), "Forecast": ("view%", "click%")}, ["group_id"])
+    """Three processes of the log, and data entry over two audit tables."""
+    kinds = {"Import": ("signup%", "purchase%"), "Forecast": ("view%", "click%"), "IndexMaint": ("purchase%", "view%")}
+    return logs.process_summary(t.system_log, kinds, ["group_id"], [t.audit_events.select("audit_time"), t.history.select("changed_at")])
 
 
 @query("export_status", "system_log", f"""
-    WITH m AS (SELECT group_id, min(logged_at) FILTER (WHERE message LIKE 'signup%') AS b, max(logged_at) FILTER (WHERE message LIKE 'purchase%') AS e,
+    WITH m AS (SELECT group_id, min(logged_at) FILTER (WHERE message LIKE 'signup%') AS b, max(logged_at) FILTER (WHERE message LIKE 'purchase%' OR message LIKE 'click%') AS e,
+                      arg_max(CASE WHEN message LIKE 'purchase%' THEN 'SUCCESS' ELSE 'FAILURE' END, (logged_at, log_id))
+                          FILTER (WHERE message LIKE 'purchase%' OR message LIKE 'click%') AS status,
                       arg_max(message, logged_at) FILTER (WHERE message LIKE 'view%') AS f FROM system_log GROUP BY group_id),
     q AS (SELECT *, date_diff('second', date_trunc('second', b), date_trunc('second', e)) AS s FROM m)
-    SELECT c_custkey AS group_id, c_mktsegment AS export_type, CAST(b AS VARCHAR) AS export_start, CAST(e AS VARCHAR) AS export_end,
+    SELECT c_custkey AS group_id, c_mktsegment AS export_type, CAST(b AS VARCHAR) AS export_start, CAST(e AS VARCHAR) AS export_end, status,
            {DURATION} AS duration, regexp_extract(f, ': (.*?)\\}}', 1) AS file_no FROM customer LEFT JOIN q ON q.group_id = c_custkey""")
 def export_status(t):
     controls = t.table("customer").select(F.col("c_custkey").alias("group_id"), F.col("c_mktsegment").alias("export_type"))
@@ -141,17 +154,21 @@ def merge_timelines(t):
 
 
 @query("subscribers_by_plan", "subscriptions", """
-    WITH b AS (SELECT * FROM subscriptions WHERE purchase_date BETWEEN DATE '1995-01-01' AND DATE '2001-03-31'),
-    last AS (SELECT user_id, plan_id AS last_plan, purchase_date AS last_purchase FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY purchase_date DESC, subscriber_plan_id DESC) AS r FROM b) WHERE r = 1),
-    live AS (SELECT user_id, count(*) AS live_plans FROM subscriptions WHERE expires > DATE '2001-03-31' AND cancelled IS NULL GROUP BY user_id)
-    SELECT user_id, live_plans, last_plan, CAST(last_purchase AS VARCHAR) AS last_purchase, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment
-    FROM live LEFT JOIN last USING (user_id) LEFT JOIN customer ON c_custkey = user_id""")
+    WITH s AS (SELECT *, cancelled IS NULL AS active, subscriber_plan_id % 3 = 0 AS linked FROM subscriptions),
+    live AS (SELECT DISTINCT user_id FROM s WHERE active AND expires > DATE '2001-03-31'),
+    confirmed AS (SELECT user_id FROM s GROUP BY user_id HAVING count(*) FILTER (WHERE plan_id NOT IN (1, 2) AND NOT linked) > 0 AND count(*) FILTER (WHERE NOT active) > 0)
+    SELECT user_id, subscriber_plan_id, plan_id, CAST(purchase_date AS VARCHAR) AS purchase_date, 'nation=' || c_nationkey || '; segment=' || c_mktsegment AS fields
+    FROM s JOIN live USING (user_id) LEFT JOIN customer ON c_custkey = user_id
+    WHERE purchase_date BETWEEN DATE '1995-01-01' AND DATE '2001-03-31' AND plan_id NOT IN (1, 2)
+      AND (NOT active OR user_id NOT IN (SELECT user_id FROM confirmed))""")
 def subscribers_by_plan(t):
+    """A row per purchased plan; a linked plan is one whose name begins with a star, here every third."""
+    plans = t.subscriptions.withColumns({"active": F.col("cancelled").isNull(), "linked": F.col("subscriber_plan_id") % 3 == 0})
     keys = t.table("customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
     fields = keys.unpivot(["user_id"], ["segment", "nation"], "field", "value")
-    return subscribers.active_subs(t.subscriptions, fields, "1995-01-01", "2001-03-31")
+    return subscribers.active_subs(plans, fields, "1995-01-01", "2001-03-31", [1, 2]).select(
+        "user_id", "subscriber_plan_id", "plan_id", "purchase_date", "fields")
 
 
 @query("message_status", "system_log", """
