@@ -13,7 +13,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,6 +37,32 @@ class Vocabulary:
         self.known_follows: dict[int, bool] = {}
         self._reached: dict[int, bool] = {}
 
+    @cached_property
+    def automaton(self):
+        """Finds all tokens in a text of one character per byte: (last place, (length, rank)), by end, the longest first."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), (len(token), rank))
+        found.make_automaton()
+        return found
+
+    def encode(self, data: bytes) -> list[int]:
+        """The encoding of a whole piece: its table of last tokens filled from the tokens found in it, read from the end."""
+        last, known = [-1] * (len(data) + 1), self.known_follows.get
+        for at, (size, token) in self.automaton.iter(data.decode("latin-1")):
+            at += 1
+            if last[at] < 0:
+                if size < at:
+                    before = last[at - size]
+                    good = known(before << 32 | token)
+                    if self.follows(before, token) if good is None else good:
+                        last[at] = token
+                elif self.reached(token):
+                    last[at] = token
+        return _read_back(last, self.tokens, len(data))
+
     def merge(self, data: bytes, parts_left: int = 1) -> list[int]:
         """Byte-pair merges by rank, left before right, until ``parts_left`` parts remain."""
         parts = [data[i:i + 1] for i in range(len(data))]
@@ -135,11 +161,17 @@ class PrefixTable:
 
     def ids(self) -> list[int]:
         """The encoding, read from the end."""
-        found, end = [], len(self.data)
-        while end:
-            found.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
-        return found[::-1]
+        return _read_back(self.last, self.vocabulary.tokens, len(self.data))
+
+
+def _read_back(last, tokens: dict[int, bytes], end: int) -> list[int]:
+    found = []
+    while end:
+        if last[end] < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        found.append(last[end])
+        end -= len(tokens[last[end]])
+    return found[::-1]
 
 
 @cache
@@ -155,7 +187,7 @@ class _Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        found = _little_endian(array("I", PrefixTable(self.vocabulary, piece.encode()).ids()))
+        found = _little_endian(array("I", self.vocabulary.encode(piece.encode())))
         if len(self) >= CACHED_PIECES:
             self.clear()
         if len(piece) <= 64:

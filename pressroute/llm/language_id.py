@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pressroute.llm.bpe import vocabulary
+from pressroute.llm.bpe import Vocabulary, vocabulary
 from pressroute.llm.common import stage
 
 #: Words whose log-probabilities a worker keeps between texts.
@@ -34,19 +33,15 @@ def letter_words(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
-def _spans(data: bytes, ranks: dict[bytes, int], longest: int) -> Iterator[tuple[int, int, int]]:
+def _spans(data: bytes, voc: Vocabulary) -> list[tuple[int, int, int]]:
     """(start, end, piece) of every vocabulary piece in the data, by end."""
-    for end in range(1, len(data) + 1):
-        for start in range(max(0, end - longest), end):
-            piece = ranks.get(data[start:end])
-            if piece is not None:
-                yield start, end, piece
+    return [(at + 1 - size, at + 1, piece) for at, (size, piece) in voc.automaton.iter(data.decode("latin-1"))]
 
 
-def expected_pieces(word: str, probability: list[float], ranks: dict[bytes, int], longest: int) -> dict[int, float]:
+def expected_pieces(word: str, probability: list[float], voc: Vocabulary) -> dict[int, float]:
     """Expected number of uses of each piece over all segmentations of the word (forward and backward sums)."""
     data = f" {word}".encode()
-    spans = list(_spans(data, ranks, longest))
+    spans = _spans(data, voc)
     if len(data) > SHORT:
         return _expected_long(len(data), spans, probability)
     ahead, back = [1.0] + [0.0] * len(data), [0.0] * len(data) + [1.0]
@@ -79,31 +74,24 @@ class WordScores(dict):
 
     def __init__(self, path: str, table: np.ndarray):
         super().__init__()
-        voc = vocabulary(path)
-        self.ranks, self.longest, self.size = voc.ranks, voc.longest, table.shape[0]
+        self.voc, self.size = vocabulary(path), table.shape[0]
         self.table = [tuple(row) for row in table.T.tolist()]
         self.logs = np.zeros((4096, self.size))
 
     def score(self, data: bytes) -> list[float]:
         if len(data) > SHORT:
             return self._score_long(data)
-        ahead = [(1.0,) * self.size] + [None] * len(data)
-        rank, table, longest = self.ranks.get, self.table, self.longest
-        for end in range(1, len(data) + 1):
-            total = [0.0] * self.size
-            for start in range(end - longest if end > longest else 0, end):
-                piece = rank(data[start:end])
-                if piece is not None:
-                    total = [t + a * p for t, a, p in zip(total, ahead[start], table[piece])]
-            ahead[end] = total
+        table, nothing = self.table, (0.0,) * self.size
+        ahead = [(1.0,) * self.size] + [nothing] * len(data)
+        for at, (size, piece) in self.voc.automaton.iter(data.decode("latin-1")):
+            at += 1
+            ahead[at] = [t + a * p for t, a, p in zip(ahead[at], ahead[at - size], table[piece])]
         return [math.log(x) for x in ahead[-1]]
 
     def _score_long(self, data: bytes) -> list[float]:
-        ahead = [np.zeros(self.size)]
-        for end in range(1, len(data) + 1):
-            parts = [ahead[start] + np.log(self.table[piece]) for start in range(max(0, end - self.longest), end)
-                     if (piece := self.ranks.get(data[start:end])) is not None]
-            ahead.append(np.logaddexp.reduce(parts))
+        ahead = [np.zeros(self.size)] + [np.full(self.size, -np.inf)] * len(data)
+        for start, end, piece in _spans(data, self.voc):
+            ahead[end] = np.logaddexp(ahead[end], ahead[start] + np.log(self.table[piece]))
         return ahead[-1].tolist()
 
     def __missing__(self, word: str) -> int:
@@ -193,7 +181,7 @@ def train_language_model(labelled: DataFrame, path: str, text_col: str = "text",
             total: dict[tuple[str, int], float] = {}
             for batch in batches:
                 for lang, word, n in zip(batch["lang"], batch["word"], batch["n"]):
-                    for piece, x in expected_pieces(word, now[at[lang]], here.ranks, here.longest).items():
+                    for piece, x in expected_pieces(word, now[at[lang]], here).items():
                         total[lang, piece] = total.get((lang, piece), 0.0) + n * x
             yield pd.DataFrame([(*k, x) for k, x in total.items()], columns=["lang", "piece", "uses"])
 

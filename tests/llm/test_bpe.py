@@ -35,6 +35,7 @@ def test_appends_and_edits_equal_a_fresh_encoding(tik):
         stop, new = rng.randint(start, len(data)), rng.choice(BITS).encode()
         table.replace(start, stop, new)
         assert table.ids() == PrefixTable(voc, data[:start] + new + data[stop:]).ids()
+        assert not table.data or voc.encode(table.data) == table.ids()
         table.append(b" end")
         whole = data[:start] + new + data[stop:] + b" end"
         assert table.ids() == tik._core_bpe.encode_single_piece(whole)

@@ -37,12 +37,12 @@ def test_forward_sum_and_expected_uses_equal_enumeration():
             each = [math.prod(table[lang, p] for p in way) for way in ways]
             assert scores.score(data)[lang] == pytest.approx(math.log(sum(each)))
             assert scores._score_long(data)[lang] == pytest.approx(math.log(sum(each)))
-            uses = expected_pieces(word, table[lang].tolist(), voc.ranks, voc.longest)
+            uses = expected_pieces(word, table[lang].tolist(), voc)
             piece = ways[0][0]
             want = sum(p * way.count(piece) for p, way in zip(each, ways)) / sum(each)
             assert uses[piece] == pytest.approx(want)
     long = "abc" * 40
-    assert sum(expected_pieces(long, table[0].tolist(), voc.ranks, voc.longest).values()) > 10
+    assert sum(expected_pieces(long, table[0].tolist(), voc).values()) > 10
     assert math.isfinite(scores.score(f" {long}".encode())[0])
 
 
