@@ -91,8 +91,9 @@ def _sparse_suffixes(rows: DataFrame) -> DataFrame:
 def _compare_neighbours(ordered: DataFrame) -> DataFrame:
     """Of sorted suffixes, those whose head a neighbour of another text has, too.
 
-    A run of equal heads that touches an end of its partition is undecided there: such rows come out as
-    ``edge`` and are decided by a sum over the partitions, so a run of any length is spread over many tasks.
+    A run of equal heads may go on in the next partition, so that one of any length is spread over many tasks.
+    A piece of a run that touches an end of its partition and holds one text only is undecided there: a sum of
+    the pieces at the ends (``place`` is 1 for undecided ones, 2 for others) tells whether there is another text.
     """
     def compare(batches: Iterator):
         import pyarrow as pa
@@ -109,16 +110,15 @@ def _compare_neighbours(ordered: DataFrame) -> DataFrame:
         shared = np.maximum.reduceat(other, starts)
         edge = np.zeros(len(starts), bool)
         edge[[0, -1]] = True
-        for keep, flag in ((shared & ~edge, False), (edge, True)):
-            rows = np.flatnonzero(keep[run])
-            found = table.take(pa.array(rows)).append_column("edge", pa.array(np.full(len(rows), flag)))
-            yield from found.to_batches()
+        place = np.where(edge, np.where(shared, 2, 1), 0).astype(np.int32)
+        rows = np.flatnonzero((shared | edge)[run])
+        yield from table.take(pa.array(rows)).append_column("place", pa.array(place[run[rows]])).to_batches()
 
-    found = stage(ordered.mapInArrow(compare, "head long, k1 long, k2 long, pos int, edge boolean"), "suffix-neighbours")
-    at_edge = found.where("edge")
+    found = stage(ordered.mapInArrow(compare, "head long, k1 long, k2 long, pos int, place int"), "suffix-neighbours")
     text = F.struct(*KEY)
-    split = at_edge.groupBy("head").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a != b").select("head")
-    return found.where("not edge").drop("edge").unionByName(split_join(at_edge.drop("edge"), split, ["head"]))
+    split = found.where("place > 0").groupBy("head").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a != b").select("head")
+    undecided = split_join(found.where("place = 1").drop("place"), split, ["head"])
+    return found.where("place != 1").drop("place").unionByName(undecided)
 
 
 def _shared_windows(texts: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = stage(matched.groupBy(*KEY).agg(F.collect_set("pos").alias("places")), "suffix-matched")
 
     again = with_key_flag(rows, key_map(wanted, KEY, "suffix-texts"), KEY, "again").where("again").select(*KEY, "text")
-    texts = again.join(wanted.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")).join(wanted, KEY)
+    texts = again.groupBy(*KEY).agg(F.first("text").alias("text")).join(wanted, KEY)  # copies meet before the shuffle
     texts = stage(texts.withColumn("text_id", F.monotonically_increasing_id()), "suffix-read")
     windows = stage(_shared_windows(texts), "suffix-windows")
     twice = windows.groupBy("run").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a != b")
