@@ -76,10 +76,11 @@ def dense_index(df: DataFrame, rows: int, within: list[str], order: list[str], n
 
     A window numbers the rows of a bucket; the buckets' sizes, added up, give where each begins. The
     number of buckets follows ``rows``, so no task holds more than a bucket (and copies of one row).
+    The hash takes in ``name``, so that rows dealt out by one numbering are dealt anew by the next.
     Read the input from a table: it is used twice, and its rows must be the same both times.
     """
     buckets = max(16, -(-rows // bucket_rows))
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(name), *order), F.lit(buckets)))
     before = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
         *within, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
