@@ -1,8 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised: count c has level 1 + floor(log2 c). An n-gram is put into
-the filter once for each level up to its own, so asking for level 1, 2, .. until one is missing gives the
+Counts of words and word pairs are quantised: count c has level 1 + floor(log2(c / unit)). An n-gram is put
+into the filter once for each level up to its own, so asking for level 1, 2, .. until one is missing gives the
 level back, and never too small a one.
+
+The unit is the training tokens over RAREST, 1 at least: what is rarer than one in RAREST tokens has level 0 and
+is left to the smoothing. No more than RAREST / 2**k words, and as many pairs, reach level k + 1, so the filter
+has at most 4 * RAREST entries however large the corpus is: that bounds its broadcast.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -21,17 +24,15 @@ from pressroute.operators.joins import split_join
 #: Stands for the end of a text; no word holds white space.
 END = "\n"
 #: Bits of the filter for each entry, and probes for each.
-BITS, PROBES = 8, 4
-#: Pairs seen less often have no entry; the smoothing stands for them.
-LEAST_PAIR = 2
+BITS, PROBES = 10, 3
+#: One in so many tokens is the rarest that has an entry: 84 MB of filter at most.
+RAREST = 1 << 24
 #: Weight of the word's own probability against the pair's count.
 PRIOR = 500.0
-#: Bytes of the filter that are broadcast at once. A larger filter is used block by block.
-BLOCK_BYTES = 32 << 20
 #: Most common words whose exact counts are broadcast, and the bytes a word among them may have: 30 MB at most.
 COMMON_WORDS, COMMON_BYTES = 300_000, 64
 CACHED_WORDS = 400_000
-#: N-grams a task gathers before it sums and hands them on.
+#: Pairs a task gathers before it sums and hands them on.
 GATHERED = 4_000_000
 #: Tokens scored together.
 TOKENS_AT_ONCE = 200_000
@@ -68,21 +69,19 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END.encode()]
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1]
+def levels(counts: np.ndarray, unit: int) -> np.ndarray:
+    """0 below one unit, 1 from there, one more with each doubling."""
+    return np.frexp((counts // unit).astype(np.float64))[1]
 
 
-def count_of_level(level: np.ndarray) -> np.ndarray:
+def count_of_level(level: np.ndarray, unit: int) -> np.ndarray:
     """The middle of the counts that have this level; 0 for level 0."""
-    return np.where(level > 0, (1.5 * np.exp2(level.astype(np.float64) - 1) * 2 - 1) / 2, 0.0)
+    return np.where(level > 0, (3 * unit * np.exp2(level.astype(np.float64) - 1) - 1) / 2, 0.0)
 
 
-def _places(grams: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
-    """The bit numbers of one entry: PROBES of them, within ``size`` bits."""
-    first = _mix(grams + np.uint64(level * _STEP % 2**64))
-    step = _mix(first ^ _GOLDEN) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((first + np.uint64(i) * step) >> np.uint64(32)) * size >> np.uint64(32)
+def _place(grams: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
+    """The bit number that this probe reads, within ``size`` bits."""
+    return (_mix(grams + np.uint64((level * PROBES + probe) * _STEP % 2**64)) >> np.uint64(32)) * size >> np.uint64(32)
 
 
 def make_bits(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -92,13 +91,14 @@ def make_bits(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
         raise ValueError("a part of the filter has over 2**32 bits: raise spark.sql.shuffle.partitions")
     bits = np.zeros(size, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
-        for place in _places(grams[level >= at], at, np.uint64(size)):
-            bits[place] = True
+        reached = grams[level >= at]
+        for probe in range(PROBES):
+            bits[_place(reached, at, probe, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little")
 
 
 class Filter:
-    """Some parts of the filter, end to end. ``part_of`` of a word hash says which part its n-grams are in."""
+    """The filter's parts, end to end. ``part_of`` of a word hash says which part its n-grams are in."""
 
     def __init__(self, parts: int, held: dict[int, bytes]):
         self.parts = parts
@@ -114,15 +114,14 @@ class Filter:
         return (words % np.uint64(self.parts)).astype(np.int64)
 
     def level(self, grams: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """Asks for level after level until one is missing; parts that are not held have none."""
+        """Asks for level after level until one is missing; a part without n-grams has none."""
         found, active, at = np.zeros(len(grams), np.int64), np.flatnonzero(self.here[part]), 1
         while len(active):
             start, size = self.start[part[active]], self.size[part[active]]
-            there = np.ones(len(active), bool)
-            for place in _places(grams[active], at, size):
-                bit = start + place
-                there &= (self.bytes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            active = active[there]
+            for probe in range(PROBES):
+                bit = start + _place(grams[active], at, probe, size)
+                there = (self.bytes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                active, start, size = active[there], start[there], size[there]
             found[active] = at
             at += 1
         return found
@@ -139,13 +138,26 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 
 def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in order, their summed counts, and where each was first."""
-    order = np.argsort(grams, kind="stable")
+    """Distinct n-grams in order, their summed counts, and where one of each was."""
+    order = np.argsort(grams)
     ordered = grams[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return ordered[first], np.add.reduceat(counts[order], first), order[first]
 
 
+def _by_part(grams: np.ndarray, counts: np.ndarray, owner: np.ndarray, parts: int) -> Iterator:
+    """A row (part, grams, counts) of each part; ``grams`` in order."""
+    import pyarrow as pa
+
+    order = np.argsort(owner, kind="stable")
+    ends = np.searchsorted(owner[order], np.arange(parts + 1))
+    for part in range(parts):
+        own = order[ends[part]:ends[part + 1]]
+        if len(own):
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_pack(np.diff(grams[own], prepend=np.uint64(0)))], pa.binary()),
+                                   pa.array([_pack(counts[own])], pa.binary())], ["part", "grams", "counts"])
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
@@ -154,26 +166,18 @@ class _Hashes(dict):
         return found
 
 
-def gather_ngrams(training: DataFrame, parts: int) -> DataFrame:
-    """``part, grams, counts``: summed counts of words and pairs, each task's n-grams of a part in one row.
+def gather_pairs(training: DataFrame, parts: int) -> DataFrame:
+    """``part, grams, counts``: summed counts of word pairs, each task's pairs of a part in one row.
 
-    A part has the words whose hash falls to it and the pairs that begin with them.
+    A part has the pairs whose first word's hash falls to it.
     """
     def gather(batches: Iterator):
         import pyarrow as pa
 
         def rows(words: list[np.ndarray], heads: list[np.ndarray]):
             word, head = np.concatenate(words), np.concatenate(heads)
-            owner = np.concatenate([word, head]) % np.uint64(parts)
-            grams, counts, first = _summed(np.concatenate([word_gram(word), pair_gram(head, word)]), np.ones(2 * len(word), np.int64))
-            owner = owner[first].astype(np.int32)
-            order = np.argsort(owner, kind="stable")
-            ends = np.searchsorted(owner[order], np.arange(parts + 1))
-            for part in range(parts):
-                own = order[ends[part]:ends[part + 1]]
-                if len(own):
-                    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_pack(np.diff(grams[own], prepend=np.uint64(0)))], pa.binary()),
-                                           pa.array([_pack(counts[own])], pa.binary())], ["part", "grams", "counts"])
+            grams, counts, first = _summed(pair_gram(head, word), np.ones(len(word), np.int64))
+            yield from _by_part(grams, counts, (head[first] % np.uint64(parts)).astype(np.int32), parts)
 
         known, words, heads, held = _Hashes(), [], [], 0
         end = np.array([word_hash(END.encode())], np.uint64)
@@ -183,7 +187,7 @@ def gather_ngrams(training: DataFrame, parts: int) -> DataFrame:
                 hashes = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
                 words.append(hashes)
                 heads += [end, hashes[:-1]]
-                held += 2 * len(own)
+                held += len(own)
                 if held >= GATHERED:
                     yield from rows(words, heads)
                     words, heads, held = [], [], 0
@@ -193,38 +197,39 @@ def gather_ngrams(training: DataFrame, parts: int) -> DataFrame:
     return training.mapInArrow(gather, "part int, grams binary, counts binary")
 
 
-def build_filter(gathered: DataFrame) -> DataFrame:
-    """``part, n_bytes, bits``: the filter's parts. Each has its own size, by the entries it holds."""
+def gather_words(counts: DataFrame, parts: int) -> DataFrame:
+    """The same of single words, from their exact counts."""
+    def gather(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                words = np.fromiter((word_hash(w.as_py()) for w in batch.column(0).cast(pa.binary())), np.uint64, batch.num_rows)
+                grams, n, first = _summed(word_gram(words), batch.column(1).to_numpy())
+                yield from _by_part(grams, n, (words[first] % np.uint64(parts)).astype(np.int32), parts)
+
+    return counts.select("token", "c").mapInArrow(gather, "part int, grams binary, counts binary")
+
+
+def build_filter(gathered: DataFrame, unit: int) -> DataFrame:
+    """``part, bits``: the filter's parts. Each has its own size, by the entries it holds."""
     def build(frame):
         import pandas as pd
 
         grams = np.concatenate([np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in frame["grams"]])
         grams, counts, _ = _summed(grams, np.concatenate([_unpack(x, np.int64) for x in frame["counts"]]))
-        kept = (grams & np.uint64(1) == 1) | (counts >= LEAST_PAIR)
-        bits = make_bits(grams[kept], levels(counts[kept])).tobytes()
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "n_bytes": [len(bits)], "bits": [bits]})
-
-    return gathered.groupBy("part").applyInPandas(build, "part int, n_bytes long, bits binary")
-
+        level = levels(counts, unit)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [make_bits(grams[level > 0], level[level > 0]).tobytes()]})
 
-def _blocks(sizes: dict[int, int]) -> list[list[int]]:
-    """Parts in groups of at most BLOCK_BYTES."""
-    blocks, room = [[]], BLOCK_BYTES
-    for part, n in sorted(sizes.items()):
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = BLOCK_BYTES
-        blocks[-1].append(part)
-        room -= n
-    return blocks
+    return gathered.groupBy("part").applyInPandas(build, "part int, bits binary")
 
 
 class _Words(dict):
     """This worker's words: hash, the filter's estimate and the exact count if the word is common (else -1)."""
 
-    def __init__(self, owners: Filter, common: dict[bytes, int]):
+    def __init__(self, held: Filter, common: dict[bytes, int], unit: int):
         super().__init__()
-        self.owners, self.common = owners, common
+        self.held, self.common, self.unit = held, common, unit
         self.hash, self.estimate, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
@@ -234,10 +239,10 @@ class _Words(dict):
         fresh = [w for w in set(words) if w not in self]
         if fresh:
             hashes = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))
-            found = self.owners.level(word_gram(hashes), self.owners.part_of(hashes))
+            found = self.held.level(word_gram(hashes), self.held.part_of(hashes))
             self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
             self.hash = np.concatenate([self.hash, hashes])
-            self.estimate = np.concatenate([self.estimate, count_of_level(found)])
+            self.estimate = np.concatenate([self.estimate, count_of_level(found, self.unit)])
             self.exact = np.concatenate([self.exact, np.fromiter((self.common.get(w, -1) for w in fresh), np.int64, len(fresh))])
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -253,45 +258,29 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     log10((c + 0.5) / (N + 0.5 (V + 1))) with exact training counts: common words from a broadcast table of bounded
     size, all others by a join. ``score`` is the sum of log10 p(word | word before), where
     p = (c(before, word) + PRIOR p(word)) / (c(before) + PRIOR), p(word) as in the base, and all counts c are what
-    the filter says. Pairs seen once have no entry.
-
-    The filter has a size in proportion to its entries. It is broadcast in blocks of BLOCK_BYTES at most; with
-    several, each pair of blocks scores the tokens whose two words belong to it, and the sums are added up.
+    the filter says.
 
     A null text is empty: one token, the end. Null ids and repeated rows pass through. Without training rows every
     count is 0. An empty table gives an empty result; further columns are ignored.
     """
     spark, keep = docs.sparkSession, keep or []
     lowered = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.array_remove(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), "")
     counts = stage(lowered.select(F.explode(F.concat(words, F.array(F.lit(END)))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("c")), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, scale = total["n"], total["n"] + 0.5 * (total["v"] + 1)
     common = _common_words(counts)
 
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    filters = stage(build_filter(gather_ngrams(lowered, parts)), "lm-filter")
-    blocks = _blocks({r["part"]: r["n_bytes"] for r in filters.select("part", "n_bytes").collect()})
+    parts, unit = max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), max(1, -(-n // RAREST))
+    filters = stage(build_filter(gather_pairs(lowered, parts).unionByName(gather_words(counts, parts)), unit), "lm-filter")
     given = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(f"__keep{i}") for i, k in enumerate(keep)],
-                        F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    if len(blocks) > 1:  # rows are numbered once, and read again for each pair of blocks
-        given = stage(given, "lm-rows")
-    names = ["doc_id", *[f"__keep{i}" for i in range(len(keep))], "row"]
+                        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = given.columns[:-1]
     fields = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in names)
     told = f"{fields}, n_tokens long, base double, known long, score double, rare array<string>, times array<long>"
-    call = uuid.uuid4().hex
-    common_words = spark.sparkContext.broadcast(common)
-    held = [spark.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in filters.where(F.col("part").isin(block)).collect()})
-            for block in blocks]
-    pieces = [given.select(*names, "text").mapInArrow(_scorer(
-        len(names), parts, heads, owners, common_words, scale, (call, i, j)), told)
-              for i, heads in enumerate(held) for j, owners in enumerate(held)]
-    scored = pieces[0]
-    if len(pieces) > 1:
-        rest = reduce(DataFrame.unionByName, pieces[1:])
-        scored = scored.withColumnRenamed("score", "first").join(rest.groupBy("row").agg(F.sum("score").alias("more")), "row").withColumn(
-            "score", F.col("first") + F.col("more")).drop("first", "more")
+    held = spark.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in filters.collect()})
+    scored = given.mapInArrow(_scorer(len(names), parts, held, spark.sparkContext.broadcast(common), scale, unit, uuid.uuid4().hex), told)
     scored = stage(scored, "lm-scored")
 
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
@@ -320,19 +309,16 @@ def _common_words(counts: DataFrame) -> dict[bytes, int]:
     return {r["token"].encode(): r["c"] for r in short.where(step >= least).collect()}
 
 
-def _scorer(keys, parts, heads, owners, common, scale, name):
-    """Scores the tokens whose word before is in ``heads`` and whose own word is in ``owners``; the first one also sums the base.
-
-    ``name`` is (call, number of the heads' block, number of the owners' block).
-    """
+def _scorer(keys, parts, bits, common, scale, unit, name):
+    """Counts and scores of each text; ``name`` tells this call's state in a worker from another's."""
     def score(batches: Iterator):
         import pyarrow as pa
 
         if name not in _state:
             _state.clear()
-            own = Filter(parts, owners.value)
-            _state[name] = (own if name[1] == name[2] else Filter(parts, heads.value), own, _Words(own, common.value))
-        before_filter, own_filter, words = _state[name]
+            held = Filter(parts, bits.value)
+            _state[name] = (held, _Words(held, common.value, unit))
+        held, words = _state[name]
         end = np.array([word_hash(END.encode())], np.uint64)
         kinds = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
@@ -342,42 +328,27 @@ def _scorer(keys, parts, heads, owners, common, scale, name):
             tokens = [t for text in texts for t in text]
             rows = words.rows(tokens)
             hashes, alone, exact = words.hash[rows], words.estimate[rows], words.exact[rows]
-            before = np.concatenate([end, hashes[:-1]])
+            before, seen = np.concatenate([end, hashes[:-1]]), np.concatenate([[0.0], alone[:-1]])
             before[starts] = end
-            mine = np.flatnonzero(before_filter.here[before_filter.part_of(before)] & own_filter.here[own_filter.part_of(hashes)])
-            if before_filter is own_filter:
-                seen = np.concatenate([[0.0], alone[:-1]])
-                seen[starts] = _estimate(own_filter, end)
-                seen = seen[mine]
-            else:
-                heads_here, back = np.unique(before[mine], return_inverse=True)
-                seen = _estimate(before_filter, heads_here)[back]
-            head = before[mine]
-            pair = count_of_level(before_filter.level(pair_gram(head, hashes[mine]), before_filter.part_of(head)))
-            logs = np.zeros(len(tokens))
-            logs[mine] = np.log10((np.minimum(pair, seen) + PRIOR * (alone[mine] + 0.5) / scale) / (seen + PRIOR))
-            scores = np.add.reduceat(logs, starts)
-            if name[1:] != (0, 0):
-                return [sizes, np.zeros(len(texts)), np.zeros(len(texts), np.int64), scores, [[]] * len(texts), [[]] * len(texts)]
+            seen[starts] = count_of_level(held.level(word_gram(end), held.part_of(end)), unit)
+            pair = count_of_level(held.level(pair_gram(before, hashes), held.part_of(before)), unit)
+            logs = np.log10((np.minimum(pair, seen) + PRIOR * (alone + 0.5) / scale) / (seen + PRIOR))
             base = np.add.reduceat(np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / scale), 0.0), starts)
             rare = [Counter(tokens[i].decode() for i in np.flatnonzero(exact[a:a + n] < 0) + a) for a, n in zip(starts, sizes)]
-            return [sizes, base, np.add.reduceat((exact >= 0).astype(np.int64), starts), scores,
+            return [sizes, base, np.add.reduceat((exact >= 0).astype(np.int64), starts), np.add.reduceat(logs, starts),
                     [list(c) for c in rare], [list(c.values()) for c in rare]]
 
         for batch in batches:
-            texts, from_row, held = [], 0, 0
+            texts, from_row, n_held = [], 0, 0
             for at, text in enumerate(batch.column(keys).cast(pa.binary()), 1):
                 texts.append(words_of(text.as_py()))
-                held += len(texts[-1])
-                if held >= TOKENS_AT_ONCE or at == batch.num_rows:
+                n_held += len(texts[-1])
+                if n_held >= TOKENS_AT_ONCE or at == batch.num_rows:
                     part = batch.slice(from_row, at - from_row)
                     yield pa.record_batch([*[part.column(i) for i in range(keys)],
                                            *[pa.array(values, kind) for values, kind in zip(together(texts), kinds)]],
                                           [*batch.schema.names[:keys], "n_tokens", "base", "known", "score", "rare", "times"])
-                    texts, from_row, held = [], at, 0
+                    texts, from_row, n_held = [], at, 0
 
     return score
 
-
-def _estimate(held: Filter, words: np.ndarray) -> np.ndarray:
-    return count_of_level(held.level(word_gram(words), held.part_of(words)))

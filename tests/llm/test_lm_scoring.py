@@ -31,18 +31,19 @@ def exact_model(text, training, counts, n, v):
     for t in training:
         own = lm.words_of((t or "").encode())
         pairs.update(zip([b"\n", *own], own))
-    near = lambda c: float(lm.count_of_level(lm.levels(np.array([c])))[0]) if c else 0.0
+    unit = max(1, -(-n // lm.RAREST))
+    near = lambda c: float(lm.count_of_level(lm.levels(np.array([c]), unit), unit)[0])
     own, total = lm.words_of((text or "").encode()), 0.0
     for before, word in zip([b"\n", *own], own):
-        c = pairs[before, word]
-        pair, seen = near(c) if c >= lm.LEAST_PAIR else 0.0, near(counts[before])
+        pair, seen = near(pairs[before, word]), near(counts[before])
         total += math.log10((min(pair, seen) + lm.PRIOR * (near(counts[word]) + 0.5) / (n + 0.5 * (v + 1))) / (seen + lm.PRIOR))
     return total
 
 
-@pytest.mark.parametrize("common", [0, 50, 300_000])
-def test_query_base_equals_brute_force(spark, monkeypatch, common):
+@pytest.mark.parametrize("common, rarest", [(0, 1 << 24), (50, 10_000), (300_000, 1 << 24)])
+def test_query_base_equals_brute_force(spark, monkeypatch, common, rarest):
     monkeypatch.setattr(lm, "COMMON_WORDS", common)
+    monkeypatch.setattr(lm, "RAREST", rarest)
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{BASE}/documents.parquet").collect()]
     training = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
     want, counts, n, v = brute(docs, training)
@@ -60,21 +61,20 @@ def test_levels_never_fall_short():
     rng = random.Random(5)
     grams = np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64)
     counts = np.array([1 + int(rng.paretovariate(0.7)) % 10**6 for _ in range(5000)])
-    held = lm.Filter(1, {0: lm.make_bits(grams, lm.levels(counts)).tobytes()})
+    held = lm.Filter(1, {0: lm.make_bits(grams, lm.levels(counts, 1)).tobytes()})
     found = held.level(grams, np.zeros(5000, np.int64))
-    assert (found >= lm.levels(counts)).all() and (found == lm.levels(counts)).mean() > 0.9
+    assert (found >= lm.levels(counts, 1)).all() and (found == lm.levels(counts, 1)).mean() > 0.9
     others = np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64)
     assert (held.level(others, np.zeros(5000, np.int64)) == 0).mean() > 0.95
 
 
-def test_blocks_give_the_scores_of_one_filter(spark, monkeypatch):
-    docs = spark.read.parquet(f"{BASE}/documents.parquet").limit(60)
-    one = {r.doc_id: r for r in lm.score_documents(docs, docs).collect()}
-    filter_bytes = 60_000
-    monkeypatch.setattr(lm, "BLOCK_BYTES", filter_bytes)
-    several = {r.doc_id: r for r in lm.score_documents(docs, docs).collect()}
-    assert all(several[i].score == pytest.approx(one[i].score) and several[i].n_known == one[i].n_known for i in one)
-    assert lm._blocks({0: 50_000, 1: 50_000, 2: 5_000}) == [[0], [1, 2]]
+def test_levels_and_their_bound():
+    assert lm.levels(np.array([0, 6, 7, 13, 14, 27, 28]), 7).tolist() == [0, 0, 1, 1, 2, 2, 3]
+    assert lm.count_of_level(np.array([0, 1, 2, 3]), 1).tolist() == [0.0, 1.0, 2.5, 5.5]
+    rng = np.random.default_rng(3)
+    counts = rng.zipf(1.3, 200_000).clip(max=10**7)
+    unit = max(1, -(-int(counts.sum()) // 1000))
+    assert lm.levels(counts, unit).sum() <= 2 * 1000
 
 
 def test_odd_rows(spark):
@@ -91,7 +91,7 @@ def test_odd_rows(spark):
 
 def test_a_full_word_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(lm, "CACHED_WORDS", 5)
-    words = lm._Words(lm.Filter(1, {}), {b"a3": 9})
+    words = lm._Words(lm.Filter(1, {}), {b"a3": 9}, 1)
     for k in range(4):
         own = [b"a%d" % i for i in range(k, k + 8)]
         rows = words.rows(own)
