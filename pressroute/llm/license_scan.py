@@ -50,9 +50,10 @@ TEMPLATES = [
      ["creative commons attribution 4 0 international"]),
 ]
 
-#: Highest-IDF words of a template that are in the index.
-INDEXED = 6
-#: Highest-IDF indexed words of a file that are looked up, besides those of the base phrases.
+#: Highest-IDF words of a template that are in the index, and the share of the highest IDF that a word must have:
+#: common words of the language stay out, or every file would have to be read again.
+INDEXED, LEAST_IDF = 6, 0.5
+#: Highest-IDF indexed words of a file that are looked up, besides those of base phrases all of whose words it has.
 LOOKED_UP = 12
 #: Share of a template's indexed weight that must meet at one place, and of its whole weight that must stand near it.
 MEET, COVER = 0.5, 0.8
@@ -73,7 +74,8 @@ def _templates(idf: dict[str, float]) -> list[dict]:
     for label, wording, phrases in TEMPLATES:
         words = _words(wording)
         rare = sorted(set(words), key=lambda w: (-idf[w], w))[:INDEXED]
-        found.append({"label": label, "base": False, "words": words, "phrases": [f" {p} " for p in phrases], "indexed": set(rare)})
+        found.append({"label": label, "base": False, "words": words, "phrases": [f" {p} " for p in phrases],
+                      "indexed": {w for w in rare if idf[w] >= LEAST_IDF * idf[rare[0]]}})
     return found
 
 
@@ -121,11 +123,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = {w: math.log((total + 1) / (counted.get(w, 0) + 0.5)) for w in vocabulary()}
     idf = {w: max(x, 1e-3) for w, x in idf.items()}
     index, templates = _template_frames(spark, idf)
-    must = sorted({w for p in BASE_PHRASES for w in _words(p)})
-    indexed = sorted({w for t in _templates(idf) for w in t["indexed"]}, key=lambda w: (-idf[w], w))
+    indexed = sorted({w for t in _templates(idf) if not t["base"] for w in t["indexed"]}, key=lambda w: (-idf[w], w))
 
-    looked = F.array_union(F.slice(F.array_intersect(F.lit(indexed), F.col("present")), 1, LOOKED_UP),
-                           F.array_intersect(F.lit(must), F.col("present")))
+    looked = F.slice(F.array_intersect(F.lit(indexed), F.col("present")), 1, LOOKED_UP)
+    for phrase in BASE_PHRASES:  # its words may be common ones of some language; it can stand only where all of them are
+        words = F.lit(_words(phrase))
+        looked = F.array_union(looked, F.when(F.size(F.array_except(words, F.col("present"))) == 0, words).otherwise(
+            F.array().cast("array<string>")))
     wanted = stage(seen.select(*KEY, looked.alias("looked")).where(F.size("looked") > 0).groupBy(*KEY).agg(
         F.first("looked").alias("looked")), "license-wanted")
     again = with_key_flag(rows, key_map(wanted, KEY, "license-texts"), KEY, "again").where("again")
