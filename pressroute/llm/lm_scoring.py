@@ -4,14 +4,15 @@ Counts of words and word pairs are quantised: count c has level 1 + floor(log2(c
 into the filter once for each level up to its own, so asking for level 1, 2, .. until one is missing gives the
 level back, and never too small a one.
 
-The unit is the training tokens over RAREST, 1 at least: what is rarer than one in RAREST tokens has level 0 and
-is left to the smoothing. No more than RAREST / 2**k words, and as many pairs, reach level k + 1, so the filter
-has at most 4 * RAREST entries however large the corpus is: that bounds its broadcast.
+Every word and pair of the corpus is kept (unit 1), so the filter grows with the corpus. It is cut into parts by
+ranges of the n-grams' hashes and never gathered in one place: the distinct n-grams of some texts are sent to the
+parts that hold them, and the levels found are sent back to where the texts' scores are added up.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +26,10 @@ from pressroute.operators.joins import split_join
 END = "\n"
 #: Bits of the filter for each entry, and probes for each.
 BITS, PROBES = 10, 3
-#: One in so many tokens is the rarest that has an entry: 84 MB of filter at most.
-RAREST = 1 << 24
+#: If set, the unit is the training tokens over this, 1 at least, and n-grams counted less often have no entry.
+RAREST: int | None = None
+#: Training tokens for each part of the filter, if that makes more parts than Spark's shuffles have.
+PART_TOKENS = 4_000_000
 #: Weight of the word's own probability against the pair's count.
 PRIOR = 500.0
 #: Most common words whose exact counts are broadcast, and the bytes a word among them may have: 30 MB at most.
@@ -34,8 +37,8 @@ COMMON_WORDS, COMMON_BYTES = 300_000, 64
 CACHED_WORDS = 400_000
 #: Pairs a task gathers before it sums and hands them on.
 GATHERED = 4_000_000
-#: Tokens scored together.
-TOKENS_AT_ONCE = 200_000
+#: Tokens read together, and tokens whose n-grams are looked up together.
+TOKENS_AT_ONCE, LOOKED_UP = 200_000, 2_000_000
 
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN = np.uint64(_STEP)
@@ -97,8 +100,19 @@ def make_bits(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def number(grams: np.ndarray, parts: int) -> np.ndarray:
+    """N-grams as numbers, 2**32 for each part. A part has some million n-grams, so far fewer share one than the filter mistakes."""
+    low, parts = np.uint64(2**32 - 1), np.uint64(parts)
+    return (grams >> np.uint64(32)) * parts + ((grams & low) * parts >> np.uint64(32))
+
+
+def part_of(numbers: np.ndarray) -> np.ndarray:
+    """The part of a number: numbers in order are in the order of their parts."""
+    return (numbers >> np.uint64(32)).astype(np.int64)
+
+
 class Filter:
-    """The filter's parts, end to end. ``part_of`` of a word hash says which part its n-grams are in."""
+    """The filter's parts that are here, end to end."""
 
     def __init__(self, parts: int, held: dict[int, bytes]):
         self.parts = parts
@@ -110,9 +124,6 @@ class Filter:
             at += len(blob) * 8
         self.bytes = np.frombuffer(b"".join(blobs) or b"\0" * 8, np.uint8)
 
-    def part_of(self, words: np.ndarray) -> np.ndarray:
-        return (words % np.uint64(self.parts)).astype(np.int64)
-
     def level(self, grams: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Asks for level after level until one is missing; a part without n-grams has none."""
         found, active, at = np.zeros(len(grams), np.int64), np.flatnonzero(self.here[part]), 1
@@ -137,25 +148,37 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(np.frombuffer(data, np.uint8).reshape(size, -1).T.tobytes(), kind)
 
 
-def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in order, their summed counts, and where one of each was."""
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and their summed counts."""
     order = np.argsort(grams)
     ordered = grams[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(counts[order], first), order[first]
+    return ordered[first], np.add.reduceat(counts[order], first)
+
+
+def _pack_grams(grams: np.ndarray) -> bytes:
+    """Packs n-grams that are in order."""
+    return _pack(np.diff(grams, prepend=np.uint64(0)))
+
 
+def _unpack_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
-def _by_part(grams: np.ndarray, counts: np.ndarray, owner: np.ndarray, parts: int) -> Iterator:
+
+def _ends(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins in n-grams that are in order, and the end."""
+    return np.searchsorted(part_of(grams), np.arange(parts + 1))
+
+
+def _by_part(grams: np.ndarray, counts: np.ndarray, parts: int) -> Iterator:
     """A row (part, grams, counts) of each part; ``grams`` in order."""
     import pyarrow as pa
 
-    order = np.argsort(owner, kind="stable")
-    ends = np.searchsorted(owner[order], np.arange(parts + 1))
-    for part in range(parts):
-        own = order[ends[part]:ends[part + 1]]
-        if len(own):
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_pack(np.diff(grams[own], prepend=np.uint64(0)))], pa.binary()),
-                                   pa.array([_pack(counts[own])], pa.binary())], ["part", "grams", "counts"])
+    ends = _ends(grams, parts)
+    for part in np.flatnonzero(np.diff(ends)):
+        own = slice(ends[part], ends[part + 1])
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_pack_grams(grams[own])], pa.binary()),
+                               pa.array([_pack(counts[own])], pa.binary())], ["part", "grams", "counts"])
 
 
 class _Hashes(dict):
@@ -167,17 +190,13 @@ class _Hashes(dict):
 
 
 def gather_pairs(training: DataFrame, parts: int) -> DataFrame:
-    """``part, grams, counts``: summed counts of word pairs, each task's pairs of a part in one row.
-
-    A part has the pairs whose first word's hash falls to it.
-    """
+    """``part, grams, counts``: summed counts of word pairs, each task's pairs of a part in one row."""
     def gather(batches: Iterator):
         import pyarrow as pa
 
         def rows(words: list[np.ndarray], heads: list[np.ndarray]):
             word, head = np.concatenate(words), np.concatenate(heads)
-            grams, counts, first = _summed(pair_gram(head, word), np.ones(len(word), np.int64))
-            yield from _by_part(grams, counts, (head[first] % np.uint64(parts)).astype(np.int32), parts)
+            yield from _by_part(*_summed(number(pair_gram(head, word), parts), np.ones(len(word), np.int64)), parts)
 
         known, words, heads, held = _Hashes(), [], [], 0
         end = np.array([word_hash(END.encode())], np.uint64)
@@ -205,8 +224,7 @@ def gather_words(counts: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 words = np.fromiter((word_hash(w.as_py()) for w in batch.column(0).cast(pa.binary())), np.uint64, batch.num_rows)
-                grams, n, first = _summed(word_gram(words), batch.column(1).to_numpy())
-                yield from _by_part(grams, n, (words[first] % np.uint64(parts)).astype(np.int32), parts)
+                yield from _by_part(*_summed(number(word_gram(words), parts), batch.column(1).to_numpy()), parts)
 
     return counts.select("token", "c").mapInArrow(gather, "part int, grams binary, counts binary")
 
@@ -216,8 +234,8 @@ def build_filter(gathered: DataFrame, unit: int) -> DataFrame:
     def build(frame):
         import pandas as pd
 
-        grams = np.concatenate([np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in frame["grams"]])
-        grams, counts, _ = _summed(grams, np.concatenate([_unpack(x, np.int64) for x in frame["counts"]]))
+        grams = np.concatenate([_unpack_grams(x) for x in frame["grams"]])
+        grams, counts = _summed(grams, np.concatenate([_unpack(x, np.int64) for x in frame["counts"]]))
         level = levels(counts, unit)
         return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [make_bits(grams[level > 0], level[level > 0]).tobytes()]})
 
@@ -239,7 +257,8 @@ class _Words(dict):
         fresh = [w for w in set(words) if w not in self]
         if fresh:
             hashes = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))
-            found = self.held.level(word_gram(hashes), self.held.part_of(hashes))
+            numbers = number(word_gram(hashes), self.held.parts)
+            found = self.held.level(numbers, part_of(numbers))
             self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
             self.hash = np.concatenate([self.hash, hashes])
             self.estimate = np.concatenate([self.estimate, count_of_level(found, self.unit)])
@@ -258,7 +277,7 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     log10((c + 0.5) / (N + 0.5 (V + 1))) with exact training counts: common words from a broadcast table of bounded
     size, all others by a join. ``score`` is the sum of log10 p(word | word before), where
     p = (c(before, word) + PRIOR p(word)) / (c(before) + PRIOR), p(word) as in the base, and all counts c are what
-    the filter says.
+    the filter says; every word and pair of the training rows is in it.
 
     A null text is empty: one token, the end. Null ids and repeated rows pass through. Without training rows every
     count is 0. An empty table gives an empty result; further columns are ignored.
@@ -272,23 +291,27 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     n, scale = total["n"], total["n"] + 0.5 * (total["v"] + 1)
     common = _common_words(counts)
 
-    parts, unit = max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), max(1, -(-n // RAREST))
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_TOKENS))
+    unit = max(1, -(-n // RAREST)) if RAREST else 1
     filters = stage(build_filter(gather_pairs(lowered, parts).unionByName(gather_words(counts, parts)), unit), "lm-filter")
     given = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(f"__keep{i}") for i, k in enumerate(keep)],
                         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = given.columns[:-1]
     fields = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in names)
-    told = f"{fields}, n_tokens long, base double, known long, score double, rare array<string>, times array<long>"
-    held = spark.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in filters.collect()})
-    scored = given.mapInArrow(_scorer(len(names), parts, held, spark.sparkContext.broadcast(common), scale, unit, uuid.uuid4().hex), told)
-    scored = stage(scored, "lm-scored")
+    told = stage(given.mapInArrow(_reader(len(names), parts, spark.sparkContext.broadcast(common), scale, uuid.uuid4().hex), ", ".join(
+        [fields, *(f"{c} {kind}" for c, kind in TOLD)])), "lm-read")
+    scored = told.where("n_tokens is not null").select(*names, "n_tokens", "base", "known", "rare", "times")
+    asked = told.where("part is not null").select("asker", "part", "words", "pairs")
+    found = asked.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_answer, "asker long, part int, words binary, pairs binary")
+    texts = told.where("sizes is not null").select("asker", "words", "tokens", "sizes", "rows")
+    scores = texts.groupBy("asker").cogroup(found.groupBy("asker")).applyInPandas(_adder(parts, scale, unit), "row long, score double")
 
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     rare = split_join(rare, counts, ["token"], "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale)))).alias("rare_base"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    return scored.drop("rare", "times").join(rare, "row", "left").select(
+    return scored.drop("rare", "times").join(scores, "row").join(rare, "row", "left").select(
         "doc_id", *[F.col(f"__keep{i}").alias(k) for i, k in enumerate(keep)], "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
@@ -309,46 +332,124 @@ def _common_words(counts: DataFrame) -> dict[bytes, int]:
     return {r["token"].encode(): r["c"] for r in short.where(step >= least).collect()}
 
 
-def _scorer(keys, parts, bits, common, scale, unit, name):
-    """Counts and scores of each text; ``name`` tells this call's state in a worker from another's."""
-    def score(batches: Iterator):
+#: What ``_reader`` tells besides the rows' own columns.
+TOLD = [("n_tokens", "long"), ("base", "double"), ("known", "long"), ("rare", "array<string>"), ("times", "array<long>"), ("asker", "long"),
+        ("part", "int"), ("words", "binary"), ("pairs", "binary"), ("tokens", "binary"), ("sizes", "binary"), ("rows", "binary")]
+
+
+def _reader(keys, parts, common, scale, name):
+    """Three kinds of rows; ``name`` tells this call's state in a worker from another's.
+
+    Of each text the exact counts (up to ``times``). Of some texts together, named by the first one's row: for each
+    part the numbers of distinct words and pairs to look up in it, in order; and what adds the scores up: the distinct
+    words' hashes, each token as a place in them, the texts' sizes and rows.
+    """
+    def read(batches: Iterator):
+        import pandas as pd
         import pyarrow as pa
 
         if name not in _state:
             _state.clear()
-            held = Filter(parts, bits.value)
-            _state[name] = (held, _Words(held, common.value, unit))
-        held, words = _state[name]
-        end = np.array([word_hash(END.encode())], np.uint64)
-        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-
-        def together(texts: list[list[bytes]]):
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            starts = np.cumsum(sizes) - sizes
+            _state[name] = _Words(Filter(1, {}), common.value, 1)  # hashes and exact counts; the estimates come from the parts
+        known = _state[name]
+        kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()),
+                 "array<long>": pa.list_(pa.int64())}
+        words, sizes, rows = [], [], []
+
+        def told(own: list, n: int, **values):
+            return pa.record_batch([*own, *[pa.array(values[c], kinds[k]) if c in values else pa.nulls(n, kinds[k]) for c, k in TOLD]],
+                                   [*names, *[c for c, _ in TOLD]])
+
+        def counted(own: list, texts: list[list[bytes]]):
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            starts = np.cumsum(size) - size
             tokens = [t for text in texts for t in text]
-            rows = words.rows(tokens)
-            hashes, alone, exact = words.hash[rows], words.estimate[rows], words.exact[rows]
-            before, seen = np.concatenate([end, hashes[:-1]]), np.concatenate([[0.0], alone[:-1]])
-            before[starts] = end
-            seen[starts] = count_of_level(held.level(word_gram(end), held.part_of(end)), unit)
-            pair = count_of_level(held.level(pair_gram(before, hashes), held.part_of(before)), unit)
-            logs = np.log10((np.minimum(pair, seen) + PRIOR * (alone + 0.5) / scale) / (seen + PRIOR))
-            base = np.add.reduceat(np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / scale), 0.0), starts)
-            rare = [Counter(tokens[i].decode() for i in np.flatnonzero(exact[a:a + n] < 0) + a) for a, n in zip(starts, sizes)]
-            return [sizes, base, np.add.reduceat((exact >= 0).astype(np.int64), starts), np.add.reduceat(logs, starts),
-                    [list(c) for c in rare], [list(c.values()) for c in rare]]
+            at = known.rows(tokens)
+            hashes, exact = known.hash[at], known.exact[at]
+            words.append(hashes)
+            sizes.append(size)
+            rows.append(own[-1].to_numpy())
+            rare = [Counter(tokens[i].decode() for i in np.flatnonzero(exact[a:a + n] < 0) + a) for a, n in zip(starts, size)]
+            return told(own, len(texts), n_tokens=size, known=np.add.reduceat((exact >= 0).astype(np.int64), starts),
+                        base=np.add.reduceat(np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / scale), 0.0), starts),
+                        rare=[list(c) for c in rare], times=[list(c.values()) for c in rare])
+
+        def together():
+            word, size, asker = np.concatenate(words), np.concatenate(sizes), int(rows[0][0])
+            tokens, distinct = pd.factorize(word)  # numbered as they come, so common words have low numbers
+            singles = np.unique(number(word_gram(distinct), parts))
+            pairs = np.sort(pd.unique(number(pair_gram(_before(word, size), word), parts)))
+            nothing = [pa.nulls(1, kind) for kind in key_kinds]
+            yield told(nothing, 1, asker=[asker], words=[distinct.tobytes()], tokens=[zlib.compress(_pack(tokens.astype(np.int32)), 1)],
+                       sizes=[_pack(size)], rows=[_pack(np.concatenate(rows))])
+            one, two = _ends(singles, parts), _ends(pairs, parts)
+            asked = np.flatnonzero(np.diff(one) + np.diff(two))
+            nothing = [pa.nulls(len(asked), kind) for kind in key_kinds]
+            yield told(nothing, len(asked), asker=np.full(len(asked), asker), part=asked.astype(np.int32),
+                       words=[_pack_grams(singles[one[p]:one[p + 1]]) for p in asked], pairs=[_pack_grams(pairs[two[p]:two[p + 1]]) for p in asked])
+            for held in (words, sizes, rows):
+                held.clear()
 
         for batch in batches:
+            names, key_kinds = batch.schema.names[:keys], batch.schema.types[:keys]
             texts, from_row, n_held = [], 0, 0
             for at, text in enumerate(batch.column(keys).cast(pa.binary()), 1):
                 texts.append(words_of(text.as_py()))
                 n_held += len(texts[-1])
                 if n_held >= TOKENS_AT_ONCE or at == batch.num_rows:
-                    part = batch.slice(from_row, at - from_row)
-                    yield pa.record_batch([*[part.column(i) for i in range(keys)],
-                                           *[pa.array(values, kind) for values, kind in zip(together(texts), kinds)]],
-                                          [*batch.schema.names[:keys], "n_tokens", "base", "known", "score", "rare", "times"])
+                    yield counted([batch.column(i).slice(from_row, at - from_row) for i in range(keys)], texts)
                     texts, from_row, n_held = [], at, 0
+                    if sum(map(len, words)) >= LOOKED_UP:
+                        yield from together()
+        if words:
+            yield from together()
+
+    return read
+
+
+def _answer(asked, held):
+    """The levels of all n-grams that are looked up in one part."""
+    import pandas as pd
 
-    return score
+    found = Filter(1, {0: bytes(x) for x in held["bits"]})
+
+    def levels_of(column) -> list[bytes]:
+        grams = [_unpack_grams(x) for x in column]
+        distinct, own = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_inverse=True)
+        level = found.level(distinct, np.zeros(len(distinct), np.int64)).astype(np.int8)[own]
+        ends = np.cumsum([len(x) for x in grams], dtype=np.int64)
+        return [level[e - len(x):e].tobytes() for x, e in zip(grams, ends)]
+
+    return pd.DataFrame({"asker": asked["asker"], "part": asked["part"], "words": levels_of(asked["words"]), "pairs": levels_of(asked["pairs"])})
+
+
+def _before(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hash before each token's, the end's at the start of a text."""
+    end = np.array([word_hash(END.encode())], np.uint64)
+    before = np.concatenate([end, word[:-1]])
+    before[np.cumsum(sizes) - sizes] = end
+    return before
+
+
+def _adder(parts, scale, unit):
+    """Scores of the texts that were looked up together."""
+    def add(texts, found):
+        import pandas as pd
 
+        text, found = texts.iloc[0], found.sort_values("part")
+        single, pair = (count_of_level(np.frombuffer(b"".join(found[c]), np.int8), unit) for c in ("words", "pairs"))
+        distinct, sizes = np.frombuffer(text["words"], np.uint64), _unpack(text["sizes"], np.int64)
+        tokens = _unpack(zlib.decompress(text["tokens"]), np.int32)
+        starts, word = np.cumsum(sizes) - sizes, distinct[tokens]
+        alone = single[np.unique(number(word_gram(distinct), parts), return_inverse=True)[1]]
+        at_end = alone[tokens[sizes[0] - 1]]  # every text has the end as its last token
+        alone = alone[tokens]
+        seen = np.concatenate([[at_end], alone[:-1]])
+        seen[starts] = at_end
+        own, numbers = pd.factorize(number(pair_gram(_before(word, sizes), word), parts))
+        held = np.empty(len(numbers))
+        held[np.argsort(numbers)] = pair
+        logs = np.log10((np.minimum(held[own], seen) + PRIOR * (alone + 0.5) / scale) / (seen + PRIOR))
+        return pd.DataFrame({"row": _unpack(text["rows"], np.int64), "score": np.add.reduceat(logs, starts)})
+
+    return add

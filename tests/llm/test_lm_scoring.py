@@ -97,3 +97,28 @@ def test_a_full_word_cache_starts_anew(monkeypatch):
         rows = words.rows(own)
         assert words.hash[rows].tolist() == [lm.word_hash(w) for w in own]
         assert words.exact[rows].tolist() == [9 if w == b"a3" else -1 for w in own]
+
+
+def test_rare_words_and_pairs_of_a_large_corpus_are_kept(spark):
+    """17 million training tokens, among them a word and a pair that stand once."""
+    training = spark.range(170).selectExpr("repeat('a ', 100000) as text").unionByName(spark.createDataFrame([("rare pair",)], "text string"))
+    docs = spark.createDataFrame([(1, "rare pair"), (2, "pair rare"), (3, "none such")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(docs, training).collect()}
+    counts, n = Counter({b"a": 17_000_000, b"rare": 1, b"pair": 1, b"\n": 171}), 17_000_173
+    pairs = {(b"\n", b"rare"): 1, (b"rare", b"pair"): 1, (b"pair", b"\n"): 1}
+    assert [got[i].n_known for i in (1, 2, 3)] == [3, 3, 1]
+    assert got[1].train_tokens == n and got[1].score > got[2].score > got[3].score
+    near = lambda c: float(lm.count_of_level(lm.levels(np.array([c]), 1), 1)[0])
+    for i, own in [(1, [b"rare", b"pair", b"\n"]), (2, [b"pair", b"rare", b"\n"])]:
+        want = sum(math.log10((near(pairs.get((a, w), 0)) + lm.PRIOR * (near(counts[w]) + 0.5) / (n + 0.5 * 5)) / (near(counts[a]) + lm.PRIOR))
+                   for a, w in zip([b"\n", *own], own))
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+
+
+def test_scores_do_not_hang_on_what_is_looked_up_together(spark, monkeypatch):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text")
+    whole = {r.doc_id: r.score for r in lm.score_documents(docs, docs).collect()}
+    monkeypatch.setattr(lm, "TOKENS_AT_ONCE", 500)
+    monkeypatch.setattr(lm, "LOOKED_UP", 1000)
+    monkeypatch.setattr(lm, "PART_TOKENS", 500)
+    assert {r.doc_id: r.score for r in lm.score_documents(docs, docs).collect()} == pytest.approx(whole, rel=0.05)
