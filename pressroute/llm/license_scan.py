@@ -99,8 +99,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``base_places`` holds (label, start) of every place where a base phrase's words stand
     consecutively. ``labels`` are the base labels and those of the templates that were found;
-    ``score`` is the largest share of a template's IDF weight found near its place, 0 without any
-    whose key phrases stand there.
+    ``score`` is the largest share of a template's IDF weight found near one of its places, 0 without
+    any whose key phrases stand there.
 
     IDF counts the given documents. Of the indexed words in a file, the highest-IDF ones are looked
     up; a posting of the index minus the word's place in the file names where a template would
@@ -143,19 +143,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.broadcast(templates.select("template", "label", "base", "size", "indexed")), "template")
     weight = F.aggregate("met", F.lit(0.0), lambda x, p: x + p["weight"])
     kept = stage(met.where(F.when(F.col("base"), F.size("met") == F.col("size")).otherwise(weight >= MEET * F.col("indexed"))).select(
-        *KEY, "template", "label", "base", "start", F.when(~F.col("base"), weight).alias("weight")), "license-met")
+        *KEY, "template", "label", "base", "start"), "license-met")
 
     base = kept.where("base").groupBy(*KEY).agg(
         F.collect_list(F.struct("label", "start")).alias("base_places"), F.collect_set("label").alias("base_labels"))
-    best = kept.where("not base").groupBy(*KEY, "template").agg(F.max_by("start", F.struct("weight", -F.col("start"))).alias("start"))
-    found = best.join(F.broadcast(templates.drop("base")), "template").join(files.select(*KEY, "text"), KEY)
-    after = F.greatest(F.col("start") - SLACK, F.lit(0))
-    near = F.slice(alnum_words(F.col("text")), after + 1, F.col("start") + F.col("size") + SLACK - after)
+    starts = kept.where("not base").groupBy(*KEY, "template").agg(F.collect_list("start").alias("starts"))
+    found = starts.join(F.broadcast(templates.drop("base")), "template").join(files.select(*KEY, "text"), KEY)
+
+    def near(file, start):
+        after = F.greatest(start - SLACK, F.lit(0))
+        return F.slice(file, after + 1, start + F.col("size") + SLACK - after)
+
     spoken = lambda words: F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" "))
     cover = lambda words: F.aggregate(F.array_intersect("words", words), F.lit(0.0), lambda x, w: x + F.col("idf")[w]) / F.col("total")
-    share = once(near, lambda words: F.when(once(spoken(words), lambda s: F.forall("phrases", lambda p: F.contains(s, p))),
-                                            F.least(cover(words), F.lit(1.0))))
-    checked = found.select(*KEY, "label", share.alias("cover")).where("cover is not null")
+    share = lambda near: once(near, lambda words: F.when(
+        once(spoken(words), lambda s: F.forall("phrases", lambda p: F.contains(s, p))), F.least(cover(words), F.lit(1.0))))
+    shares = once(alnum_words(F.col("text")), lambda file: F.transform("starts", lambda start: share(near(file, start))))
+    checked = found.select(*KEY, "label", F.array_max(shares).alias("cover")).where("cover is not null")
     told = checked.groupBy(*KEY).agg(F.collect_set(F.when(F.col("cover") >= COVER, F.col("label"))).alias("own"), F.max("cover").alias("score"))
 
     texts = stage(base.join(told, KEY, "full"), "license-found")

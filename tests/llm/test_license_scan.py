@@ -62,3 +62,14 @@ def test_odd_rows(spark):
     got = sorted((r[:4] for r in result(spark, rows)), key=repr)
     assert got == sorted([(i, *brute(t)) for i, t in rows], key=repr)
     assert result(spark, []) == []
+
+
+def test_every_place_of_a_template_is_checked(spark):
+    """Both versions in one text, in either order, and a wording without its version before the whole one."""
+    wording = {label: text for label, text, _ in TEMPLATES}
+    two, three, filler = wording["gpl-2-text"], wording["gpl-3-text"], "plain words 2 and 3 that say nothing much " * 20
+    rows = [(1, f"{two} {filler} {three}"), (2, f"{three} {filler} {two}"),
+            (3, f"{three.replace('version 3 of the License', 'some version')} {filler} {three}")]
+    rows += [(1000 + i, filler + str(i)) for i in range(60)]
+    got = {r[0]: r[4] for r in result(spark, rows)}
+    assert all({"gpl-2-text", "gpl-3-text"} <= set(got[i]) for i in (1, 2)) and "gpl-3-text" in got[3] and "gpl-2-text" not in got[3]
