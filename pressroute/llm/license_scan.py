@@ -53,8 +53,6 @@ TEMPLATES = [
 #: Highest-IDF words of a template that are in the index, and the share of the highest IDF that a word must have:
 #: common words of the language stay out, or every file would have to be read again.
 INDEXED, LEAST_IDF = 6, 0.5
-#: Highest-IDF indexed words of a file that are looked up, besides those of base phrases all of whose words it has.
-LOOKED_UP = 12
 #: Share of a template's indexed weight that must meet at one place, and of its whole weight that must stand near it.
 MEET, COVER = 0.5, 0.8
 #: Words before and after a template's place that count as near.
@@ -102,9 +100,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``score`` is the largest share of a template's IDF weight found near one of its places, 0 without
     any whose key phrases stand there.
 
-    IDF counts the given documents. Of the indexed words in a file, the highest-IDF ones are looked
-    up; a posting of the index minus the word's place in the file names where a template would
-    start, and postings must meet there. Only files with an indexed word are read again; equal
+    IDF counts the given documents. All indexed words in a file are looked up, and those of base
+    phrases all of whose words it has; a posting of the index minus the word's place in the file
+    names where a template would start, and postings must meet there. Only files with an indexed word are read again; equal
     texts are looked at once.
 
     Null and empty texts have no words, no places and score 0; repeated rows give repeated rows;
@@ -123,9 +121,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = {w: math.log((total + 1) / (counted.get(w, 0) + 0.5)) for w in vocabulary()}
     idf = {w: max(x, 1e-3) for w, x in idf.items()}
     index, templates = _template_frames(spark, idf)
-    indexed = sorted({w for t in _templates(idf) if not t["base"] for w in t["indexed"]}, key=lambda w: (-idf[w], w))
+    indexed = sorted({w for t in _templates(idf) if not t["base"] for w in t["indexed"]})
 
-    looked = F.slice(F.array_intersect(F.lit(indexed), F.col("present")), 1, LOOKED_UP)
+    looked = F.array_intersect(F.lit(indexed), F.col("present"))  # bounded by the fixed templates
     for phrase in BASE_PHRASES:  # its words may be common ones of some language; it can stand only where all of them are
         words = F.lit(_words(phrase))
         looked = F.array_union(looked, F.when(F.size(F.array_except(words, F.col("present"))) == 0, words).otherwise(

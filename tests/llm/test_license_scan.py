@@ -73,3 +73,11 @@ def test_every_place_of_a_template_is_checked(spark):
     rows += [(1000 + i, filler + str(i)) for i in range(60)]
     got = {r[0]: r[4] for r in result(spark, rows)}
     assert all({"gpl-2-text", "gpl-3-text"} <= set(got[i]) for i in (1, 2)) and "gpl-3-text" in got[3] and "gpl-2-text" not in got[3]
+
+
+def test_a_file_with_many_licences_has_all_their_labels(spark):
+    wordings = {label: text for label, text, _ in TEMPLATES}
+    filler = "plain words that say nothing much " * 20
+    rows = [(1, f" {filler} ".join(wordings.values()))] + [(1000 + i, filler + str(i)) for i in range(60)]
+    got = {r[0]: r[4] for r in result(spark, rows)}
+    assert set(wordings) <= set(got[1])
