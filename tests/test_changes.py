@@ -220,3 +220,13 @@ def test_a_value_wider_than_its_field_fails(spark):
     assert sorted(map(tuple, files.read_fixed(spark, path, layout).collect()), key=repr) == [("ab", "1234567890"), (None, "1")]
     with pytest.raises(Exception, match="amount: a value is wider"):
         files.write_fixed(spark.createDataFrame([("ab", 123456789012)], "code string, amount long"), shared_folder(spark, "fixed"), layout)
+
+
+def test_rejects_are_sought_in_the_whole_load(spark, monkeypatch):
+    from pressroute.queries import QUERIES
+
+    seen, found = [], imports.load_rejects
+    monkeypatch.setattr(imports, "load_rejects", lambda raw: (seen.append((raw.count(), raw.where("kind is null").count())), found(raw))[1])
+    codes = [r.code for r in QUERIES["load_rejects"](spark, "/root/testdata/sf0.001").collect()]
+    (whole, good), = seen
+    assert codes and whole > good > whole / 2 and all(int(c[1:]) % 10 == 0 for c in codes)
