@@ -12,9 +12,15 @@ BLOCK_TAGS = frozenset(
     "title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What stands inside is not text of the page.
-SILENT_TAGS = frozenset("script style noscript template svg math iframe object textarea select button head title canvas audio video".split())
+SILENT_TAGS = frozenset("script style template svg foreignobject desc iframe textarea select button head title canvas audio video".split())
 #: A start tag of the key ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What can stand in a head; any other start tag, and text, ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: A start tag among the values ends an open silent element of the key that it stands directly in.
+ENDS_SILENT = {"button": {"button"}, "select": {"select", "input", "textarea", "button"},
+               "svg": frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                                "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())}
 _TOKEN = re.compile(r"[a-z]+")
 #: Attribute of labelled pages: "1" on an element whose text is main text, "0" on one inside it whose text is not.
 LABEL = "data-main"
@@ -73,6 +79,9 @@ class BlockParser(HTMLParser):
         self.text, self.letters, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
+        top = self.stack[-1].tag
+        if top == "head" and tag not in HEAD_TAGS or tag in ENDS_SILENT.get(top, ()):
+            self.stack.pop()
         if tag == "a":
             self.in_link = True
         if tag == "br":
@@ -114,6 +123,8 @@ class BlockParser(HTMLParser):
                 del self.stack[at:]
 
     def handle_data(self, data):
+        if self.stack[-1].tag == "head" and data.strip():
+            self.stack.pop()
         if not self.stack[-1].silent:
             self.text.append(data)
             size = len(data)

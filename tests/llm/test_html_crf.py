@@ -99,3 +99,16 @@ def test_odd_rows(spark, model):
     assert len(got) == len(rows) and by[1] == by[2] == by[3] == by[8] == ""
     assert by[None] == "Hello there." and by[7].count("\n") == 19_999
     assert extract_main_text(pages.where("false"), model).count() == 0
+
+
+def test_an_open_head_and_open_silent_elements_end_as_in_a_browser():
+    from pressroute.llm.html_blocks import blocks_of
+
+    texts = lambda html: [b.text for b in blocks_of(html)]
+    assert texts("<html><head><title>t</title><body><article><p>One.</article>") == ["One."]
+    assert texts("<head><title>t</title><script>x</script><p>One.") == ["One."]
+    assert texts("<head><title>t</title> One.") == ["One."]
+    assert texts("<div><svg><path><p>One.</p></div>") == ["One."]
+    assert texts("<div><button>a<button>b</button> One.</div>") == ["One."]
+    assert texts("<p>Let <math><mi>x</mi></math> be <object>two</object>.") == ["Let x be two."]
+    assert texts("<div><svg><title>a</title><foreignobject><div>b</div></foreignobject></svg>One.</div>") == ["One."]
