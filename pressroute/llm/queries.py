@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressroute.llm.ball_tree_search import search
 from pressroute.llm.bpe import bpe_decode, bpe_encode
 from pressroute.llm.common import train_bucket
 from pressroute.llm.decontaminate import contamination, is_contaminated, words_hit
@@ -129,3 +130,20 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("first_word").cast("long").alias("first_word"), F.col("n_words").cast("long").alias("n_words"), "other_doc_id")
+
+
+@register("op11_ball_tree_search", f"""
+    WITH d AS (SELECT doc_id, {ALNUM_SQL} AS w FROM documents),
+    totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+    i AS (SELECT item_id, unnest(list_distinct({ALNUM_SQL})) AS term FROM benchmark),
+    tf AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, term, count(*) AS tf
+           FROM (SELECT doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+                FROM tf, totals GROUP BY term),
+    scores AS (SELECT item_id, doc_id, CAST(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+               FROM i JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 10""")
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
