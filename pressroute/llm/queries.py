@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pressroute.llm.ball_tree_search import search
 from pressroute.llm.bpe import bpe_decode, bpe_encode
 from pressroute.llm.common import train_bucket
+from pressroute.llm.conversation_repair import damage, plan_repairs, repair_report
 from pressroute.llm.decontaminate import contamination, is_contaminated, words_hit
 from pressroute.llm.exact_dedup import exact_dedup
 from pressroute.llm.html_crf import extract_main_text, labelled_pages, train_extractor
@@ -147,3 +148,10 @@ def op5_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE rank <= 10""")
 def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damage(conversations)
+    return repair_report(conversations, rows, plan_repairs(rows))
