@@ -16,6 +16,7 @@ from pressroute.llm.html_crf import extract_main_text, labelled_pages, train_ext
 from pressroute.llm.language_id import identify_language, train_language_model
 from pressroute.llm.license_scan import scan_licenses
 from pressroute.llm.lm_scoring import score_documents
+from pressroute.llm.minhash import minhash_groups
 from pressroute.llm.sharding import shard_documents
 from pressroute.llm.simhash import simhash_groups
 from pressroute.llm.suffix_dedup import repeated_passages
@@ -155,3 +156,8 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     rows = damage(conversations)
     return repair_report(conversations, rows, plan_repairs(rows))
+
+
+@register("op13_minhash_bbit")
+def op13_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"))
