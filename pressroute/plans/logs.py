@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressroute.functions.dates import format_duration, slot_start
 from pressroute.functions.text import extract_between, first_path_part, query_param
+from pressroute.operators.intervals import aggregate_in_intervals
 from pressroute.operators.joins import split_join
 from pressroute.operators.ordered import next_marked_after, pair_by_rank, ranges
 from pressroute.operators.sets import stack
@@ -63,6 +64,21 @@ def export_status(controls: DataFrame, log: DataFrame) -> DataFrame:
         extract_between("file_line", ': ', "}").alias("file_no"))
 
 
+def export_draw_range(exports: DataFrame, draws: DataFrame, key: str, date: str, times: list[str]) -> DataFrame:
+    """The export runs with ``draw_date_min`` and ``draw_date_max`` of the draws exported in them.
+
+    A draw belongs to every run, from its start to its end, in which one of its export ``times`` falls; runs may
+    overlap. As in the report, only draws dated between the first start and the last end are looked at.
+    """
+    bounds = exports.agg(F.min("export_start").alias("lo"), F.max("export_end").alias("hi"))
+    day = F.col(date).cast("timestamp_ntz")
+    dated = draws.where((day >= bounds.select("lo").scalar()) & (day <= bounds.select("hi").scalar()))
+    points = dated.select(date, F.explode(F.array_compact(F.array(*times))).alias("exported_at"))
+    found = aggregate_in_intervals(exports, [key], "export_start", "export_end", points, "exported_at",
+                                   {"draw_date_min": (F.min, date), "draw_date_max": (F.max, date)})
+    return exports.join(found, key, "left")
+
+
 def transfer_seconds(transfers: DataFrame) -> DataFrame:
     def took(a, b):
         return F.timestamp_diff("SECOND", F.date_trunc("second", a), F.date_trunc("second", b))

@@ -35,6 +35,11 @@ FRAMES: dict[str, str] = {
                CAST(sum(CASE WHEN event_id % 5 = 0 THEN 1 END) AS BIGINT) AS adj_amount,
                CAST(sum(CASE WHEN event_id % 7 = 0 THEN -1 END) AS BIGINT) AS adj_admin_amount
         FROM events GROUP BY user_id, event_type, CAST(ts AS DATE), extract(dow FROM ts)""",
+    "draw_exports": """
+        SELECT user_id AS account_id, event_type AS publication, CAST(ts AS DATE) AS draw_date,
+               max(CASE WHEN event_id % 4 = 0 THEN ts + to_hours(event_id % 40) END) AS ret_exported_at,
+               max(CASE WHEN event_id % 5 = 0 THEN ts + to_hours(event_id % 40) + INTERVAL 1 DAY END) AS adj_exported_at
+        FROM events GROUP BY ALL""",
     "audits": """
         SELECT user_id AS account_id, event_type AS publication, CAST(ts AS DATE) AS draw_date, ts AS audit_time,
                event_id, event_id % 6 AS audit_user_id, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS audit_value,

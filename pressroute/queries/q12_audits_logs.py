@@ -104,6 +104,25 @@ def export_status(t):
     return logs.export_status(controls, t.system_log)
 
 
+@query("export_draw_range", "system_log draw_exports", f"""
+    WITH m AS (SELECT group_id, min(logged_at) FILTER (WHERE message LIKE 'signup%') AS b, max(logged_at) FILTER (WHERE message LIKE 'purchase%' OR message LIKE 'click%') AS e,
+                      arg_max(CASE WHEN message LIKE 'purchase%' THEN 'SUCCESS' ELSE 'FAILURE' END, (logged_at, log_id))
+                          FILTER (WHERE message LIKE 'purchase%' OR message LIKE 'click%') AS status FROM system_log GROUP BY group_id),
+    x AS (SELECT c_custkey AS group_id, c_mktsegment AS export_type, n_name AS user_name, b, e, status
+          FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN m ON group_id = c_custkey),
+    d AS (SELECT * FROM draw_exports WHERE draw_date >= (SELECT min(b) FROM x) AND draw_date <= (SELECT max(e) FROM x)),
+    p AS (SELECT draw_date, ret_exported_at AS t FROM d UNION ALL SELECT draw_date, adj_exported_at FROM d),
+    r AS (SELECT group_id, min(draw_date) AS lo, max(draw_date) AS hi FROM x JOIN p ON t BETWEEN b AND e GROUP BY group_id)
+    SELECT group_id, export_type, user_name, CAST(b AS VARCHAR) AS export_start, CAST(e AS VARCHAR) AS export_end, status,
+           CAST(lo AS VARCHAR) AS draw_date_min, CAST(hi AS VARCHAR) AS draw_date_max FROM x LEFT JOIN r USING (group_id)""")
+def export_draw_range(t):
+    """Export runs with user and type, and the first and last date of the draws exported in each."""
+    users = t.table("nation").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("user_name"))
+    controls = t.table("customer").select(F.col("c_custkey").alias("group_id"), F.col("c_mktsegment").alias("export_type"), F.col("c_nationkey").alias("user_id"))
+    exports = logs.export_status(controls.join(users, "user_id", "left").drop("user_id"), t.system_log).drop("duration", "file_no")
+    return logs.export_draw_range(exports, t.draw_exports, "group_id", "draw_date", ["ret_exported_at", "adj_exported_at"])
+
+
 @query("transfer_times", "transfers", """
     WITH x AS (SELECT transfer_id, mfst_code, drops, date_diff('second', date_trunc('second', dl_start), date_trunc('second', dl_end)) AS dl_seconds,
         date_diff('second', date_trunc('second', ul_start), date_trunc('second', ul_end)) AS ul_seconds FROM transfers)

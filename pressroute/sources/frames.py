@@ -91,6 +91,16 @@ class Frames:
             F.sum(F.when(F.col("event_id") % 7 == 0, -1)).alias("adj_admin_amount"),
         )
 
+    @cached_property
+    def draw_exports(self) -> DataFrame:
+        """When the returns and the adjustments of a daily draw were last exported: hours after the entry, the latter a day later."""
+        i = F.col("event_id")
+        later = F.make_dt_interval(hours=(i % 40).cast("int"))
+        return self.table("events").groupBy(
+            F.col("user_id").alias("account_id"), F.col("event_type").alias("publication"), F.to_date("ts").alias("draw_date")).agg(
+            F.max(F.when(i % 4 == 0, F.col("ts") + later)).alias("ret_exported_at"),
+            F.max(F.when(i % 5 == 0, F.col("ts") + later + F.expr("interval 1 day"))).alias("adj_exported_at"))
+
     @cached_property
     def audit_events(self) -> DataFrame:
         """Audit entries without their version number."""
