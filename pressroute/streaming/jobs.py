@@ -6,7 +6,9 @@ on file. Event times carry a watermark, so state is dropped when its time has pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pressroute.functions.dates import slot_start
 from pressroute.plans.logs import transfer_state
@@ -64,11 +66,119 @@ def stream_runs(starts: DataFrame, ends: DataFrame, run: str, delay: str, horizo
     return s.join(e, within, "leftOuter").drop("__run")
 
 
-def capture(sdf: DataFrame, path: str, checkpoint: str):
-    """Append through foreachBatch; a repeated batch overwrites its own folder, so nothing doubles."""
+def stream_pairs(messages: DataFrame, keys: list[str], ts: str, row: str, is_start: str, delay: str, horizon_seconds: int) -> DataFrame:
+    """Each start with the first end of the same keys strictly after it and within the horizon; messages carry no run id.
+
+    ``messages`` has ``keys``, a time, the id of the message and whether it is a start (else an end). Give the
+    result to ``capture`` in update mode: a start is told at once with no end, and again when an end is found or,
+    since rows arrive out of order, an earlier one. ``latest_versions`` keeps the last word. The state of a key
+    holds the starts whose horizon is still open and the ends that a start yet to come may need; an event-time
+    timer drops what the watermark has passed, so a lost end leaves its start without one and costs no state.
+    """
+    horizon = horizon_seconds * 1_000_000
+    kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    rows = event_time(messages, ts, delay).withColumn("__micros", F.unix_micros(F.col(ts)))
+    out = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, {row} {kinds[row]}, started_micros long, ended_micros long"
+
+    def pair(key, frames: Iterator, state) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        starts, ids, known, ends = (np.array(c, np.int64) for c in (state.get if state.exists else ([], [], [], [])))
+        before = len(starts)
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames))
+            opened = new[new[is_start].astype(bool)]
+            starts = np.concatenate([starts, opened["__micros"].to_numpy(np.int64)])
+            ids = np.concatenate([ids, opened[row].to_numpy(np.int64)])
+            known = np.concatenate([known, np.zeros(len(opened), np.int64)])
+            ends = np.sort(np.concatenate([ends, new.loc[~new[is_start].astype(bool), "__micros"].to_numpy(np.int64)]))
+            place = np.searchsorted(ends, starts, side="right")
+            following = np.append(ends, 0)[place]
+            found = np.where((place < len(ends)) & (following - starts <= horizon), following, 0)
+            # an end that has left the state stays known: it is before all that may still come
+            found = np.where((known != 0) & ((found == 0) | (known < found)), known, found)
+            told = (found != known) | (np.arange(len(starts)) >= before)
+            known = found
+            if told.any():
+                yield pd.DataFrame({**{k: [v] * int(told.sum()) for k, v in zip(keys, key)}, row: ids[told], "started_micros": starts[told],
+                                    "ended_micros": pd.array([None if e == 0 else int(e) for e in known[told]], "Int64")})
+        passed = state.getCurrentWatermarkMs() * 1000
+        keep = starts + horizon > passed
+        starts, ids, known, ends = starts[keep], ids[keep], known[keep], ends[ends > passed]
+        if len(starts) == 0 and len(ends) == 0:
+            state.remove()
+        else:
+            state.update(tuple(c.tolist() for c in (starts, ids, known, ends)))
+            due = [*([int(starts.min()) + horizon] if len(starts) else []), *([int(ends.min())] if len(ends) else [])]
+            state.setTimeoutTimestamp(max(min(due), passed) // 1000 + 1)
+
+    paired = rows.select(*keys, ts, row, is_start, "__micros").groupBy(*keys).applyInPandasWithState(
+        pair, out, "starts array<long>, ids array<long>, known array<long>, ends array<long>", "update", "EventTimeTimeout")
+    return paired.select(*keys, row, *[F.timestamp_micros(f"{c}_micros").cast("timestamp_ntz").alias(c) for c in ("started", "ended")])
+
+
+def capture(sdf: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda batch: batch, mode: str = "append"):
+    """Append ``each(batch)`` through foreachBatch; a repeated batch overwrites its own folder, so nothing doubles.
+
+    The checkpoint commits a batch after its folder is written. A job that ends between the two, or at any other
+    place, goes on from the checkpoint when it is started anew: the batch has its old number and rows.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        each(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return (sdf.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+            .foreachBatch(write).start())
+
+
+def captured(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``capture`` has written, with the number of the ``batch`` of each row."""
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").withColumn(
+        "batch", F.regexp_extract(F.col("_metadata.file_path"), "batch=([0-9]+)", 1).cast("long"))
+
+
+def latest_versions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows told several times, the one of the last batch."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*keys, "__r.*")
+
+
+def slot_parts(ts: str, width: str, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """For ``capture``: the entries of a batch by time slot and key. No state is kept and no row is too late to count."""
+    def count(batch: DataFrame) -> DataFrame:
+        at = F.col(ts).cast("timestamp")
+        return batch.groupBy(F.window(at, width)["start"].cast("timestamp_ntz").alias("slot"), *keys).agg(
+            F.count(F.lit(1)).alias("entries"), F.max(at).cast("timestamp_ntz").alias("newest"))
+    return count
+
+
+def merged_slots(parts: DataFrame, keys: list[str], width: Column, delay: Column) -> DataFrame:
+    """``slot, keys, entries, late_entries`` of the parts of all batches.
+
+    ``late_entries`` came when their slot was closed: its end was ``delay`` or more before the newest time of the
+    batches before. A report that printed closed slots corrects itself by them; ``entries`` has them in.
+    """
+    newest = parts.groupBy("batch").agg(F.max("newest").alias("newest"))
+    earlier = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # one row a batch
+    closed = newest.select("batch", (F.max("newest").over(earlier) - delay).alias("closed"))
+    late = F.coalesce(F.col("slot") + width <= F.col("closed"), F.lit(False))
+    return parts.join(closed, "batch").groupBy("slot", *keys).agg(
+        F.sum("entries").alias("entries"), F.sum(F.when(late, F.col("entries")).otherwise(0)).alias("late_entries"))
+
+
+def as_files_arrive(rows: DataFrame, arrived: Column, files: int, purpose: str) -> Iterator[DataFrame]:
+    """The rows as a stream over a folder that grows by one delivery at a time, in order of ``arrived``.
+
+    Yields the stream again after each delivery: a job driven over every one of them is restarted from its
+    checkpoint as often, and sees a micro-batch or more each time. Deliveries are cut at quantiles.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark, purpose)
+    at = F.unix_micros(arrived.cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10_000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(at > low)
+        (part if high is None else part.where(at <= high)).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
 
 
 def with_open_slots(closed: DataFrame, rows: DataFrame, ts: str, width: str, keys: list[str]) -> DataFrame:

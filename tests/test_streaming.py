@@ -83,3 +83,66 @@ def test_capture_repeats_nothing(spark, files):
 def test_quarter_hours(spark, files):
     out = jobs.quarter_hours(spark.read.parquet(f"{files}/tmp*"), "ts")
     assert out.agg(F.sum("entries")).first()[0] == 4 * 72
+
+
+def test_a_crash_between_write_and_commit_doubles_nothing(spark, files):
+    path, state = shared_folder(spark, "crash"), shared_folder(spark, "crash-state")
+    seen = []
+
+    class Crash(Exception):
+        pass
+
+    def write(batch, batch_id):  # as in capture, but the first try at the second batch dies after its folder is written
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        seen.append(batch_id)
+        if batch_id == 1 and seen.count(1) == 1:
+            raise Crash
+
+    job = (stream(spark, files).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start())
+    with pytest.raises(Exception):
+        job.awaitTermination(120)
+    assert spark.read.parquet(path).count() == 2 * 72
+    assert jobs.capture(stream(spark, files), path, state).awaitTermination(120)
+    rows = jobs.captured(spark, path, stream(spark, files).schema)
+    assert rows.count() == rows.select("id").distinct().count() == 4 * 72
+    assert sorted(r.batch for r in rows.select("batch").distinct().collect()) == [0, 1, 2, 3]
+
+
+def deliveries(spark, rows, arrived, files):
+    return jobs.as_files_arrive(rows, arrived, files, "deliveries")
+
+
+def test_slots_of_files_out_of_order_are_exact(spark, files):
+    rows = spark.read.parquet(f"{files}/tmp*")
+    path, state = shared_folder(spark, "slots"), shared_folder(spark, "slots-state")
+    backwards = F.lit(T0) - (F.col("ts") - F.lit(T0))
+    for s in deliveries(spark, rows, backwards, 3):
+        assert jobs.capture(s, path, state, each=jobs.slot_parts("ts", "15 minutes", ["user"])).awaitTermination(120)
+    parts = jobs.captured(spark, path, "slot timestamp_ntz, user string, entries long, newest timestamp_ntz")
+    got = jobs.merged_slots(parts, ["user"], F.expr("interval 15 minutes"), F.expr("interval 10 minutes"))
+    want = rows.groupBy(F.window("ts", "15 minutes").start.alias("slot"), "user").agg(F.count(F.lit(1)).alias("entries"))
+    assert sorted((r.slot, r.user, r.entries) for r in got.collect()) == sorted(map(tuple, want.collect()))
+    late = {r.slot: r.late_entries for r in got.groupBy("slot").agg(F.sum("late_entries").alias("late_entries")).collect()}
+    assert late[T0] == 3 and late[T0 + dt.timedelta(hours=23, minutes=45)] == 0
+
+
+@pytest.mark.parametrize("horizon", [300, 4000])
+def test_pairs_of_messages_without_a_run_id(spark, horizon):
+    """Starts and ends of hot and rare keys, out of order inside and across deliveries, ends lost, equal times."""
+    import random
+
+    rng = random.Random(horizon)
+    log = [(i, rng.choice("aaab"), T0 + dt.timedelta(seconds=rng.randrange(20_000)), rng.random() < 0.6) for i in range(400)]
+    log += [(900 + i, "lost", T0 + dt.timedelta(seconds=100 * i), True) for i in range(5)]
+    rows = spark.createDataFrame(log, "id long, key string, at timestamp_ntz, opens boolean")
+    path, state = shared_folder(spark, "pairs"), shared_folder(spark, "pairs-state")
+    for s in deliveries(spark, rows, F.col("at") + F.make_dt_interval(secs=(F.col("id") % 500).cast("decimal(18,6)")), 3):
+        sdf = jobs.stream_pairs(s, ["key"], "at", "id", "opens", "15 minutes", horizon)
+        assert jobs.capture(sdf, path, state, mode="update").awaitTermination(120)
+    got = jobs.latest_versions(jobs.captured(spark, path, sdf.schema), ["key", "id"])
+    want = []
+    for i, key, at, opens in log:
+        if opens:
+            later = [e for _, k, e, o in log if k == key and not o and at < e <= at + dt.timedelta(seconds=horizon)]
+            want.append((key, i, at, min(later, default=None)))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
