@@ -2,8 +2,9 @@
 
 Time is cut into leaves of one second, and leaves into a binary tree: node n of level k holds the leaves
 n * 2^k .. (n + 1) * 2^k - 1. The leaves between an interval's first and last one are covered by two nodes a
-level at most, and the points below each node are aggregated once for all intervals. Only the points in an
-interval's first and last second are compared with its ends, one row for each distinct instant.
+level at most (and by all nodes of the highest level between), and the points below each node are aggregated
+once for all intervals. Only the points in an interval's first and last second are compared with its ends, one
+row for each distinct instant.
 """
 
 from __future__ import annotations
@@ -15,19 +16,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressroute.operators.joins import split_join
 
 LEAF_MICROS = 1_000_000
-#: Enough for leaves of every date that Spark knows.
-MOST_LEVELS = 50
+#: Levels of the tree: a node of the highest holds six days.
+LEVELS = 20
 
 
-def covering_nodes(first: Column, last: Column, levels: int) -> Column:
+def covering_nodes(first: Column, last: Column, levels: int = LEVELS) -> Column:
     """The nodes ``(level, node)`` that hold the leaves ``first`` to ``last``, each once; empty if last is before first."""
+    def named(level, node):
+        return F.struct(F.lit(level).alias("level"), node.cast("long").alias("node"))
+
     nodes = []
     for level in range(levels):
         size = 1 << level
         low, high = F.floor((first + (size - 1)) / size), F.floor((last + 1) / size)  # whole nodes from low to before high
-        for node, odd in ((low, low), (high - 1, high)):
-            nodes.append(F.when((low < high) & (F.pmod(odd, F.lit(2)) == 1), F.struct(F.lit(level).alias("level"), node.cast("long").alias("node"))))
-    return F.array_compact(F.array(*nodes))
+        if level == levels - 1:
+            top = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda node: named(level, node)))
+        else:
+            nodes += [F.when((low < high) & (F.pmod(odd, F.lit(2)) == 1), named(level, node)) for node, odd in ((low, low), (high - 1, high))]
+    return F.concat(F.array_compact(F.array(*nodes)), F.coalesce(top, F.array().cast("array<struct<level:int,node:bigint>>")))
 
 
 def aggregate_in_intervals(intervals: DataFrame, keys: list[str], start: str, stop: str, points: DataFrame, at: str,
@@ -50,17 +56,13 @@ def aggregate_in_intervals(intervals: DataFrame, keys: list[str], start: str, st
         *[fn(column).alias(name) for name, (fn, column) in aggregates.items()])
     spans = intervals.where(F.col(start) <= F.col(stop)).select(*keys, micros(start).alias("__start"), micros(stop).alias("__stop")).withColumns(
         {"__first": leaf(F.col("__start")), "__last": leaf(F.col("__stop"))})
-    longest = spans.agg(F.max(F.col("__last") - F.col("__first"))).first()[0] or 0
-    levels = min(MOST_LEVELS, int(longest).bit_length())
-
     edges = spans.withColumn("__leaf", F.explode(F.array_distinct(F.array("__first", "__last"))))
     inside = edges.join(instants.withColumn("__leaf", leaf(F.col("__at"))), "__leaf").where("__at between __start and __stop")
-    found = inside.groupBy(*keys).agg(*again)
-    if levels:
-        leaves = instants.groupBy(leaf(F.col("__at")).alias("__leaf")).agg(*again)
-        above = F.array(*[F.struct(F.lit(level).alias("level"), F.floor(F.col("__leaf") / (1 << level)).cast("long").alias("node"))
-                          for level in range(levels)])
-        nodes = leaves.select(F.explode(above).alias("__n"), *aggregates).select("__n.level", "__n.node", *aggregates).groupBy("level", "node").agg(*again)
-        cover = spans.select(*keys, F.explode(covering_nodes(F.col("__first") + 1, F.col("__last") - 1, levels)).alias("__n")).select(*keys, "__n.level", "__n.node")
-        found = found.unionByName(split_join(cover, nodes, ["level", "node"]).groupBy(*keys).agg(*again)).groupBy(*keys).agg(*again)
-    return found
+    above = F.array(*[F.struct(F.lit(level).alias("level"), F.floor(F.col("__leaf") / (1 << level)).cast("long").alias("node"))
+                      for level in range(LEVELS)])
+    leaves = instants.groupBy(leaf(F.col("__at")).alias("__leaf")).agg(*again)
+    nodes = leaves.select(F.explode(above).alias("__n"), *aggregates).select("__n.level", "__n.node", *aggregates).groupBy("level", "node").agg(*again)
+    between = covering_nodes(F.col("__first") + 1, F.col("__last") - 1)
+    cover = spans.select(*keys, F.explode(between).alias("__n")).select(*keys, "__n.level", "__n.node")
+    whole = split_join(cover, nodes, ["level", "node"]).groupBy(*keys).agg(*again)
+    return inside.groupBy(*keys).agg(*again).unionByName(whole).groupBy(*keys).agg(*again)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressroute.operators.changes import classify_load
 from pressroute.operators.aggregates import unpivot_week
 from pressroute.operators.joins import anti, match, with_weekday_dates
+from pressroute.session import shared_folder
 from pressroute.sources.tables import staged
 
 
@@ -69,6 +70,23 @@ def on_file_dates(base: DataFrame, load: DataFrame, date: str = "draw_date") ->
     return near.join(listed, on, "left_semi").select(base.columns), base.join(listed, on, "left_anti").select(base.columns)
 
 
+def fold_load(base: DataFrame, load: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Each key of either side once, with ``old_x``, ``new_x``, its ``action`` (insert, update, same or missing from the
+    load) and how many rows ``__n`` the load has for it, of which the one with the highest values counts.
+
+    The sides are stacked and folded in one aggregate with map-side combine; nothing is joined.
+    """
+    kinds = {c: base.schema[c].dataType for c in columns}
+    values = F.struct(*[F.col(c).cast(kinds[c]).alias(c) for c in columns])
+    nothing = F.lit(None)
+    of_base = base.select(*keys, values.alias("old"), nothing.cast(f"struct<{', '.join(f'{c}: {kinds[c].simpleString()}' for c in columns)}>").alias("new"))
+    of_load = load.select(*keys, nothing.cast(of_base.schema["old"].dataType).alias("old"), values.alias("new"))
+    folded = of_base.unionByName(of_load).groupBy(*keys).agg(F.max("old").alias("old"), F.max("new").alias("new"), F.count("new").alias("__n"))
+    action = (F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "missing")
+              .when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("update"))
+    return folded.select(*keys, *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in columns], action.alias("action"), "__n")
+
+
 def import_draws(base: DataFrame, load: DataFrame, defaults: DataFrame, keys: list[str], changed_at: Column,
                  change_type: int, folder: str | None = None, fill: bool = False) -> dict[str, DataFrame]:
     """Load a file into the dated draws.
@@ -79,16 +97,19 @@ def import_draws(base: DataFrame, load: DataFrame, defaults: DataFrame, keys: li
     once, of which one row was loaded. ``missing``: default amounts for pairs due on a date of the file
     that the file does not hold; with ``fill`` they are inserted, with a history row each.
 
-    Amount and rate are compared, and the delivery date where both sides have one. One full join on the
-    file's dates decides; the counts of table changes and history rows agree because both come from it.
-    With a ``folder`` its result is written there first, so that writing all outputs runs the join once.
+    Amount and rate are compared, and the delivery date where both sides have one. The load is written once, since its
+    dates pick the table's rows. Rows of the file and of the table on its dates are stacked and folded by key in one
+    aggregate, which decides; the counts of table changes and history rows agree because both come from it.
+    With a ``folder`` its result is written there first, so that writing all outputs folds once.
     """
+    spark = base.sparkSession
     columns = ["draw_amount", "draw_rate"] + (["delivery_date"] if "delivery_date" in base.columns and "delivery_date" in load.columns else [])
-    once, duplicates = split_repeated(load.select(*keys, *columns), keys)
+    load = staged(load, shared_folder(spark, "import-load"))
     touched, untouched = on_file_dates(base.select(*keys, *columns), load)
-    classed = classify_load(touched, once, keys, columns)
+    classed = fold_load(touched, load, keys, columns)
     if folder is not None:
         classed = staged(classed, folder)
+    duplicates = classed.where("__n > 1").select(*keys, (F.col("__n") - 1).alias("removed"))
     changed = classed.select(*keys, *[
         F.when(F.col("action").isin("insert", "update"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c)
         for c in columns])

@@ -95,6 +95,19 @@ def diff_tables(t):
     return sets.diff_tables(t.load_base, t.load, ["account_id", "publication_id", "draw_date"], ["draw_amount", "draw_rate"])
 
 
+@query("differing_rows", "load load_base", """
+    SELECT account_id, publication_id, CAST(draw_date AS VARCHAR) AS draw_date, b.draw_amount AS left_draw_amount,
+           l.draw_amount AS right_draw_amount, CAST(b.draw_rate AS DOUBLE) AS left_draw_rate, CAST(l.draw_rate AS DOUBLE) AS right_draw_rate,
+           CASE WHEN l.draw_amount IS NULL THEN 'left only' WHEN b.draw_amount IS NULL THEN 'right only' ELSE 'changed' END AS status
+    FROM load_base b FULL JOIN load l USING (account_id, publication_id, draw_date)
+    WHERE b.draw_amount IS DISTINCT FROM l.draw_amount OR b.draw_rate IS DISTINCT FROM l.draw_rate""")
+def differing_rows(t):
+    """Only the rows that differ, from the months and buckets whose checksums do."""
+    month = F.date_format("draw_date", "yyyy-MM")
+    return sets.differing_rows(t.load_base.withColumn("month", month), t.load.withColumn("month", month),
+                               ["account_id", "publication_id", "draw_date"], ["draw_amount", "draw_rate"], "month")
+
+
 @query("recursive_dates", "draw_lines", """
     SELECT CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS n
     FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day)

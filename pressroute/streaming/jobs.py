@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pressroute.functions.dates import slot_start
+from pressroute.operators.ordered import ranges
 from pressroute.plans.logs import transfer_state
 from pressroute.session import shared_folder
 
@@ -173,11 +174,10 @@ def as_files_arrive(rows: DataFrame, arrived: Column, files: int, purpose: str)
     """
     spark = rows.sparkSession
     folder = shared_folder(spark, purpose)
-    at = F.unix_micros(arrived.cast("timestamp"))
-    cuts = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10_000)).first()[0] or []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows if low is None else rows.where(at > low)
-        (part if high is None else part.where(at <= high)).write.mode("append").parquet(folder)
+    timed = rows.withColumn("__arrived", arrived)
+    number = ranges(timed, "__arrived", rows_per_range=1 << 60, least=files)
+    for delivery in range(files):
+        timed.where(number == delivery).drop("__arrived").write.mode("append").parquet(folder)
         yield spark.readStream.schema(rows.schema).parquet(folder)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from pressroute.operators import aggregates as agg, changes
+from pressroute.operators import aggregates as agg, changes, sets
 from pressroute.plans import accounts, audits, imports
 from pressroute.plans.fixtures import random_returns
 from pressroute.session import shared_folder
@@ -79,6 +79,34 @@ def test_import_reads_the_months_of_the_file_only(spark):
     assert metrics and metrics[0][1] == 1  # of twelve
 
 
+@pytest.mark.parametrize("changes_,files_read", [({}, 0), ({dt.date(2023, 6, 3): 6}, 1), ({dt.date(2023, 6, 3): 6, dt.date(2023, 8, 9): None}, 3)])
+def test_tables_are_compared_where_their_checksums_differ(spark, changes_, files_read):
+    """Equal tables are not read again; of others the months between the first and the last difference."""
+    columns = "account_id long, draw_date date, draw_amount long"
+    days = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(365)]
+    left = [(i % 40, d, 5) for i, d in enumerate(days)]
+    right = [(i, d, changes_.get(d, 5)) for i, d, _ in left if changes_.get(d, 5) is not None]
+    paths = [shared_folder(spark, "compared") for _ in range(2)]
+    for path, rows in zip(paths, (left, right)):
+        tables.write_by_month(spark.createDataFrame(rows, columns), path, "draw_date")
+    out = sets.differing_rows(*[spark.read.parquet(p) for p in paths], ["account_id", "draw_date"], ["draw_amount"], "month", buckets=4)
+    got = {r.draw_date: (r.status, r.right_draw_amount) for r in out.collect()}
+    assert got == {d: ("changed", v) if v else ("left only", None) for d, v in changes_.items()}
+    read = [v for n, v in _metrics(out._jdf.queryExecution().executedPlan()) if n == "number of files read"]
+    assert any(read) == bool(files_read) and all(v <= files_read for v in read)
+
+
+def test_repeated_and_null_rows_change_the_checksums(spark):
+    def differs(a, b):
+        schema = "k long, v long"
+        return sorted(r.status for r in sets.differing_rows(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["k"], ["v"], buckets=2).collect())
+
+    assert differs([(1, 5), (2, None)], [(2, None), (1, 5)]) == []
+    assert differs([(1, 5)], [(1, None)]) == ["changed"]
+    assert differs([(1, 5)], [(1, 5), (3, 1), (3, 1)]) == ["right only", "right only"]
+    assert differs([], []) == []
+
+
 def _metrics(plan):
     """(name, value) of the metrics of all nodes of an executed plan."""
     plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
