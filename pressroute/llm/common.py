@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressroute.session import shared_folder
@@ -21,6 +24,40 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class RecentCache(dict):
+    """What a worker has worked out lately, by key, in about ``most`` bytes.
+
+    Entries come in two halves; when the younger is full it becomes the older, which is dropped. What is asked
+    for again moves to the younger half, so frequent keys stay.
+    """
+
+    #: What an entry takes beside its key and value.
+    ENTRY = 100
+
+    def __init__(self, work: Callable, most: int):
+        super().__init__()
+        self.work, self.half, self.held, self.older = work, most // 2, 0, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.work(key)
+        size = self.ENTRY + sys.getsizeof(key) + sys.getsizeof(found)
+        if size * 64 > self.half:  # a few large entries must not push out all others
+            return found
+        if self.held + size > self.half:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = found
+        self.held += size
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, everything else unchanged. Texts of ASCII alone take the faster ``lower``, which does the same there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

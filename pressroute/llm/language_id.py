@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from pressroute.llm.bpe import Vocabulary, vocabulary
 from pressroute.llm.common import stage
 
-#: Words whose log-probabilities a worker keeps between texts.
-CACHED_WORDS = 500_000
+#: Words whose log-probabilities a worker keeps between texts of a task, about 250 bytes each.
+CACHED_WORDS = 60_000
 #: Bytes up to which plain products cannot underflow; longer words go by logarithms.
 SHORT = 40
 ROWS_PER_BATCH = 256
@@ -102,11 +103,14 @@ class WordScores(dict):
         self[word] = row
         return row
 
+    def forget(self) -> None:
+        self.clear()
+        self.logs = np.zeros((4096, self.size))
+
     def text(self, words: list[str]) -> np.ndarray:
         """Log-probability of a text's words in each language."""
         if len(self) >= CACHED_WORDS:
-            self.clear()
-            self.logs = np.zeros((4096, self.size))
+            self.forget()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.logs[rows].sum(axis=0)
 
@@ -152,8 +156,7 @@ def train_language_model(labelled: DataFrame, path: str, text_col: str = "text",
         "text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages, grain = sorted(sizes), 1 << 30
-    voc, name = vocabulary(path), f"{id(labelled)}-{spark.sparkContext.applicationId}-{len(_names)}"
-    _names.append(name)
+    voc, name = vocabulary(path), uuid.uuid4().hex
     table = np.full((len(languages), max(voc.tokens) + 1), 1.0 / len(voc.tokens))
     if not languages:
         return LanguageModel(path, languages, table, name)
@@ -193,9 +196,6 @@ def train_language_model(labelled: DataFrame, path: str, text_col: str = "text",
     return LanguageModel(path, languages, table, name)
 
 
-_names: list[str] = []
-
-
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None,
                       names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """The columns of ``keep`` with the language and its score (0 to 1) under ``names``, from the whole text alone.
@@ -209,12 +209,15 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     keep = keep or []
 
     def predict(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
-                part = batch.slice(at, ROWS_PER_BATCH)
-                found = [model.predict(t.as_py()) for t in part.column(len(keep))]
-                yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array([f[0] for f in found], pa.string()),
-                                       pa.array([f[1] for f in found], pa.float64())], [*keep, *names])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+                    part = batch.slice(at, ROWS_PER_BATCH)
+                    found = [model.predict(t.as_py()) for t in part.column(len(keep))]
+                    yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array([f[0] for f in found], pa.string()),
+                                           pa.array([f[1] for f in found], pa.float64())], [*keep, *names])
+        finally:
+            model.scores().forget()
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)

@@ -1,10 +1,10 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised: count c has level 1 + floor(log2(c / unit)). An n-gram is put
+Counts of words and word pairs are quantised: count c has level 1 + floor(log2(c)). An n-gram is put
 into the filter once for each level up to its own, so asking for level 1, 2, .. until one is missing gives the
 level back, and never too small a one.
 
-Every word and pair of the corpus is kept (unit 1), so the filter grows with the corpus. It is cut into parts by
+Every word and pair of the corpus is kept, so the filter grows with the corpus. It is cut into parts by
 ranges of the n-grams' hashes and never gathered in one place: the distinct n-grams of some texts are sent to the
 parts that hold them, and the levels found are sent back to where the texts' scores are added up.
 """
@@ -26,17 +26,17 @@ from pressroute.operators.joins import split_join
 END = "\n"
 #: Bits of the filter for each entry, and probes for each.
 BITS, PROBES = 10, 3
-#: If set, the unit is the training tokens over this, 1 at least, and n-grams counted less often have no entry.
-RAREST: int | None = None
-#: Training tokens for each part of the filter, if that makes more parts than Spark's shuffles have.
-PART_TOKENS = 4_000_000
+#: Training tokens for each part of the filter, and the fewest parts. Nothing else decides how many there are, since
+#: the filter's mistakes, and with them the scores, hang on it.
+PART_TOKENS, LEAST_PARTS = 4_000_000, 16
 #: Weight of the word's own probability against the pair's count.
 PRIOR = 500.0
 #: Most common words whose exact counts are broadcast, and the bytes a word among them may have: 30 MB at most.
 COMMON_WORDS, COMMON_BYTES = 300_000, 64
-CACHED_WORDS = 400_000
+#: Words that a worker keeps while it reads a task, about 200 bytes each.
+CACHED_WORDS = 60_000
 #: Pairs a task gathers before it sums and hands them on.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 #: Tokens read together, and tokens whose n-grams are looked up together.
 TOKENS_AT_ONCE, LOOKED_UP = 200_000, 2_000_000
 
@@ -72,12 +72,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END.encode()]
 
 
-def levels(counts: np.ndarray, unit: int) -> np.ndarray:
+def levels(counts: np.ndarray, unit: int = 1) -> np.ndarray:
     """0 below one unit, 1 from there, one more with each doubling."""
     return np.frexp((counts // unit).astype(np.float64))[1]
 
 
-def count_of_level(level: np.ndarray, unit: int) -> np.ndarray:
+def count_of_level(level: np.ndarray, unit: int = 1) -> np.ndarray:
     """The middle of the counts that have this level; 0 for level 0."""
     return np.where(level > 0, (3 * unit * np.exp2(level.astype(np.float64) - 1) - 1) / 2, 0.0)
 
@@ -90,8 +90,6 @@ def _place(grams: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.nd
 def make_bits(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The bytes of a filter that holds every n-gram up to its level."""
     size = max(64, int(level.sum()) * BITS + 7 & ~7)
-    if size >> 32:
-        raise ValueError("a part of the filter has over 2**32 bits: raise spark.sql.shuffle.partitions")
     bits = np.zeros(size, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
         reached = grams[level >= at]
@@ -229,44 +227,43 @@ def gather_words(counts: DataFrame, parts: int) -> DataFrame:
     return counts.select("token", "c").mapInArrow(gather, "part int, grams binary, counts binary")
 
 
-def build_filter(gathered: DataFrame, unit: int) -> DataFrame:
+def build_filter(gathered: DataFrame) -> DataFrame:
     """``part, bits``: the filter's parts. Each has its own size, by the entries it holds."""
     def build(frame):
         import pandas as pd
 
         grams = np.concatenate([_unpack_grams(x) for x in frame["grams"]])
         grams, counts = _summed(grams, np.concatenate([_unpack(x, np.int64) for x in frame["counts"]]))
-        level = levels(counts, unit)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [make_bits(grams[level > 0], level[level > 0]).tobytes()]})
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [make_bits(grams, levels(counts)).tobytes()]})
 
     return gathered.groupBy("part").applyInPandas(build, "part int, bits binary")
 
 
 class _Words(dict):
-    """This worker's words: hash, the filter's estimate and the exact count if the word is common (else -1)."""
+    """This worker's words: hash, and the exact count if the word is common (else -1)."""
 
-    def __init__(self, held: Filter, common: dict[bytes, int], unit: int):
+    def __init__(self, common: dict[bytes, int]):
         super().__init__()
-        self.held, self.common, self.unit = held, common, unit
-        self.hash, self.estimate, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+        self.common = common
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.hash, self.exact = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         if len(self) > CACHED_WORDS:
-            self.clear()
-            self.hash, self.estimate, self.exact = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+            self.forget()
         fresh = [w for w in set(words) if w not in self]
         if fresh:
             hashes = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))
-            numbers = number(word_gram(hashes), self.held.parts)
-            found = self.held.level(numbers, part_of(numbers))
             self.update(zip(fresh, range(len(self), len(self) + len(fresh))))
             self.hash = np.concatenate([self.hash, hashes])
-            self.estimate = np.concatenate([self.estimate, count_of_level(found, self.unit)])
             self.exact = np.concatenate([self.exact, np.fromiter((self.common.get(w, -1) for w in fresh), np.int64, len(fresh))])
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-_state: dict[tuple, tuple] = {}
+_state: dict[str, _Words] = {}
 
 
 def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -291,9 +288,8 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     n, scale = total["n"], total["n"] + 0.5 * (total["v"] + 1)
     common = _common_words(counts)
 
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_TOKENS))
-    unit = max(1, -(-n // RAREST)) if RAREST else 1
-    filters = stage(build_filter(gather_pairs(lowered, parts).unionByName(gather_words(counts, parts)), unit), "lm-filter")
+    parts = max(LEAST_PARTS, -(-n // PART_TOKENS))
+    filters = stage(build_filter(gather_pairs(lowered, parts).unionByName(gather_words(counts, parts))), "lm-filter")
     given = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(f"__keep{i}") for i, k in enumerate(keep)],
                         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = given.columns[:-1]
@@ -304,7 +300,7 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     asked = told.where("part is not null").select("asker", "part", "words", "pairs")
     found = asked.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(_answer, "asker long, part int, words binary, pairs binary")
     texts = told.where("sizes is not null").select("asker", "words", "tokens", "sizes", "rows")
-    scores = texts.groupBy("asker").cogroup(found.groupBy("asker")).applyInPandas(_adder(parts, scale, unit), "row long, score double")
+    scores = texts.groupBy("asker").cogroup(found.groupBy("asker")).applyInPandas(_adder(parts, scale), "row long, score double")
 
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
@@ -350,7 +346,7 @@ def _reader(keys, parts, common, scale, name):
 
         if name not in _state:
             _state.clear()
-            _state[name] = _Words(Filter(1, {}), common.value, 1)  # hashes and exact counts; the estimates come from the parts
+            _state[name] = _Words(common.value)
         known = _state[name]
         kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()),
                  "array<long>": pa.list_(pa.int64())}
@@ -403,6 +399,7 @@ def _reader(keys, parts, common, scale, name):
                         yield from together()
         if words:
             yield from together()
+        known.forget()
 
     return read
 
@@ -431,13 +428,13 @@ def _before(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
-def _adder(parts, scale, unit):
+def _adder(parts, scale):
     """Scores of the texts that were looked up together."""
     def add(texts, found):
         import pandas as pd
 
         text, found = texts.iloc[0], found.sort_values("part")
-        single, pair = (count_of_level(np.frombuffer(b"".join(found[c]), np.int8), unit) for c in ("words", "pairs"))
+        single, pair = (count_of_level(np.frombuffer(b"".join(found[c]), np.int8)) for c in ("words", "pairs"))
         distinct, sizes = np.frombuffer(text["words"], np.uint64), _unpack(text["sizes"], np.int64)
         tokens = _unpack(zlib.decompress(text["tokens"]), np.int32)
         starts, word = np.cumsum(sizes) - sizes, distinct[tokens]
