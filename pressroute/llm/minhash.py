@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressroute.llm.common import ascii_lower, key_map, stage, with_key_flag
+from pressroute.llm.common import key_map, stage, with_key_flag
 from pressroute.llm.components import connected_components
 from pressroute.operators.joins import split_join
 
@@ -24,10 +25,13 @@ LOW_BITS = 2
 DISCARD = 1e-9
 #: Buckets of more texts go by their members' shared shingles.
 SMALL_BUCKET = 8
-#: Cells in which the shared shingles of a member of a larger bucket are counted.
-CELLS = 128
+#: Words of the bitmap that holds the shared shingles of a member of a larger bucket by their hash.
+BITMAP = [f"bits{i}" for i in range(16)]
 #: Shingle hashes sent on at a time.
 HASHES_AT_ONCE = 200_000
+ROWS_PER_BATCH = 256
+#: Sizes of sets that differ by less than this factor share a key of the join in larger buckets.
+SIZE_STEP = 1.02
 SEED = 20240117
 WORD_BITS = 21
 
@@ -104,10 +108,23 @@ def signer():
     return minima
 
 
-def _text_key(text: Column) -> Column:
-    """128 bits of the SHA-256 of a text's words; null if there is none. Texts of the same words have the same set."""
-    words = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    return F.when(words != "", F.unhex(F.substring(F.sha2(words, 256), 1, 32)))
+def text_key(words: list[bytes]) -> bytes | None:
+    """128 bits of the SHA-256 of a text's words; None if there is none. Texts of the same words have the same set."""
+    return sha256(b" ".join(words)).digest()[:16] if words else None
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``key, text`` of the texts that have words."""
+    def compute(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+                text = batch.column(0).slice(at, ROWS_PER_BATCH)
+                keys = pa.array([text_key((t.as_py() or b"").lower().split()) for t in text.cast(pa.binary())], pa.binary())
+                yield pa.record_batch([keys, text], ["key", "text"]).filter(keys.is_valid())
+
+    return docs.select("text").mapInArrow(compute, "key binary, text string")
 
 
 PLANES = [f"plane{i}" for i in range(LOW_BITS * MINIMA // 64)]
@@ -123,9 +140,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         minima_of = signer()
         names = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            sizes, planes, bands = [], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                hashes = shingle_hashes((text.as_py() or b"").lower().split())  # bytes: A-Z and the six ASCII blanks
+            keys, sizes, planes, bands = [], [], [], []
+            for text in batch.column(1).cast(pa.binary()):
+                words = (text.as_py() or b"").lower().split()  # bytes: A-Z and the six ASCII blanks
+                keys.append(text_key(words))
+                hashes = shingle_hashes(words)
                 sizes.append(len(hashes))
                 minima = minima_of(hashes)
                 planes.append(np.packbits([((minima >> b) & 1).astype(np.uint8) for b in range(LOW_BITS)]).view(np.int64))
@@ -133,29 +152,29 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for column in minima.reshape(BANDS, BAND_ROWS).T:
                     band = _mixed(band * np.uint64(31) + column)
                 bands.append(band.view(np.int64) if len(hashes) else [])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *[pa.array([p[i] for p in planes], pa.int64()) for i in range(len(PLANES))],
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array([p[i] for p in planes], pa.int64()) for i in range(len(PLANES))],
                                    pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", *PLANES, "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", "text").mapInArrow(compute, f"doc_id {kind}, key binary, n_shingles long, {', '.join(f'{p} long' for p in PLANES)}, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {kind}, key binary, n_shingles long, {', '.join(f'{p} long' for p in PLANES)}, bands array<long>")
 
 
 def _alike(a: str, b: str) -> Column:
     """Whether two sets may be similar enough by their sizes and by the agreement of their low bits."""
     words = MINIMA // 64
-    differ = [reduce(Column.bitwiseOR, [F.col(f"{a}.plane{plane * words + w}").bitwiseXOR(F.col(f"{b}.plane{plane * words + w}")) for plane in range(LOW_BITS)])
+    differ = [reduce(Column.bitwiseOR, [F.col(f"{a}_plane{plane * words + w}").bitwiseXOR(F.col(f"{b}_plane{plane * words + w}")) for plane in range(LOW_BITS)])
               for w in range(words)]
     agree = F.lit(MINIMA) - reduce(Column.__add__, [F.bit_count(d) for d in differ])
-    sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    sizes = F.col(f"{a}_n_shingles"), F.col(f"{b}_n_shingles")
     return (100 * F.least(*sizes) >= PERCENT * F.greatest(*sizes)) & (agree >= least_agreement())
 
 
 def _shared_shingles(members: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``id, shared, cells`` of the members of larger buckets that could be linked at all.
+    """``id, shared, bits..`` of the members of larger buckets that could be linked at all.
 
     A shingle in two members' intersection stands in two of them at least, so a member can only be linked if
-    PERCENT of its shingles are ``shared``. ``cells`` counts those by their hash: the sum of the lesser counts
-    of two members is no less than their intersection.
+    PERCENT of its shingles are ``shared``. A bit is set for the hash of each of those: one that is set for a
+    member and not for another is at least one shingle that the other lacks.
     """
     spark_rows = split_join(bodies, members, ["id"])
 
@@ -186,17 +205,20 @@ def _shared_shingles(members: DataFrame, bodies: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids, shared, cells = [], [], []
+            ids, shared, bits = [], [], []
             for at, text, own in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
                 every = shingle_hashes((text.as_py() or b"").lower().split())
                 rest = every[~np.isin(every.view(np.int64), np.array(own.as_py() or [], np.int64))]
                 if 100 * len(rest) >= PERCENT * len(every):
                     ids.append(at.as_py())
                     shared.append(len(rest))
-                    cells.append(np.bincount((rest % np.uint64(CELLS)).astype(np.int64), minlength=CELLS))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(shared, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["id", "shared", "cells"])
+                    bitmap = np.zeros(64 * len(BITMAP), bool)
+                    bitmap[(rest % np.uint64(len(bitmap))).astype(np.int64)] = True
+                    bits.append(np.packbits(bitmap).view(np.int64))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(shared, pa.int64()), *[pa.array([b[i] for b in bits], pa.int64()) for i in range(len(BITMAP))]],
+                                  ["id", "shared", *BITMAP])
 
-    return spark_rows.join(alone, "id", "left").select("id", "text", "alone").mapInArrow(count, "id long, shared long, cells array<int>")
+    return spark_rows.join(alone, "id", "left").select("id", "text", "alone").mapInArrow(count, f"id long, shared long, {', '.join(f'{b} long' for b in BITMAP)}")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -250,7 +272,7 @@ def linked_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
     shared = stage(split_join(banded, buckets, ["band"]), "minhash-shared")
 
     there = stage(shared.select("id").distinct().join(texts.drop("bands"), "id"), "minhash-there")
-    flagged = with_key_flag(docs.select("key", "text"), key_map(there, ["key"], "minhash-keys"), ["key"], "__flagged").where("__flagged")
+    flagged = with_key_flag(_keyed(docs), key_map(there, ["key"], "minhash-keys"), ["key"], "__flagged").where("__flagged")
     one_each = flagged.groupBy("key").agg(F.first("text").alias("text"))
     bodies = stage(one_each.join(there.select("id", "key"), "key").select("id", "text"), "minhash-bodies")
     marks = ["n_shingles", *PLANES]
@@ -264,32 +286,63 @@ def linked_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
     stars = split_join(larger.select("band", "id"), centres, ["band"]).select("id", "centre").unionByName(
         shared.where(F.col("n") <= SMALL_BUCKET).select("id", F.col("low").alias("centre")))
     stars = stars.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    marked = stars.join(there.select(F.col("id").alias("a"), F.col("mark").alias("one")), "a").join(there.select(F.col("id").alias("b"), F.col("mark").alias("other")), "b")
+    marked = stars
+    for key, side in (("a", "one"), ("b", "other")):
+        marked = marked.join(there.select(F.col("id").alias(key), *[F.col(f"mark.{m}").alias(f"{side}_{m}") for m in marks]), key)
     tried = stage(marked.where(_alike("one", "other")).select("a", "b"), "minhash-tried")
     links = stage(_confirmed(tried, bodies), "minhash-links")
 
-    few = shared.where(F.col("n") <= SMALL_BUCKET).select("band", "id").join(there, "id").withColumn("shared", F.lit(None).cast("long")).withColumn(
-        "cells", F.lit(None).cast("array<int>"))
-    many = larger.select("band", "id").join(there, "id").join(crowd.select("id", "shared", "cells"), "id")
-    placed = stage(_classes(few.unionByName(many), links, "minhash-first"), "minhash-placed")
-    split = placed.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("band")
-    open_ = stage(split_join(placed, split, ["band"]), "minhash-open")
-    one, other = [open_.select("band", F.col("id").alias(f"{x}_id"), F.col("class").alias(f"{x}_class"), F.struct(*[F.col(f"mark.{m}").alias(m) for m in marks], "shared", "cells").alias(x))
-                  for x in ("one", "other")]
-    alone = F.col("one.n_shingles") - F.col("one.shared"), F.col("other.n_shingles") - F.col("other.shared")
-    least, most = F.least("one.shared", "other.shared"), F.greatest("one.shared", "other.shared")
-    cells = F.aggregate(F.zip_with("one.cells", "other.cells", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-
-    def enough(both: Column) -> Column:
-        return 100 * both >= PERCENT * F.greatest(F.col("one.n_shingles") + F.col("other.n_shingles") - both, alone[0] + alone[1] + most)
-
-    pairs = (one.join(other, "band").where(F.col("one_id") < F.col("other_id")).where(F.col("one_class") != F.col("other_class")).where(_alike("one", "other"))
-             .where(F.col("one.shared").isNull() | enough(least)).where(F.col("one.shared").isNull() | enough(cells))
-             .select(F.col("one_id").alias("a"), F.col("other_id").alias("b")).distinct())
-    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "minhash-rest")
+    few = shared.where(F.col("n") <= SMALL_BUCKET).select("band", "id").join(there, "id").select(
+        "*", *[F.lit(None).cast("long").alias(c) for c in ("shared", *BITMAP)])
+    many = larger.select("band", "id").join(there, "id").join(crowd.select("id", "shared", *BITMAP), "id")
+    placed = stage(_classes(few.unionByName(many), links, "minhash-first").select(
+        "band", "id", "class", "mark.*", "shared", *BITMAP), "minhash-placed")
+    counted = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("members"))
+    split = counted.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("members", "class")).alias("main")).where("classes > 1")
+    open_ = stage(split_join(placed, split.select("band", "main"), ["band"]), "minhash-open")
+    pairs = stage(_open_pairs(open_).join(tried, ["a", "b"], "left_anti"), "minhash-rest")
     return links.unionByName(_confirmed(pairs, bodies))
 
 
+def _open_pairs(members: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of a bucket's members (``band, id, class, n_shingles, plane.., shared, bits..``) in different
+    classes that may be similar enough. ``main`` is the class that most of the bucket are in.
+
+    One of a pair is not in the main class, so a bucket of many copies costs its members times those outside. In
+    larger buckets sizes are keys of the join as well: with s shared shingles of n, a member can only be linked to
+    sets of 85 % of n to s (1 + 1 / 0.85) - n shingles, for a copy with many changes hardly any of its bucket.
+    """
+    columns = [c for c in members.columns if c != "band"]
+    sides = [members.select("band", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("one", "other")]
+    outside = sides[0].where("one_class <> one_main")
+
+    def step(n: Column) -> Column:
+        return F.floor(F.log(n) / math.log(SIZE_STEP))
+
+    n, shared = F.col("one_n_shingles"), F.col("one_shared")
+    least, most = n * PERCENT / 100, F.least(n * 100 / PERCENT, shared * (100 + PERCENT) / PERCENT - n)
+    reach = F.sequence(step(least) - 1, step(F.greatest(most, least)) + 1)  # a step more for rounding
+    small = outside.where("one_shared is null").join(sides[1].where("other_shared is null"), "band")
+    large = outside.where("one_shared is not null").withColumn("step", F.explode(reach)).join(
+        sides[1].where("other_shared is not null").withColumn("step", step(F.col("other_n_shingles"))), ["band", "step"])
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        once = (F.col("other_class") == F.col("other_main")) | (F.col("one_id") < F.col("other_id"))
+        return pairs.where((F.col("one_class") != F.col("other_class")) & once & _alike("one", "other"))
+
+    # The intersection must reach PERCENT of what the union has at least: both sizes without it, and the shingles of
+    # one member only beside the larger shared part. Each expression stands once: the JVM leaves long methods uncompiled.
+    sizes = F.col("one_n_shingles") + F.col("other_n_shingles")
+    alone = sizes - F.least("one_shared", "other_shared")
+    needed = F.greatest(sizes * PERCENT / (100 + PERCENT), alone * PERCENT / 100)
+    found = apart(large)
+    for x, y in (("one", "other"), ("other", "one")):
+        lacking = reduce(Column.__add__, [F.bit_count(F.col(f"{x}_{b}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{b}")))) for b in BITMAP])
+        found = found.where(F.col(f"{x}_shared") >= needed).where(F.col(f"{x}_shared") - lacking >= needed)
+    ids = F.least("one_id", "other_id").alias("a"), F.greatest("one_id", "other_id").alias("b")
+    return apart(small).select(*ids).unionByName(found.select(*ids)).distinct()
+
+
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -302,7 +355,7 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     has no other (such a row is kept). Rows that repeat an id and a text share all results. Texts of any length are
     read whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _text_key(F.col("text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(signatures(rows), "minhash-signed")
     first = [F.first(c).alias(c) for c in ("n_shingles", *PLANES, "bands")]
     texts = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), *first).withColumn("id", F.monotonically_increasing_id())
