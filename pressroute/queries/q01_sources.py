@@ -7,6 +7,8 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from pressroute.functions.values import net_sales
 from pressroute.operators.sets import diff_tables
+from pressroute.plans import load_view
+from pressroute.plans.load_view import Field
 from pressroute.plans.imports import normalise_load
 from pressroute.queries.registry import query
 from pressroute.session import shared_folder
@@ -107,6 +109,53 @@ def normalise_view(t):
     return normalise_load(t.load_raw).drop("delivery_date")
 
 
+def _checked_load(t):
+    """The canonical view of the circulation system's file: rows to load, and rejects."""
+    fields = load_view.standard_fields({
+        "drawdate": Field("drawdate", ("rundate",), None, "date", "MM/dd/yyyy", required=True),
+        "deliverydate": Field("deliverydate", ("rundate",), None, "date", "MM/dd/yyyy"),
+        "drawamount": Field("drawamount", ("drawtotal",), 0, "int"),
+        "publication": Field("publication", ("productid",), longest=40, required=True, codes="publications"),
+        "drawrate": Field("drawrate", ("rate",), 0, "decimal(8,5)"),
+        "mfstname": Field("mfstname", ("truckname", "truckid")), "mfstcode": Field("mfstcode", ("truckid",)),
+        "acctcode": Field("acctcode", ("routeid",), required=True, codes="accounts"),
+        "acctaddress": Field("acctaddress", ("dropinstructions",), longest=128),
+        "dropsequence": Field("dropsequence", ("truckdroporder",)),
+    })
+    view = load_view.read_by(t.manifest_file, fields, {"accounts": t.account_codes, "publications": t.publication_codes}, keep=["file_order", "file_line"])
+    return load_view.write_checked(view, shared_folder(t.spark, "load-view"))
+
+
+ACCOUNT_SQL = "'A' || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0')"
+GOOD_SQL = "l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0 AND l_orderkey % 79 <> 0 AND l_orderkey % 83 <> 0"
+READ_SQL = {
+    "drawdate": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)", "deliverydate": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)", "drawamount": "CAST(l_quantity AS INTEGER)",
+    "publication": "CASE WHEN l_orderkey % 2 = 0 THEN 'P' ELSE 'p' END || l_partkey", "drawrate": "CAST(CAST(l_tax AS DECIMAL(8,5)) AS DOUBLE)",
+    "mfstname": "CASE WHEN l_orderkey % 5 = 0 THEN 'Truck ' ELSE 'T' END || l_orderkey % 40", "mfstcode": "'T' || l_orderkey % 40",
+    "acctcode": f"CASE WHEN l_orderkey % 3 = 0 THEN lower({ACCOUNT_SQL}) ELSE {ACCOUNT_SQL} END", "acctaddress": "'Stop ' || l_linenumber",
+    "dropsequence": "CAST(l_linenumber AS VARCHAR)"}
+VIEW_SQL = ", ".join(f"{READ_SQL.get(name) or ('NULL' if default is None else repr(default))} AS {name}" for name, default in load_view.STANDARD.items())
+
+
+@query("load_view", "", f"""
+    SELECT l_orderkey AS file_order, l_linenumber AS file_line, l_partkey AS publication_id, l_suppkey AS acctcode_id, {VIEW_SQL}
+    FROM lineitem WHERE {GOOD_SQL}""")
+def load_view_rows(t):
+    """All columns of the canonical load view, read by a mapping, with codes resolved in either case."""
+    return _checked_load(t)[0]
+
+
+@query("load_view_rejects", "", f"""
+    SELECT l_orderkey AS file_order, l_linenumber AS file_line, concat_ws('; ',
+           CASE WHEN l_orderkey % 97 = 0 THEN 'drawdate: cannot read 13/45/1999; deliverydate: cannot read 13/45/1999' END,
+           CASE WHEN l_orderkey % 89 = 0 THEN 'drawamount: cannot read many' END, CASE WHEN l_orderkey % 79 = 0 THEN 'publication: missing' END,
+           CASE WHEN l_orderkey % 83 = 0 THEN 'acctcode: unknown code X' || {ACCOUNT_SQL} END) AS faults
+    FROM lineitem WHERE NOT ({GOOD_SQL})""")
+def load_view_rejects(t):
+    """One row for each row of the file that cannot be loaded, with all its faults."""
+    return _checked_load(t)[1].select("file_order", "file_line", F.concat_ws("; ", "faults").alias("faults"))
+
+
 @query("values_list", "accounts account_types", """
     SELECT type_name, count(*) AS accounts FROM accounts JOIN account_types USING (account_type_id) GROUP BY type_name""")
 def values_list(t):

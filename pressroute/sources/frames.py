@@ -258,6 +258,29 @@ class Frames:
             F.col("amount").cast("string").alias("draw_amount"),
             F.when(F.col("rate") != 0, F.col("rate").cast("string")).alias("draw_rate"))
 
+    @cached_property
+    def manifest_file(self) -> DataFrame:
+        """A circulation system's file, all text: codes in either case and padded, some rows that cannot be loaded."""
+        line, order = self.table("lineitem"), F.col("l_orderkey")
+        account = F.concat(F.lit("A"), zero_pad("l_suppkey", 6), F.lit("  "))
+        return line.select(
+            order.alias("file_order"), F.col("l_linenumber").alias("file_line"),
+            F.when(order % 97 == 0, "13/45/1999").otherwise(F.date_format("l_shipdate", "MM/dd/yyyy")).alias("rundate"),
+            F.when(order % 89 == 0, "many").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("drawtotal"),
+            F.when(order % 79 == 0, " ").otherwise(F.concat(F.when(order % 2 == 0, "P").otherwise("p"), "l_partkey")).alias("productid"),
+            F.when(order % 83 == 0, F.concat(F.lit("X"), account)).when(order % 3 == 0, F.lower(account)).otherwise(account).alias("routeid"),
+            F.concat(F.lit(" T"), order % 40).alias("truckid"), F.when(order % 5 == 0, F.concat(F.lit("Truck "), order % 40)).alias("truckname"),
+            F.col("l_linenumber").cast("string").alias("truckdroporder"), F.concat(F.lit("Stop "), "l_linenumber", F.lit(" ")).alias("dropinstructions"),
+            F.when(F.col("l_tax") != 0, F.col("l_tax").cast("decimal(8,5)").cast("string")).alias("rate"))
+
+    @cached_property
+    def account_codes(self) -> DataFrame:
+        return self.table("supplier").select(F.concat(F.lit("A"), zero_pad("s_suppkey", 6)).alias("code"), F.col("s_suppkey").alias("id"))
+
+    @cached_property
+    def publication_codes(self) -> DataFrame:
+        return self.table("part").select(F.concat(F.lit("P"), "p_partkey").alias("code"), F.col("p_partkey").alias("id"))
+
     @cached_property
     def load(self) -> DataFrame:
         from pressroute.plans.imports import normalise_load
