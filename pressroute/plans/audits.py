@@ -30,9 +30,19 @@ def returns_audit(audits: DataFrame, draws: DataFrame, keys: list[str], negative
     return out.where("net < 0") if negative_net_only else out
 
 
-def entry_columns(report: DataFrame) -> DataFrame:
-    """``returns_audit`` with columns user1, value1, difference1, time1, user2 ..: as many as the longest list has."""
+#: Entries of one draw that ``entry_columns`` lays out; each takes four columns.
+MOST_ENTRIES = 250
+
+
+def entry_columns(report: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """``returns_audit`` with columns user1, value1, difference1, time1, user2 ..: as many as the longest list has.
+
+    A draw with more than ``most_entries`` is an error before anything is laid out: a plan of tens of thousands of columns
+    does not end. The report itself, with its entries as a list, has no such bound.
+    """
     most = report.agg(F.max("entries")).first()[0] or 0
+    if most > most_entries:
+        raise ValueError(f"a draw has {most} entries, more than {most_entries}: use the list 'entry' of returns_audit, or explode it")
     return report.select("*", *[F.get("entry", F.lit(v - 1))[name].alias(f"{name}{v}")
                                 for v in range(1, most + 1) for name in ("user", "value", "difference", "time")]).drop("entry")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pressroute.operators import changes, sets
 from pressroute.plans import accounts as accts, imports, schedules
-from pressroute.plans.fixtures import random_returns
+from pressroute.plans.fixtures import random_adjustments, random_returns
 from pressroute.queries.q04_aggregates import TEMPLATE
 from pressroute.queries.registry import query
 from pressroute.session import shared_folder
@@ -315,6 +315,16 @@ def random_fixture(t):
     return random_returns(t.draws, DRAW_KEY, "draw_amount", 11).select(*DRAW_KEY, "draw_amount", "ret_amount")
 
 
+@query("random_adjustments", "draws", """
+    SELECT account_id, publication_id, CAST(draw_date AS VARCHAR) AS draw_date, draw_amount, CASE WHEN draw_amount = 0 THEN 0 ELSE
+           CAST(('0x' || substr(md5('12|' || account_id || '|' || publication_id || '|' || CAST(draw_date AS VARCHAR)), 1, 8))::BIGINT % 10
+              - ('0x' || substr(md5('12|' || account_id || '|' || publication_id || '|' || CAST(draw_date AS VARCHAR)), 9, 8))::BIGINT % 10 AS BIGINT) END AS adj_amount
+    FROM draws WHERE adj_amount IS NULL""")
+def random_adjustments_(t):
+    """Adjustments for the draws that have none yet."""
+    return random_adjustments(t.draws.drop("adj_amount"), DRAW_KEY, "draw_amount", t.draws.where("adj_amount is not null"), 12)
+
+
 @query("retention_by_month", "draw_lines", """
     SELECT strftime(draw_date, '%Y-%m') AS month, count(*) AS n, CAST(sum(draw_amount) AS BIGINT) AS draw_amount FROM draw_lines
     WHERE draw_date >= DATE '1996-01-01' OR ret_amount > 0 GROUP BY 1""")

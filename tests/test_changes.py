@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pressroute.operators import aggregates as agg, changes, sets
 from pressroute.plans import accounts, audits, imports
-from pressroute.plans.fixtures import random_returns
+from pressroute.plans.fixtures import random_adjustments, random_returns
 from pressroute.session import shared_folder
 from pressroute.sources import files, tables
 
@@ -258,3 +258,21 @@ def test_rejects_are_sought_in_the_whole_load(spark, monkeypatch):
     codes = [r.code for r in QUERIES["load_rejects"](spark, "/root/testdata/sf0.001").collect()]
     (whole, good), = seen
     assert codes and whole > good > whole / 2 and all(int(c[1:]) % 10 == 0 for c in codes)
+
+
+def test_a_second_run_adjusts_nothing(spark, base):
+    zero = base.withColumn("draw_amount", F.when(F.col("publication_id") == 2, 0).otherwise(F.col("draw_amount")))
+    first = random_adjustments(zero, KEYS, "draw_amount", zero.limit(0), 5)
+    assert first.count() == 3 and all(-9 <= r.adj_amount <= 9 for r in first.collect())
+    assert [r.adj_amount for r in first.where("draw_amount = 0").collect()] == [0]
+    assert random_adjustments(zero, KEYS, "draw_amount", first, 5).count() == 0
+    assert random_adjustments(zero, KEYS, "draw_amount", first.where("account_id = 1"), 5).count() == 1
+
+
+def test_entries_beyond_the_bound_are_an_error(spark):
+    report = spark.range(1).select(F.lit(5000).alias("entries"), F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda i: F.struct(
+        i.alias("user"), i.alias("value"), i.alias("difference"), i.alias("time"))).alias("entry"))
+    with pytest.raises(ValueError, match="5000 entries.*entry"):
+        audits.entry_columns(report)
+    few = audits.entry_columns(report.withColumn("entries", F.lit(2)).withColumn("entry", F.slice("entry", 1, 2)))
+    assert few.columns == ["entries", *[f"{n}{k}" for k in (1, 2) for n in ("user", "value", "difference", "time")]]
