@@ -65,7 +65,7 @@ class BlockParser(HTMLParser):
         own = {f"in:{tag}"}
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                own.update(f"named:{t}" for t in _TOKEN.findall(value[:200].lower()))
+                own.update(f"named:{t}" for t in _TOKEN.findall(value.lower()))
         if self.known is not None:
             own &= self.known
         return parent if own <= parent else parent | own
@@ -149,7 +149,7 @@ def features(block: Block, at: int, total: int) -> list[str]:
     size = "1" if words < 2 else "4" if words < 5 else "10" if words < 11 else "25" if words < 26 else "60" if words < 61 else "many"
     links = "none" if block.link_share == 0 else "some" if block.link_share < 0.4 else "most" if block.link_share < 0.9 else "all"
     end = block.text[-1]
-    lowered = block.text[:80].lower()
+    lowered = block.text.lower()
     found = [*block.context, "bias", f"tag:{block.tag}", f"words:{size}", f"links:{links}", f"tag:{block.tag}/words:{size}",
              f"words:{size}/links:{links}", "end:stop" if end in ".!?…\"'”»。" else "end:other"]
     if "©" in lowered or "copyright" in lowered:

@@ -9,7 +9,7 @@ from html import unescape
 import numpy as np
 import pytest
 
-from pressroute.llm.html_blocks import blocks_of
+from pressroute.llm.html_blocks import blocks_of, features
 from pressroute.llm.html_crf import Extractor, _marginals, extract_main_text, labelled_pages, train_extractor
 from pressroute.llm.queries import LLM_QUERIES
 
@@ -102,7 +102,7 @@ def test_odd_rows(spark, model):
 
 
 def test_an_open_head_and_open_silent_elements_end_as_in_a_browser():
-    from pressroute.llm.html_blocks import blocks_of
+    from pressroute.llm.html_blocks import blocks_of, features
 
     texts = lambda html: [b.text for b in blocks_of(html)]
     assert texts("<html><head><title>t</title><body><article><p>One.</article>") == ["One."]
@@ -112,3 +112,19 @@ def test_an_open_head_and_open_silent_elements_end_as_in_a_browser():
     assert texts("<div><button>a<button>b</button> One.</div>") == ["One."]
     assert texts("<p>Let <math><mi>x</mi></math> be <object>two</object>.") == ["Let x be two."]
     assert texts("<div><svg><title>a</title><foreignobject><div>b</div></foreignobject></svg>One.</div>") == ["One."]
+
+
+def test_names_after_many_classes_and_signs_late_in_a_block_count(model):
+    """Utility classes in front of a name, and a copyright sign at the end of a long block."""
+    utility = " ".join(f"px-{i} md:w-{i}" for i in range(60))
+    pages = []
+    for front in ("", f"{utility} "):
+        pages.append(f'<body><div class="{front}nav menu"><a href="/a">Home</a> <a href="/b">News</a></div><article><h1>A heading of words</h1>'
+                     f'<p>{"The article goes on for some words. " * 12}</p><p>{"And here it goes on again, quite long. " * 9}</p></article>'
+                     f'<div class="{front}comments comment-list"><p>{"A reader says a thing or two. " * 4}</p></div></body>')
+    labels = [model.labels(blocks_of(p)) for p in pages]
+    assert labels[0] == labels[1] and not labels[1][-1] and any(labels[1])
+    block = blocks_of(f"<footer><p>{'word ' * 60}© 2024</p></footer>")[0]
+    assert "text:copyright" in features(block, 0, 1)
+    names = blocks_of(pages[1])[0].context
+    assert "named:nav" in names
