@@ -158,6 +158,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(conversations, rows, plan_repairs(rows))
 
 
-@register("op13_minhash_bbit")
+@register("op13_minhash_bbit", r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                              ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS g FROM d),
+    x AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b USING (shingle) WHERE a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+    reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT doc_id, CAST(len(any_value(g)) AS BIGINT) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+    FROM s JOIN reach USING (doc_id) GROUP BY doc_id""")
 def op13_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(table(spark, sf_dir, "documents"))
