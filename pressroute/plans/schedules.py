@@ -69,6 +69,26 @@ def draw_by_manifest_day(facts: DataFrame, assignments: DataFrame, dated: DataFr
     return scheduled.unionByName(by_date)
 
 
+def draw_by_dated_sequence(facts: DataFrame, history: DataFrame, dated: DataFrame) -> DataFrame:
+    """Draws of a template by day, each once: through its present items by their masks, or through a dated manifest by the
+    items that it had on its date.
+
+    ``history`` has the items of all times (``template_id``, keys, ``frequency``, ``valid_from`` and ``valid_to``, the first
+    day without the item; null for no limit), so an item that has left its template still shows on the manifests
+    of its days. Facts meet the items of their account and brand in one equi-join, whose partitions adaptive
+    execution splits for a hot account; whether a day has a manifest is a join on template and date.
+    """
+    keys, out = ["account_id", "brand_no"], ["template_id", "account_id", "brand_no", "draw_date", "draw_amount", "net"]
+    days = dated.select("template_id", F.col("manifest_date").alias("draw_date")).distinct().withColumn("__dated", F.lit(True))
+    met = facts.join(history.select("template_id", *keys, "frequency", "valid_from", "valid_to"), keys)
+    day = F.call_function("shiftleft", F.lit(1), F.col("draw_weekday") - 1)
+    scheduled = F.col("valid_to").isNull() & (F.col("frequency").bitwiseAND(day) > 0)
+    then = (F.coalesce(F.col("draw_date") >= F.col("valid_from"), F.lit(True))) & F.coalesce(F.col("draw_date") < F.col("valid_to"), F.lit(True))
+    marked = met.withColumns({"__scheduled": scheduled, "__then": then}).where("__scheduled or __then")
+    shown = marked.join(days, ["template_id", "draw_date"], "left").where(F.col("__scheduled") | (F.col("__then") & F.col("__dated")))
+    return shown.select(out).distinct()
+
+
 def finalize(assignments: DataFrame, dated: DataFrame, start: str, stop: str) -> DataFrame:
     """Manifests to add: each template and date of the range that its masks hold and that is not there yet."""
     per_day = on_weekday(assignments, "frequency", "draw_weekday").groupBy("template_id", "draw_weekday").agg(

@@ -80,6 +80,13 @@ FRAMES: dict[str, str] = {
                     + CASE WHEN b % 12 = 0 THEN 1 ELSE 0 END AS INTEGER) AS sequence
         FROM supplier, range(1, 26) AS brands(b), range(0, 2) AS slots(k)
         WHERE (s_suppkey + b + k) % 5 <> 0 AND (s_suppkey * 3 + b) % 10 <> 0""",
+    "item_history": """
+        SELECT template_id, account_id, brand_no, frequency, CASE WHEN (account_id + brand_no) % 7 = 0 THEN DATE '1996-01-01' END AS valid_from,
+               CAST(NULL AS DATE) AS valid_to FROM assignments
+        UNION ALL SELECT CAST((s_suppkey * 3 + b % 2 + k * 17) % 40 + 1 AS INTEGER), s_suppkey, CAST(b AS INTEGER),
+               CAST(1 + (s_suppkey * 7 + b + k * 31) % 127 AS INTEGER), NULL, DATE '1997-01-01'
+        FROM supplier, range(1, 26) AS brands(b), range(0, 2) AS slots(k)
+        WHERE (s_suppkey + b + k) % 5 = 0 AND (s_suppkey * 3 + b) % 10 <> 0""",
     "manifests": """
         SELECT o_orderkey AS manifest_id, CAST(o_orderdate AS DATE) AS manifest_date, o_orderpriority AS mfst_code,
                o_custkey AS owner_id,
@@ -129,7 +136,7 @@ FRAMES: dict[str, str] = {
 
 NEEDS = {
     "draws": ["draw_lines"], "default_draws": ["draw_lines"], "account_pubs": ["draw_lines"],
-    "children": ["accounts"], "load": ["draw_lines"], "load_base": ["draw_lines"],
+    "children": ["accounts"], "item_history": ["assignments"], "load": ["draw_lines"], "load_base": ["draw_lines"],
     "transfers_b": ["transfers_a"], "transfers_c": ["transfers_b"], "transfers": ["transfers_c"],
 }
 

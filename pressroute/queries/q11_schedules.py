@@ -37,6 +37,22 @@ def draw_by_manifest_day(t):
     return schedules.draw_by_manifest_day(facts, t.assignments, t.dated_manifests)
 
 
+@query("draw_by_dated_sequence", "draw_lines publications assignments item_history dated_manifests", f"""
+    WITH {BY_BRAND}
+    SELECT template_id, f.account_id, f.brand_no, CAST(draw_date AS VARCHAR) AS draw_date, draw_amount, net
+    FROM facts f JOIN item_history s ON s.account_id = f.account_id AND s.brand_no = f.brand_no AND s.frequency & (1 << (draw_weekday - 1)) > 0
+    WHERE valid_to IS NULL
+    UNION
+    SELECT s.template_id, f.account_id, f.brand_no, CAST(f.draw_date AS VARCHAR), draw_amount, net
+    FROM facts f JOIN item_history s ON s.account_id = f.account_id AND s.brand_no = f.brand_no
+    JOIN dated_manifests m ON m.template_id = s.template_id AND m.manifest_date = f.draw_date
+    WHERE (valid_from IS NULL OR f.draw_date >= valid_from) AND (valid_to IS NULL OR f.draw_date < valid_to)""")
+def draw_by_dated_sequence(t):
+    """As draw_by_manifest_day, with each dated manifest's own items: those that have left since are on their old manifests."""
+    facts = schedules.draws_by_brand(t.draw_lines, t.publications)
+    return schedules.draw_by_dated_sequence(facts, t.item_history, t.dated_manifests)
+
+
 @query("manifest_expand", "assignments dated_manifests", f"""
     WITH {DAYS}, per_day AS (SELECT template_id, weekday, count(*) AS items FROM days GROUP BY 1, 2),
     spine AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day)

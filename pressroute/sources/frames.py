@@ -191,6 +191,20 @@ class Frames:
             (1 + (a * 7 + b + k * 31) % 127).cast("int").alias("frequency"),
             ((a * 13 + template * 7) % 200 + F.when(b % 12 == 0, 1).otherwise(0)).cast("int").alias("sequence"))
 
+    @cached_property
+    def item_history(self) -> DataFrame:
+        """Sequence items of all times: those of today, some of which came in 1996, and those that left with the end of that year."""
+        a, b, k = F.col("account_id"), F.col("brand_no"), F.col("slot")
+        template = ((a * 3 + b % 2 + k * 17) % 40 + 1).cast("int")
+        gone = (self.table("supplier").select(F.col("s_suppkey").alias("account_id"))
+                .withColumn("brand_no", F.explode(F.sequence(F.lit(1), F.lit(BRANDS))))
+                .withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1))))
+                .where(((a + b + k) % 5 == 0) & ((a * 3 + b) % 10 != 0)))
+        came = F.when((a + b) % 7 == 0, F.lit("1996-01-01").cast("date"))
+        return self.assignments.select("template_id", "account_id", "brand_no", "frequency", came.alias("valid_from"), F.lit(None).cast("date").alias("valid_to")).unionByName(
+            gone.select(template.alias("template_id"), "account_id", "brand_no", (1 + (a * 7 + b + k * 31) % 127).cast("int").alias("frequency"),
+                        F.lit(None).cast("date").alias("valid_from"), F.lit("1997-01-01").cast("date").alias("valid_to")))
+
     @cached_property
     def manifests(self) -> DataFrame:
         return self.table("orders").select(

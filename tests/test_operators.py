@@ -215,3 +215,23 @@ def test_a_busy_day_is_spread_over_many_ranges(spark):
     rows = quiet.unionByName(busy)
     ranges = ordered.ranges(rows, "ts")
     assert busy.select(ranges.alias("r")).distinct().count() > 20
+
+
+def test_an_item_that_left_shows_on_its_old_manifests(spark):
+    import datetime as dt
+
+    from pressroute.plans import schedules
+
+    monday, later = dt.date(2024, 1, 8), dt.date(2024, 2, 5)
+    facts = spark.createDataFrame([(1, 1, d, 2, 10, 9) for d in (monday, later)], "account_id long, brand_no int, draw_date date, draw_weekday int, draw_amount int, net int")
+    dated = spark.createDataFrame([(7, monday), (7, later), (8, later)], "template_id int, manifest_date date")
+    schema = "template_id int, account_id long, brand_no int, frequency int, valid_from date, valid_to date"
+
+    def shown(*items):
+        out = schedules.draw_by_dated_sequence(facts, spark.createDataFrame(list(items), schema), dated)
+        return sorted((r.template_id, r.draw_date) for r in out.collect())
+
+    assert shown((7, 1, 1, 2, None, dt.date(2024, 2, 1))) == [(7, monday)]  # left: its old manifest alone, its mask counts no more
+    assert shown((7, 1, 1, 1, dt.date(2024, 2, 5), None)) == [(7, later)]  # came that day, other weekday in its mask
+    assert shown((7, 1, 1, 2, dt.date(2024, 2, 5), None), (7, 1, 1, 4, None, monday)) == [(7, monday), (7, later)]  # present mask holds Mondays
+    assert shown((9, 1, 1, 1, None, None)) == []
