@@ -59,7 +59,7 @@ def edited(rng, words, changes):
     return words
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_crowds_of_more_and_less_changed_copies(spark, seed):
     """Copies around the threshold of common ancestors, copies of copies, and texts that share only a passage."""
     rng = random.Random(seed)
