@@ -19,7 +19,7 @@ from pressroute.llm.bpe import Vocabulary, vocabulary
 from pressroute.llm.common import stage
 
 #: Words whose log-probabilities a worker keeps between texts of a task, about 250 bytes each.
-CACHED_WORDS = 60_000
+CACHED_WORDS = 200_000
 #: Bytes up to which plain products cannot underflow; longer words go by logarithms.
 SHORT = 40
 ROWS_PER_BATCH = 256
