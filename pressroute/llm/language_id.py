@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from pressroute.llm.bpe import Vocabulary, vocabulary
 from pressroute.llm.common import stage
 
-#: Words whose log-probabilities a worker keeps between texts of a task, about 250 bytes each.
-CACHED_WORDS = 200_000
+#: Words whose log-probabilities a worker keeps, about 250 bytes each; they stay for its next task.
+CACHED_WORDS = 300_000
 #: Bytes up to which plain products cannot underflow; longer words go by logarithms.
 SHORT = 40
 ROWS_PER_BATCH = 256
@@ -209,15 +209,12 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     keep = keep or []
 
     def predict(batches):
-        try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_PER_BATCH):
-                    part = batch.slice(at, ROWS_PER_BATCH)
-                    found = [model.predict(t.as_py()) for t in part.column(len(keep))]
-                    yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array([f[0] for f in found], pa.string()),
-                                           pa.array([f[1] for f in found], pa.float64())], [*keep, *names])
-        finally:
-            model.scores().forget()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+                part = batch.slice(at, ROWS_PER_BATCH)
+                found = [model.predict(t.as_py()) for t in part.column(len(keep))]
+                yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array([f[0] for f in found], pa.string()),
+                                       pa.array([f[1] for f in found], pa.float64())], [*keep, *names])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
