@@ -126,6 +126,15 @@ def test_overlap_finds_shared_days_only(spark):
     assert rows_of(got.select("k", "tpl", "overlap_mask", "owners")) == [("x", 1, 4, 2), ("x", 2, 4, 2)]
 
 
+def test_overlap_broadcasts_no_exploded_rows(spark):
+    """The days of a mask outnumber the rows the planner sizes; a broadcast of them goes through the driver."""
+    df = spark.createDataFrame([("x", 1, 127), ("x", 2, 127), ("y", 1, 3)], "k string, tpl int, frequency int")
+    got = joins.overlapping_assignments(df, ["k"], "tpl", "frequency")
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(got.select("k", "tpl", "overlap_mask", "owners")) == [("x", 1, 127, 2), ("x", 2, 127, 2)]
+
+
 def test_schedule_join_equals_bit_test(spark):
     rng = random.Random(3)
     sched = [(rng.randrange(5), rng.randrange(128), i) for i in range(40)]
