@@ -109,7 +109,8 @@ def unassigned(pairs: DataFrame, assignments: DataFrame, manifest_type: int | No
     """Account-publication pairs on no manifest, or on none of a type."""
     used = optional_eq(assignments, "manifest_type_id", manifest_type)
     keys = ["account_id", "brand_no"]
-    return split_join(pairs, used.select(*keys).distinct(), keys, "left_anti")
+    # Assignments are exploded from a smaller table, which the planner sizes them by: shuffled, not broadcast.
+    return split_join(pairs, used.select(*keys).distinct().hint("merge"), keys, "left_anti")
 
 
 def fill_gaps(assignments: DataFrame, brands: DataFrame) -> DataFrame:

@@ -135,6 +135,17 @@ def test_overlap_broadcasts_no_exploded_rows(spark):
     assert rows_of(got.select("k", "tpl", "overlap_mask", "owners")) == [("x", 1, 127, 2), ("x", 2, 127, 2)]
 
 
+def test_unassigned_shuffles_the_assignments(spark):
+    """Assignments are far more rows than the table the planner sizes them by; a broadcast of them fills each task."""
+    pairs = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (None, 12, 1)], "account_id long, publication_id long, brand_no int")
+    items = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (2, 1, 2)], "account_id long, brand_no int, manifest_type_id int")
+    for kind, want in ((None, [(1, 11), (None, 12)]), (1, [(1, 11), (2, 10), (None, 12)])):
+        got = schedules.unassigned(pairs, items, kind)
+        got.collect()
+        assert rows_of(got.select("account_id", "publication_id")) == sorted(want, key=repr)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_schedule_join_equals_bit_test(spark):
     rng = random.Random(3)
     sched = [(rng.randrange(5), rng.randrange(128), i) for i in range(40)]
