@@ -156,6 +156,15 @@ def test_schedule_join_equals_bit_test(spark):
     assert sorted((r.f, r.s) for r in out.collect()) == want
 
 
+def test_schedule_join_shuffles_the_days(spark):
+    """The days of the masks outnumber the rows the planner sizes them by; a broadcast of them fills each task."""
+    sched = spark.createDataFrame([(1, 127, 0), (1, 1, 1), (None, 127, 2)], "k int, frequency int, s int")
+    fact = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (None, 1, 2)], "k int, draw_weekday int, f int")
+    out = joins.join_on_schedule(fact, sched, ["k"])
+    assert sorted((r.f, r.s) for r in out.collect()) == [(0, 0), (0, 1), (1, 0)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unpivot_reverses_flatten(spark):
     rng = random.Random(5)
     cells = [(k, w, rng.randrange(100)) for k in range(6) for w in range(1, 8) if rng.random() < 0.7]
