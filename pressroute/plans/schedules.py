@@ -80,7 +80,8 @@ def draw_by_dated_sequence(facts: DataFrame, history: DataFrame, dated: DataFram
     """
     keys, out = ["account_id", "brand_no"], ["template_id", "account_id", "brand_no", "draw_date", "draw_amount", "net"]
     days = dated.select("template_id", F.col("manifest_date").alias("draw_date")).distinct().withColumn("__dated", F.lit(True))
-    met = facts.join(history.select("template_id", *keys, "frequency", "valid_from", "valid_to"), keys)
+    # The history is exploded from a smaller table, which the planner sizes it by: shuffled, not broadcast.
+    met = facts.join(history.select("template_id", *keys, "frequency", "valid_from", "valid_to").hint("merge"), keys)
     day = F.call_function("shiftleft", F.lit(1), F.col("draw_weekday") - 1)
     scheduled = F.col("valid_to").isNull() & (F.col("frequency").bitwiseAND(day) > 0)
     then = (F.coalesce(F.col("draw_date") >= F.col("valid_from"), F.lit(True))) & F.coalesce(F.col("draw_date") < F.col("valid_to"), F.lit(True))

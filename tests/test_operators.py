@@ -246,6 +246,18 @@ def test_a_busy_day_is_spread_over_many_ranges(spark):
     assert busy.select(ranges.alias("r")).distinct().count() > 20
 
 
+def test_dated_sequence_shuffles_the_history(spark):
+    """The history is far more rows than the table the planner sizes it by; a broadcast of it fills each task."""
+    day = dt.date(2024, 1, 8)
+    facts = spark.createDataFrame([(1, 1, day, 2, 10, 9), (2, 1, day, 2, 5, 4)], "account_id long, brand_no int, draw_date date, draw_weekday int, draw_amount int, net int")
+    dated = spark.createDataFrame([(7, day)], "template_id int, manifest_date date")
+    items = spark.createDataFrame([(7, 1, 1, 2, None, None), (8, 2, 1, 1, None, None)], "template_id int, account_id long, brand_no int, frequency int, valid_from date, valid_to date")
+    out = schedules.draw_by_dated_sequence(facts, items, dated)
+    assert sorted((r.template_id, r.account_id) for r in out.collect()) == [(7, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "Inner" in line]
+
+
 def test_an_item_that_left_shows_on_its_old_manifests(spark):
     import datetime as dt
 
