@@ -39,6 +39,8 @@ CACHED_WORDS = 60_000
 GATHERED = 2_000_000
 #: Tokens read together, and tokens whose n-grams are looked up together.
 TOKENS_AT_ONCE, LOOKED_UP = 200_000, 2_000_000
+#: N-grams whose places in the filter are found together.
+PLACED = 500_000
 
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN = np.uint64(_STEP)
@@ -91,10 +93,12 @@ def make_bits(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The bytes of a filter that holds every n-gram up to its level."""
     size = max(64, int(level.sum()) * BITS + 7 & ~7)
     bits = np.zeros(size, bool)
-    for at in range(1, int(level.max(initial=0)) + 1):
-        reached = grams[level >= at]
-        for probe in range(PROBES):
-            bits[_place(reached, at, probe, np.uint64(size))] = True
+    for start in range(0, len(grams), PLACED):  # a part holds millions of n-grams: their places are found a slice at a time
+        own, own_level = grams[start:start + PLACED], level[start:start + PLACED]
+        for at in range(1, int(own_level.max(initial=0)) + 1):
+            reached = own[own_level >= at]
+            for probe in range(PROBES):
+                bits[_place(reached, at, probe, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -148,10 +152,11 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in order, and their summed counts."""
-    order = np.argsort(grams)
-    ordered = grams[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(counts[order], first)
+    order = np.argsort(grams, kind="stable")  # runs that are in order already are merged
+    grams, counts = grams[order], counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts, first)
 
 
 def _pack_grams(grams: np.ndarray) -> bytes:
@@ -405,17 +410,18 @@ def _reader(keys, parts, common, scale, name):
 
 
 def _answer(asked, held):
-    """The levels of all n-grams that are looked up in one part."""
+    """The levels of all n-grams that are looked up in one part, one asker's at a time: a part is asked by every
+    asker, so their n-grams together grow with the corpus, while one asker's are bounded by LOOKED_UP."""
     import pandas as pd
 
     found = Filter(1, {0: bytes(x) for x in held["bits"]})
 
     def levels_of(column) -> list[bytes]:
-        grams = [_unpack_grams(x) for x in column]
-        distinct, own = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_inverse=True)
-        level = found.level(distinct, np.zeros(len(distinct), np.int64)).astype(np.int8)[own]
-        ends = np.cumsum([len(x) for x in grams], dtype=np.int64)
-        return [level[e - len(x):e].tobytes() for x, e in zip(grams, ends)]
+        def one(data) -> bytes:
+            grams = _unpack_grams(data)
+            return found.level(grams, np.zeros(len(grams), np.int64)).astype(np.int8).tobytes()
+
+        return [one(x) for x in column]
 
     return pd.DataFrame({"asker": asked["asker"], "part": asked["part"], "words": levels_of(asked["words"]), "pairs": levels_of(asked["pairs"])})
 

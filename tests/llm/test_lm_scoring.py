@@ -132,3 +132,31 @@ def test_scores_do_not_hang_on_the_session(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert scores[0] == scores[1]
+
+
+def test_a_part_is_looked_up_one_asker_at_a_time(monkeypatch):
+    """Every asker asks each part, so all their n-grams together grow with the corpus; one asker's are bounded."""
+    import pandas as pd
+
+    grams = np.sort(lm._mix(np.arange(1, 3001, dtype=np.uint64)))
+    bits = lm.make_bits(grams[:2000], lm.levels(np.arange(1, 2001)))
+    asked = pd.DataFrame({"asker": [0, 1, 2], "part": [0, 0, 0],
+                          "words": [lm._pack_grams(grams[k::3]) for k in range(3)], "pairs": [lm._pack_grams(grams[:0])] * 3})
+    sizes, level = [], lm.Filter.level
+    monkeypatch.setattr(lm.Filter, "level", lambda self, g, p: sizes.append(len(g)) or level(self, g, p))
+    got = lm._answer(asked, pd.DataFrame({"part": [0], "bits": [bits.tobytes()]}))
+    assert max(sizes) <= 1000
+    whole = lm.Filter(1, {0: bits.tobytes()}).level(grams, np.zeros(len(grams), np.int64))
+    for k in range(3):
+        assert np.frombuffer(got["words"][k], np.int8).tolist() == whole[k::3].tolist()
+
+
+def test_a_part_is_built_a_slice_at_a_time(monkeypatch):
+    grams = np.sort(lm._mix(np.arange(1, 3001, dtype=np.uint64)))
+    level = lm.levels(np.arange(1, 3001))
+    whole = lm.make_bits(grams, level)
+    sizes, place = [], lm._place
+    monkeypatch.setattr(lm, "PLACED", 700)
+    monkeypatch.setattr(lm, "_place", lambda g, *a: sizes.append(len(g)) or place(g, *a))
+    assert lm.make_bits(grams, level).tobytes() == whole.tobytes()
+    assert max(sizes) <= 700
