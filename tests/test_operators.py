@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pressroute.functions.text import zero_pad
 from pressroute.operators import aggregates as agg, joins, ordered, sets, sorting
 from pressroute.plans import audits, logs, sales, schedules
+from pressroute.queries import QUERIES
+from pressroute.sources.frames import Frames
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -135,6 +137,35 @@ def test_overlap_broadcasts_no_exploded_rows(spark):
     assert rows_of(got.select("k", "tpl", "overlap_mask", "owners")) == [("x", 1, 127, 2), ("x", 2, 127, 2)]
 
 
+@pytest.mark.parametrize("dealt", [1, 7, 1_000])
+def test_overlap_pairs_equal_brute_force(spark, dealt):
+    """Each pair once, of a hot key too; repeated rows, nulls, masks without a shared day."""
+    rng = random.Random(11)
+    data = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.choice([*range(9), None]), i // 2,
+             rng.choice([0, 1, 5, 4, 62, 64, 127, None])) for i in range(160)]
+    data += data[:40]
+    got = joins.overlapping_pairs(spark.createDataFrame(data, "k string, tpl int, seq int, frequency int"), ["k"], "tpl", "frequency", dealt)
+    assert got.columns == ["k", "tpl", "seq", "frequency", "other_tpl", "other_seq", "other_frequency", "shared_mask"]
+    rows = {r for r in data if None not in (r[0], r[1], r[3])}
+    want = [(*a, *b[1:], a[3] & b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] > b[1] and a[3] & b[3]]
+    assert rows_of(got) == sorted(want, key=repr) and any(r[0] == "hot" for r in want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Cartesian" not in plan
+
+
+def test_overlap_query_lists_every_pair(spark, tmp_path):
+    """The report's self join: two templates of an account, brand and type that share a day are one row."""
+    spark.range(3, 60).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    items = {}
+    for r in Frames(spark, str(tmp_path)).assignments.collect():
+        items.setdefault((r.account_id, r.brand_no, r.manifest_type_id), set()).add((r.template_id, r.sequence_id, r.frequency))
+    want = [(k[0], k[1], *a, *b, a[2] & b[2]) for k, rows in items.items() for a in rows for b in rows if a[0] > b[0] and a[2] & b[2]]
+    got = QUERIES["join_self_overlap"](spark, str(tmp_path))
+    assert rows_of(got.select("account_id", "brand_no", "template_id", "sequence_id", "frequency", "other_template_id",
+                              "other_sequence_id", "other_frequency", "shared_mask")) == sorted(want, key=repr)
+    assert want and all(r.shared_mask == r.overlap_mask == r.other_overlap_mask and r.owners == r.other_owners == 2 for r in got.collect())
+
+
 def test_unassigned_shuffles_the_assignments(spark):
     """Assignments are far more rows than the table the planner sizes them by; a broadcast of them fills each task."""
     pairs = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (None, 12, 1)], "account_id long, publication_id long, brand_no int")
